@@ -30,6 +30,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName("priorwise")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
