@@ -399,7 +399,7 @@ SQL_BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "quotes": (
         (),
         """SELECT l_orderkey AS game_id, l_suppkey AS book, (l_quantity - 25) / 2 AS home_spread,
-        38.0 + l_partkey % 15 + (l_linenumber % 2) * 0.5 AS total,
+        CAST(38.0 + l_partkey % 15 + (l_linenumber % 2) * 0.5 AS DOUBLE) AS total,
         CAST(-105 - l_partkey % 12 AS DOUBLE) AS home_price,
         CASE WHEN l_suppkey % 9 <> 0 THEN CAST(100 + l_partkey % 30 AS DOUBLE) END AS away_price,
         CAST(-101 - l_suppkey % 15 AS DOUBLE) AS over_price,
