@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_form, catalog_market, catalog_players  # noqa: F401
+from . import catalog_college, catalog_form, catalog_market, catalog_players  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

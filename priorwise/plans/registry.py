@@ -17,7 +17,12 @@ class Query:
     name: str
     columns: tuple[tuple[str, str], ...]
     job: Callable[[Tables], DataFrame]
-    sql: str | None
+    body: str | None
+    uses: str
+
+    @property
+    def sql(self) -> str | None:
+        return _normalized_sql(self.body, self.columns, self.uses) if self.body else None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return normalized(self.job(Tables(configure(spark), sf_dir)), self.columns)
@@ -76,10 +81,9 @@ def query(name: str, spec: str, sql: str | None = None, uses: str = ""):
 
     def wrap(job: Callable[[Tables], DataFrame]):
         columns = _columns(spec)
-        text = _normalized_sql(sql, columns, uses) if sql else None
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, columns, job, text)
+        REGISTRY[name] = Query(name, columns, job, sql, uses)
         return job
 
     return wrap
