@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import catalog_college, catalog_form, catalog_market, catalog_players  # noqa: F401
+from . import (  # noqa: F401
+    catalog_college,
+    catalog_form,
+    catalog_market,
+    catalog_models,
+    catalog_players,
+)
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
