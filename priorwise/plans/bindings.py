@@ -85,7 +85,7 @@ class Tables:
         ranked = rank_in_group(base, group=["gameday"], order="game_id", out="rk")
         doy = F.dayofyear("gameday")
         slot = (F.col("rk") - 1) % 16
-        factor = 2 * (doy % 16) + 1
+        factor = 2 * (F.floor(doy / 32) % 16) + 1
         league = F.floor((F.col("rk") - 1) / 16)
         played = (F.col("gameday") < F.lit(LAST_PLAYED).cast("date")) & (
             F.col("priority") != "3-MEDIUM"
@@ -357,10 +357,10 @@ SQL_BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         ("ranked_orders",),
         f"""SELECT o_orderkey AS game_id, o_custkey AS custkey, gameday, year(gameday) AS season,
         (doy - 1) // 7 + 1 AS "week", doy, (rk - 1) // 16 AS league,
-        'L' || ((rk - 1) // 16) || 'T' || ((2 * ((rk - 1) % 16)) * (2 * (doy % 16) + 1) + doy) % 32 AS home_team,
-        'L' || ((rk - 1) // 16) || 'T' || ((2 * ((rk - 1) % 16) + 1) * (2 * (doy % 16) + 1) + doy) % 32 AS away_team,
-        CASE WHEN (((2 * ((rk - 1) % 16)) * (2 * (doy % 16) + 1) + doy) % 32) // 4 =
-          (((2 * ((rk - 1) % 16) + 1) * (2 * (doy % 16) + 1) + doy) % 32) // 4 THEN 1.0 ELSE 0.0 END AS division_game,
+        'L' || ((rk - 1) // 16) || 'T' || ((2 * ((rk - 1) % 16)) * (2 * (doy // 32 % 16) + 1) + doy) % 32 AS home_team,
+        'L' || ((rk - 1) // 16) || 'T' || ((2 * ((rk - 1) % 16) + 1) * (2 * (doy // 32 % 16) + 1) + doy) % 32 AS away_team,
+        CASE WHEN (((2 * ((rk - 1) % 16)) * (2 * (doy // 32 % 16) + 1) + doy) % 32) // 4 =
+          (((2 * ((rk - 1) % 16) + 1) * (2 * (doy // 32 % 16) + 1) + doy) % 32) // 4 THEN 1.0 ELSE 0.0 END AS division_game,
         CASE WHEN {_PLAYED} THEN CAST(CAST(floor(o_totalprice) AS BIGINT) % 45 AS DOUBLE) END AS home_score,
         CASE WHEN {_PLAYED} THEN CAST((o_orderkey * 7 + o_custkey) % 45 AS DOUBLE) END AS away_score,
         o_orderpriority = '5-LOW' AS neutral_site,

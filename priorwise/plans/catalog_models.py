@@ -281,7 +281,7 @@ _OOF_SPEC = "game_id:i season:i week:i train_rows:i actual:d predicted:d"
 
 
 def college_oof(t, specs):
-    games = cc.features(t, include_scheduled=False)
+    games = cc.features(t).where("completed")
     return ridge.walk_forward_predictions(games, specs, min_rows=CFB_MIN, keep=["game_id"])
 
 
@@ -297,7 +297,7 @@ def _(t):
     "ridge_elo_fit",
 )
 def _(t):
-    games = cc.features(t, include_scheduled=False)
+    games = cc.features(t).where("completed")
     fits = ridge.walk_forward_fits(games, {"m": (_ELO, "home_margin", CFB_RIDGE)}, min_rows=CFB_MIN)
     return fits.withColumn("elo_weight", F.element_at("coefficients", 3))
 
