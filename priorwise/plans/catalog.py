@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     catalog_form,
     catalog_market,
     catalog_models,
+    catalog_ops,
     catalog_players,
 )
 from .registry import REGISTRY
