@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 FOLD = ("season", "week")
 
 
@@ -183,8 +185,12 @@ def walk_forward_predictions(
     The fits are one row per week and model, so they travel to the rows.
     """
     features, targets = _union(specs)
-    rows = complete_rows(df, [*features, *targets])
-    fits = walk_forward_fits(df, specs, min_rows=min_rows)
+    check_features(df, [*features, *targets])
+    # The feature table is read twice, for the Gram matrices and for the predictions. Building it
+    # is the expensive part, so it is written once to the shared checkpoint folder.
+    needed = list(dict.fromkeys([*keep, *FOLD, *features, *targets]))
+    rows = cut_lineage(complete_rows(df, [*features, *targets]).select(*needed))
+    fits = walk_forward_fits(rows, specs, min_rows=min_rows)
     joined = rows.join(fits, list(FOLD))
     actual, predicted = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, (names, target, _) in specs.items():

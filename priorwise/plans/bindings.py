@@ -242,7 +242,7 @@ class Tables:
                 "predicted_home_margin": F.bround(margin, 2),
                 "margin_std": std,
                 "home_win_probability": F.bround(normal_cdf(margin / std), 4),
-                "total": (c("game_id") * 11 % 300) / 7.0 + 30.0,
+                "total": (c("game_id") * 11 % 300) / 7.03 + 30.0137,
                 "total_std": (9 + c("game_id") % 6).cast("double"),
             }
         )
@@ -416,7 +416,7 @@ SQL_BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT *, round_even((custkey * 13 % 290) / 10.0 - 14.0, 2) AS predicted_home_margin,
         CAST(10 + custkey % 7 AS DOUBLE) AS margin_std,
         round_even({sql_cdf('((custkey * 13 % 290) / 10.0 - 14.0) / (10 + custkey % 7)')}, 4) AS home_win_probability,
-        (game_id * 11 % 300) / 7.0 + 30.0 AS total, CAST(9 + game_id % 6 AS DOUBLE) AS total_std FROM games""",
+        (game_id * 11 % 300) / CAST(7.03 AS DOUBLE) + CAST(30.0137 AS DOUBLE) AS total, CAST(9 + game_id % 6 AS DOUBLE) AS total_std FROM games""",
     ),
     "quote_medians": (
         ("quotes",),
@@ -428,7 +428,7 @@ SQL_BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT game_id, season, "week", gameday, gametime, home_team, away_team,
         home_score - away_score AS actual_home_margin, home_score + away_score AS actual_total_points,
         round_even((custkey * 13 % 290) / 10.0 - 14.0, 2) AS independent_home_margin,
-        (game_id * 11 % 300) / 7.0 + 30.0 AS independent_total, market_home_spread,
+        (game_id * 11 % 300) / CAST(7.03 AS DOUBLE) + CAST(30.0137 AS DOUBLE) AS independent_total, market_home_spread,
         -market_home_spread AS market_home_margin, market_total, book_count
         FROM games JOIN quote_medians USING (game_id) WHERE home_score IS NOT NULL""",
     ),

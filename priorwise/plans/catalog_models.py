@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from ..operators import college, ensemble, evaluate, ratings, ridge, teamform
+from ..session import cut_lineage
 from . import catalog_college as cc
 from .bindings import SQL_BINDINGS
 from .catalog_form import _features_sql, game_features_completed
@@ -380,10 +381,11 @@ def _candidates(t):
         {"first": (_CORE, "home_margin", 10.0), "second": (_CORE, "home_margin", 100.0)},
         min_rows=350, keep=["game_id", "baseline_margin"],
     )
-    return oof.groupBy("game_id", "season", "week").agg(
+    wide = oof.groupBy("game_id", "season", "week").agg(
         F.max("actual").alias("actual"), F.max("baseline_margin").alias("baseline"),
         *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in ("first", "second")],
     )
+    return cut_lineage(wide)
 
 
 SQL_BINDINGS["candidates"] = (
@@ -477,7 +479,7 @@ def _(t):
     "pe",
 )
 def _(t):
-    blended = ensemble.blend_out_of_fold(_candidates(t), baseline="baseline")
+    blended = cut_lineage(ensemble.blend_out_of_fold(_candidates(t), baseline="baseline"))
     return ensemble.ensemble_metrics(blended, baseline="baseline", winner=True)
 
 

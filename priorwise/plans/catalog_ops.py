@@ -13,7 +13,7 @@ from ..streaming import quotes as stream
 from . import catalog_college as cc
 from . import jobs
 from .bindings import SQL_BINDINGS, sql_cdf
-from .catalog_form import _features_sql, game_features_completed
+from .catalog_form import _features_sql, game_features_all, game_features_completed
 from .catalog_models import ridge_bindings
 from .catalog_players import club_log
 from .registry import query
@@ -371,9 +371,9 @@ def _lead(gap: str, limit: float, text_: str) -> str:
     "h20_explanations",
     "game_id:i reasons:s",
     f"""SELECT game_id, array_to_string(CASE WHEN len(r) = 0 THEN ['The teams grade out closely across recent scoring, EPA, and pressure: a near coin-flip forecast.'] ELSE r[1:3] END, ' / ') AS reasons FROM
-    (SELECT game_id, list_filter([{_lead('(home_off_epa_l4 - home_def_epa_l4 - away_off_epa_l4 + away_def_epa_l4)', 0.03, '%s carries the stronger net EPA edge over the last four games.')},
-    {_lead('(home_points_for_l4 - home_points_against_l4 - away_points_for_l4 + away_points_against_l4)', 2.0, '%s has the stronger recent scoring differential (points for minus against).')},
-    {_lead('(home_pressure_generated_l4 - home_pressure_allowed_l4 - away_pressure_generated_l4 + away_pressure_allowed_l4)', 0.02, "%s''s pass rush is generating more pressure relative to what its offense allows.")},
+    (SELECT game_id, list_filter([{_lead('((home_off_epa_l4 - home_def_epa_l4) - (away_off_epa_l4 - away_def_epa_l4))', 0.03, '%s carries the stronger net EPA edge over the last four games.')},
+    {_lead('((home_points_for_l4 - home_points_against_l4) - (away_points_for_l4 - away_points_against_l4))', 2.0, '%s has the stronger recent scoring differential (points for minus against).')},
+    {_lead('((home_pressure_generated_l4 - home_pressure_allowed_l4) - (away_pressure_generated_l4 - away_pressure_allowed_l4))', 0.02, "%s''s pass rush is generating more pressure relative to what its offense allows.")},
     CASE WHEN division_game = 1 THEN 'Division matchup: recent familiarity can narrow the usual home-field edge.' END,
     CASE WHEN home_field = 0 THEN 'Neutral-site designation removes the standard home-field boost.' END], lambda x: x IS NOT NULL) AS r FROM features WHERE home_score IS NOT NULL)""",
     "features",
@@ -431,7 +431,7 @@ ridge_bindings("rush_oof", "rush_model", players.PLAYER_FEATURES["rushing"], "ru
     "rush_oof",
 )
 def _(t):
-    frame = jobs.player_frame(club_log(t, "rushing"), game_features_completed(t), "rushing")
+    frame = jobs.player_frame(club_log(t, "rushing"), game_features_all(t), "rushing")
     spec = {"rushing_yards": (players.PLAYER_FEATURES["rushing"], "rushing_yards", ensemble.PLAYER_RIDGE)}
     return ridge.walk_forward_predictions(frame, spec, min_rows=350, keep=["game_id", "player_id"])
 
@@ -443,7 +443,7 @@ def _(t):
 def _(t):
     """Four player targets, each with its own features and its rolling mean as a third member."""
     logs = {kind: club_log(t, kind) for kind in ("passing", "receiving", "rushing")}
-    return jobs.player_reports(logs, game_features_completed(t))
+    return jobs.player_reports(logs, game_features_all(t))
 
 
 @query("g03_boosted_trees", "game_id:i season:i week:i actual:d tree_prediction:d")
@@ -519,7 +519,7 @@ def _(t):
 @query(
     "s06_moneyline",
     "game_id:i moneyline:i label:s percent:s",
-    """SELECT game_id, ml AS moneyline, CASE WHEN ml > 0 THEN '+' || ml ELSE CAST(ml AS VARCHAR) END AS label, printf('%.1f%%', p * 100) AS percent FROM
+    """SELECT game_id, ml AS moneyline, CASE WHEN ml > 0 THEN '+' || ml ELSE CAST(ml AS VARCHAR) END AS label, printf('%.2f', p * 100) || '%' AS percent FROM
     (SELECT game_id, p, CAST(round_even(CASE WHEN q >= 0.5 THEN -100 * q / (1 - q) ELSE 100 * (1 - q) / q END / 5, 0) * 5 AS BIGINT) AS ml FROM
     (SELECT game_id, home_win_probability AS p, least(greatest(home_win_probability, 0.001), 0.999) AS q FROM predictions))""",
     "predictions",
@@ -530,7 +530,7 @@ def _(t):
         "game_id",
         line.alias("moneyline"),
         text.american_label(line).alias("label"),
-        text.percent_label(F.col("home_win_probability")).alias("percent"),
+        text.percent_label(F.col("home_win_probability"), 2).alias("percent"),
     )
 
 
@@ -543,7 +543,7 @@ def _(t):
       printf('%d:%s%s', CASE WHEN CAST(left(gametime, 2) AS INTEGER) > 12 THEN CAST(left(gametime, 2) AS INTEGER) - 12 ELSE CAST(left(gametime, 2) AS INTEGER) END,
         right(gametime, 2), CASE WHEN CAST(left(gametime, 2) AS INTEGER) < 12 THEN 'a' ELSE 'p' END) END || CASE WHEN neutral_site THEN ' · neutral site' ELSE '' END AS kickoff,
     CASE WHEN neutral_site THEN 'vs' ELSE '@' END AS separator FROM
-    (SELECT p.*, CAST(((custkey * 13) % 290) AS DOUBLE) * 2 - 280.0 AS m, CAST(market_home_spread * 2 AS INTEGER) / 2 AS s, CAST(market_total AS INTEGER) AS o FROM predictions p LEFT JOIN quote_medians USING (game_id))""",
+    (SELECT p.*, CAST(((custkey * 13) % 290) AS DOUBLE) * 2 - 280.0 AS m, round_even(market_home_spread * 2, 0) / 2 + 0.0 AS s, CAST(round_even(market_total, 0) AS DOUBLE) AS o FROM predictions p LEFT JOIN quote_medians USING (game_id))""",
     "predictions quote_medians",
 )
 def _(t):
@@ -578,8 +578,8 @@ def _(t):
 # --- streams -------------------------------------------------------------------------------------
 
 _WINDOWED = """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id % 20 AS game_id,
-    round_even(median("value"), 3) AS line, round_even(quantile_cont("value", 0.75) - quantile_cont("value", 0.25), 3) AS line_iqr,
-    count("value") AS book_count, min("value") AS line_min, max("value") AS line_max FROM events {where} GROUP BY 1, 2"""
+    round_even(median(floor("value")), 3) AS line, round_even(quantile_cont(floor("value"), 0.75) - quantile_cont(floor("value"), 0.25), 3) AS line_iqr,
+    count("value") AS book_count, floor(min("value")) AS line_min, floor(max("value")) AS line_max FROM events {where} GROUP BY 1, 2"""
 _WINDOW_SPEC = "window_start:s game_id:i line:d line_iqr:d book_count:i line_min:d line_max:d"
 
 
@@ -587,7 +587,7 @@ def _quote_events(df):
     return df.select(
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("user_id") % 20).alias("game_id"),
-        F.col("value").alias("line"),
+        F.floor("value").cast("double").alias("line"),
         "event_id",
     )
 

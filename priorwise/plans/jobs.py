@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import Z80, normal_cdf
 from ..operators import college, ensemble, players, ridge, teamform
 from ..operators.ridge import linear_prediction
+from ..session import cut_lineage
 
 PLAYER_TARGETS = {
     "passing_yards": ("passing", "passing"),
@@ -33,6 +34,7 @@ def game_models(games: DataFrame) -> DataFrame:
         "game_margin": (teamform.CORE_GAME_FEATURES, "home_margin", ensemble.GAME_RIDGE),
         "game_total": (teamform.CORE_GAME_FEATURES, "total_points", ensemble.GAME_RIDGE),
     }
+    games = cut_lineage(games)
     fits = ridge.full_fits(games, specs, min_rows=350)
     oof = ridge.walk_forward_predictions(games, specs, min_rows=350, keep=["game_id"])
     spread = oof.groupBy("model").agg(F.stddev_samp(F.col("actual") - F.col("predicted")).alias("residual_std"))
@@ -52,9 +54,11 @@ def player_frame(log: DataFrame, games: DataFrame, kind: str) -> DataFrame:
 def player_reports(logs: Mapping[str, DataFrame], games: DataFrame, *, min_rows: int = 350) -> DataFrame:
     """Ensemble metrics per player target: two ridge candidates and the rolling mean as baseline."""
     out = None
+    games = cut_lineage(games.select("game_id", "home_team", "home_def_epa_l4", "away_def_epa_l4"))
+    frames = {kind: cut_lineage(player_frame(log, games, kind)) for kind, log in logs.items()}
     for target, (kind, feature_set) in PLAYER_TARGETS.items():
         features = players.PLAYER_FEATURES[feature_set]
-        frame = player_frame(logs[kind], games, kind)
+        frame = frames[kind]
         specs = {"first": (features, target, ensemble.PLAYER_RIDGE), "second": (features, target, 100.0)}
         oof = ridge.walk_forward_predictions(
             frame, specs, min_rows=min_rows, keep=["game_id", "player_id", f"{target}_l4"]
@@ -64,7 +68,8 @@ def player_reports(logs: Mapping[str, DataFrame], games: DataFrame, *, min_rows:
             F.max(f"{target}_l4").alias("baseline"),
             *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in specs],
         )
-        blended = ensemble.blend_out_of_fold(wide, baseline="baseline")
+        # Weights, residual spread and metrics each pass over these rows.
+        blended = cut_lineage(ensemble.blend_out_of_fold(cut_lineage(wide), baseline="baseline"))
         part = ensemble.ensemble_metrics(blended, baseline="baseline").withColumn("target", F.lit(target))
         out = part if out is None else out.unionByName(part)
     return out
@@ -82,7 +87,9 @@ def college_weekly(
     """
     cut_at = F.to_timestamp(F.lit(as_of))
     known_games, known_stats = college.as_of_cut(games, advanced, cut_at)
-    rows = college.college_features(known_games, known_stats, preseason, lines, include_scheduled=True)
+    rows = cut_lineage(
+        college.college_features(known_games, known_stats, preseason, lines, include_scheduled=True)
+    )
     names = college.CONFIGURATIONS[configuration]
     specs = {"margin": (names, "home_margin", alpha), "total": (names, "total_points", alpha)}
     training = rows.where(F.col("completed") & (F.col("start_date") <= cut_at))
