@@ -133,7 +133,7 @@ def fit_diagnostics(games: DataFrame, ratings: DataFrame, group: Sequence[str],
     rows = games.join(home, [*names, "home_team"]).join(away, [*names, "away_team"])
     residual = fitted - F.col("margin")
     extra = []
-    if "book_count" in games.columns:
+    if {"book_count", "line_iqr"} <= set(games.columns):
         extra = [F.median("book_count").alias("median_book_count"), F.median("line_iqr").alias("median_line_iqr")]
     return rows.groupBy(*names).agg(
         F.count(F.lit(1)).alias("games"),
