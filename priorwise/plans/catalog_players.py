@@ -241,11 +241,11 @@ def _(t):
 
 
 def _field_snaps(t):
-    """Snap counts with a game and a share, so that they can meet the logs."""
+    """Snap counts with a game (200 consecutive events) and a share, so that they can meet the logs."""
     return t.snaps.select(
         "season",
         "week",
-        (F.col("event_id") % 50).alias("game_id"),
+        F.floor(F.col("event_id") / 200).alias("game_id"),
         "team",
         "pfr_player_id",
         "position",
@@ -262,7 +262,7 @@ def _event_log(t):
         .select(
             F.when(day <= 15, 2023).otherwise(2024).alias("season"),
             (F.floor((day - 1) / 7) + 1).cast("int").alias("week"),
-            (F.col("event_id") % 50).alias("game_id"),
+            F.floor(F.col("event_id") / 200).alias("game_id"),
             F.lit("2024-01-01").cast("date").alias("game_date"),
             (F.col("user_id") % 8).cast("string").alias("posteam"),
             F.concat(F.lit("g"), F.col("user_id")).alias("player_id"),
@@ -286,12 +286,12 @@ def _event_log(t):
     COALESCE(snap_share, 0) AS snap_share, COALESCE(receiving_yards, 0) AS receiving_yards,
     COALESCE(targets, 0) AS targets, COALESCE(receptions, 0) AS receptions,
     sum(COALESCE(targets, 0)) OVER (PARTITION BY game_id, posteam) AS team_targets FROM
-    (SELECT s.season, s."week", s.event_id % 50 AS game_id, s.team AS posteam, c.gsis_id AS player_id,
+    (SELECT s.season, s."week", s.event_id // 200 AS game_id, s.team AS posteam, c.gsis_id AS player_id,
       max(c.gsis_id) AS roster_name, max(s.offense_snaps / 100.0) AS snap_share FROM snaps s JOIN crosswalk c
       ON c.season = s.season AND c.pfr_id = s.pfr_player_id WHERE s.offense_snaps > 0 AND s.position = 'WR'
       GROUP BY 1, 2, 3, 4, 5) f
     FULL OUTER JOIN (SELECT CASE WHEN day(ts) <= 15 THEN 2023 ELSE 2024 END AS season, (day(ts) - 1) // 7 + 1 AS "week",
-      event_id % 50 AS game_id, CAST(user_id % 8 AS VARCHAR) AS posteam, 'g' || user_id AS player_id,
+      event_id // 200 AS game_id, CAST(user_id % 8 AS VARCHAR) AS posteam, 'g' || user_id AS player_id,
       'p' || user_id AS player_name, sum("value") AS receiving_yards, CAST(count(*) AS DOUBLE) AS targets,
       1.0 AS receptions FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2, 3, 4, 5, 6) l
     USING (season, "week", game_id, posteam, player_id)""",
