@@ -46,11 +46,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a fresh temporary folder used. The
-    checkpoint is reliable: it survives the loss of any executor.
+    Only where that setting is absent and the master is local (tests, a laptop) is a fresh temporary
+    folder used. The checkpoint is reliable: it survives the loss of any executor.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="priorwise-checkpoint-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or local_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder of this machine, for local masters only: executors elsewhere would not see it."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="priorwise-")
