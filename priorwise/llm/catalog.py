@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import exact_dedup, sharding
-from priorwise.llm.common import LOWER, UPPER
+from priorwise.llm import decontaminate, exact_dedup, language, sharding
+from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,50 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
     dealt = sharding.shuffle_into_shards(rows, SHARDS)
     return dealt.select("doc.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Words as the contract cuts them, and the rows that models may learn labels from.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW = 10
+
+
+@query(
+    "op1_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark),
+    bw AS (
+      SELECT DISTINCT item_id, w[k : least(k + {WINDOW - 1}, len(w))] AS win
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT DISTINCT len(win) AS n FROM bw),
+    spots AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+    hit AS (SELECT doc_id, k, n, item_id FROM spots JOIN d USING (doc_id) JOIN bw ON bw.win = w[k : k + n - 1]),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"), WINDOW)
+    words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1))))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    some = F.size("hits") > 0
+    return hits.select(
+        "doc.doc_id",
+        "n_words",
+        F.when(some, F.size(words)).otherwise(0).cast("long").alias("n_hit"),
+        F.when(some, F.size(items)).otherwise(0).cast("long").alias("n_items"),
+        F.sha2(F.when(some, F.array_join(items, ",")).otherwise(""), 256).alias("items_sha256"),
+        some.alias("contaminated"),
+    )
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    profiles = language.fit_profiles(docs, ~held_out("doc_id"))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
