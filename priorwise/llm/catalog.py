@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import decontaminate, exact_dedup, language, sharding
+from priorwise.llm import decontaminate, exact_dedup, language, quality, sharding
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     profiles = language.fit_profiles(docs, ~held_out("doc_id"))
     found = language.identify(docs.select("doc_id", "text"), profiles)
     return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, folder, "labels", "doc_id", "quality"), ~held_out("id"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
