@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import decontaminate, exact_dedup, language, quality, sharding
+from priorwise.llm import chat, decontaminate, exact_dedup, language, packing, quality, sharding
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,54 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, folder, "labels", "doc_id", "quality"), ~held_out("id"))
     scored = quality.score_quality(docs, model)
     return scored.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, folder, "documents", "doc_id", "text"), carry=["doc_id"])
+    return placed.select("doc.doc_id", "piece", "start", "length", "bin_id", "capacity", "offset")
+
+
+@query(
+    "op5_preference_chat",
+    f"""
+    WITH t AS (
+      SELECT DISTINCT conv_id, coalesce(turn, {chat.LAST}) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    c AS (
+      SELECT conv_id, min_by(ROW(turn, role, text), ROW(turn, role, sha256(text))) AS opening,
+             sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS size
+      FROM t GROUP BY conv_id
+    ),
+    r AS (
+      SELECT *, row_number() OVER g AS k, lead(conv_id) OVER g AS other, lead(size) OVER g AS other_size
+      FROM c WINDOW g AS (PARTITION BY opening, conv_id // {chat.PAIR_BLOCK} ORDER BY conv_id)
+    ),
+    p AS (
+      SELECT conv_id AS pair_id, CASE WHEN other_size > size THEN other ELSE conv_id END AS chosen,
+             CASE WHEN other_size > size THEN conv_id ELSE other END AS rejected
+      FROM r WHERE k % 2 = 1
+    ),
+    a AS (SELECT p.*, turn, role, text FROM p JOIN t ON t.conv_id = chosen),
+    b AS (SELECT p.*, turn, role, text FROM p JOIN t ON t.conv_id = rejected),
+    ends AS (
+      SELECT pair_id, min(turn) AS first FROM (
+        (SELECT pair_id, turn, role, text FROM a WHERE rejected IS NOT NULL EXCEPT SELECT pair_id, turn, role, text FROM b)
+        UNION ALL (SELECT pair_id, turn, role, text FROM b EXCEPT SELECT pair_id, turn, role, text FROM a)
+        UNION ALL (SELECT pair_id, turn, role, text FROM a WHERE rejected IS NULL AND role = 'assistant')
+      ) GROUP BY pair_id
+    ),
+    parts AS (
+      SELECT a.*, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE 'chosen' END AS part FROM a LEFT JOIN ends USING (pair_id)
+      UNION ALL SELECT b.*, 'rejected' FROM b JOIN ends USING (pair_id) WHERE turn >= first
+    )
+    SELECT pair_id, chosen, rejected, part, CASE WHEN turn <> {chat.LAST} THEN turn END AS turn, role,
+           '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS rendered,
+           CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS mask
+    FROM parts
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat.clean_turns(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+    return chat.format_preferences(turns, chat.preference_pairs(turns))
