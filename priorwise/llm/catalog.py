@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import chat, decontaminate, exact_dedup, language, packing, quality, sharding
+from priorwise.llm import chat, decontaminate, exact_dedup, language, packing, pii, quality, sharding
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     turns = chat.clean_turns(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
     return chat.format_preferences(turns, chat.preference_pairs(turns))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, folder, "documents", "doc_id", "text"))
+    base = F.flatten(F.array(*[pii.joined(F.col(k), F.lit(k)) for k in pii.KINDS]))
+    return found.select(
+        "doc.doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.joined(F.col("context"))), ",").alias("spans"),
+    )
