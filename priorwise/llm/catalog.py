@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import chat, decontaminate, exact_dedup, language, packing, pii, quality, sharding
+from priorwise.llm import chat, decontaminate, exact_dedup, language, minhash, packing, pii, quality, sharding
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, pii.joined(F.col("context"))), ",").alias("spans"),
     )
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    groups = minhash.near_groups(table(spark, folder, "documents", "doc_id", "text"), shingle=3, percent=85, carry=["doc_id"])
+    return groups.select("doc.doc_id", "n_shingles", "component_id", "kept")
