@@ -4,14 +4,15 @@ Signatures. Two permutations of the 32-bit shingle space are enough: one shuffle
 shifted by k places round the circle, gives coordinate k. Coordinates are cut into bands; documents that
 agree on a band share a bucket. Documents of equal shingle sets are one class, and classes are compared.
 
-Verification without all pairs. In each bucket one leader, the member that meets most others over all
+Verification without all pairs. In each bucket of more than ``SMALL`` members one leader, the member that meets most others over all
 buckets, is compared on full sets with every member. What remains are links between members of which at
 least one is no link of the leader L. Write D(x) for the symmetric difference of x and L. If x is not linked
 with L and D(x), D(y) had no element in common, then J(x, y) <= J(x, L), so x and y would not be linked
 either. So all remaining links lie inside groups of members that share an element of D, and a prefix of D
 suffices (two linked sets differ in a bounded number of elements). These groups are the buckets of the next
-round, without those that lie in one component already; rounds end when no bucket is left. No link between
-members of a bucket is lost, a bucket of any size costs rows in proportion to its members, and a large
+round, without those that lie in one component already; rounds end when no bucket is left. In a bucket of at
+most ``SMALL`` members each is compared with each that is not in its component. No link between members of a
+bucket is lost, a bucket of any size costs rows in proportion to its members, and a large
 bucket is dealt over tasks by salting its leader.
 """
 
@@ -34,6 +35,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 20, 6
 SLICE_BYTES = 1 << 20
 SALT_MEMBERS = 256  # members compared with one copy of their leader
+SMALL = 16  # members of a bucket that are compared each with each; larger buckets go by leaders
 
 
 def permuted(x: np.ndarray, odd: int) -> np.ndarray:
@@ -114,12 +116,20 @@ def _compare(batches: Batches, shingle: int, percent: int) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(leads, pa.int64()), pa.array(members, pa.int64()), pa.array(linked, pa.bool_()), pa.array(differs, pa.list_(pa.int64()))], names=["leader", "member", "linked", "differs"])
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(leader, member) pairs: in each bucket every member with the member that meets most others."""
-    degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
-    leaders = buckets.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top"))
-    stars = buckets.join(leaders.select("bucket", F.col("top.node").alias("leader")), "bucket")
-    return stars.filter("node <> leader").select("leader", F.col("node").alias("member")).distinct()
+def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """(leader, member, star) to compare: in large buckets every member with the one that meets most others (``star``), in small ones each with each."""
+    large = buckets.filter(F.col("size") > SMALL)
+    degree = large.groupBy("node").agg(F.sum("size").alias("degree"))
+    leaders = large.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top"))
+    stars = large.join(leaders.select("bucket", F.col("top.node").alias("leader")), "bucket")
+    stars = stars.filter("node <> leader").select("leader", F.col("node").alias("member"), F.lit(True).alias("star"))
+
+    one = F.struct("node", "n", "component")
+    few = buckets.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_set(one).alias("all")).select("all", F.explode("all").alias("x"))
+    y = F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["component"] != F.col("x.component"))))
+    fit = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent  # sets of too different sizes can't be linked
+    each = few.select("x", y.alias("y")).filter(fit).select(F.col("x.node").alias("leader"), F.col("y.node").alias("member"), F.lit(False).alias("star"))
+    return stars.unionByName(each).groupBy("leader", "member").agg(F.max("star").alias("star"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -132,31 +142,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return dealt.select("leader", "member", "text").mapInArrow(partial(_compare, shingle=shingle, percent=percent), "leader long, member long, linked boolean, differs array<long>")
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members of the buckets that have more than one."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return members.join(sizes, "bucket")
-
-
 def near_links(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFrame | None:
-    """Components (node, component) of the classes (node, bands); ``texts_of`` gives the texts of nodes."""
-    buckets = stored(_sized(classes.select("node", F.explode("bands").alias("bucket"))))
+    """Components (node, component) of the classes (node, n, bands); ``texts_of`` gives the texts of nodes."""
+    members = classes.select("node", "n", F.col("node").alias("component"), F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(members.join(sizes, "bucket"))
     if buckets.isEmpty():
         return None
     texts = stored(texts_of(buckets.select("node").distinct()))
+    sets = classes.select("node", "n")
     links = components = None
     while True:
-        found = stored(_verified(_stars(buckets), texts, shingle, percent))
+        pairs = stored(_pairs(buckets, percent))
+        found = stored(_verified(pairs, texts, shingle, percent).join(pairs, ["leader", "member"]))
         new = found.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        links = new if links is None else stored(links.unionByName(new).distinct())
+        links = new if links is None else links.unionByName(new)
         components = stored(connected_components(links))
+        open_leaders = found.filter("star AND NOT linked").select("leader").distinct()
+        if open_leaders.isEmpty():
+            return components
         # groups that share an element of their difference from the leader, one of them not linked with it
-        of = found.join(components.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
-        open_leaders = of.filter("NOT linked").select("leader").distinct()
-        spread = of.join(open_leaders, "leader", "left_semi").select(F.col("member").alias("node"), "leader", "component", "linked", F.explode("differs").alias("element"))
+        of = found.filter("star").join(open_leaders, "leader", "left_semi").join(components.withColumnRenamed("node", "member"), "member", "left")
+        spread = of.select(F.col("member").alias("node"), "leader", F.coalesce("component", "member").alias("component"), "linked", F.explode("differs").alias("element"))
         groups = spread.groupBy("leader", "element").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
         groups = groups.filter("size > 1 AND low <> high AND NOT all").select("leader", "element", "size")
-        buckets = stored(spread.join(groups, ["leader", "element"]).select(F.xxhash64("leader", "element").alias("bucket"), "node", "size"))
+        rest = spread.join(groups, ["leader", "element"]).select(F.xxhash64("leader", "element").alias("bucket"), "node", "component", "size")
+        buckets = stored(rest.join(sets, "node"))
         if buckets.isEmpty():
             return components
 
@@ -177,14 +188,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     alone = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise("")
     rank = F.struct(F.col("id").isNull().alias("null_id"), "id", "key")
-    classes = signed.groupBy("digest", alone.alias("alone")).agg(F.min(rank).alias("least"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("digest", alone.alias("alone")).agg(F.min(rank).alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         keys = nodes.join(classes.select("node", F.col("least.key").alias("key")), "node")
         return base.select("key", "text").join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
 
-    components = near_links(classes.select("node", "bands"), texts_of, shingle, percent)
+    components = near_links(classes.select("node", "n", "bands"), texts_of, shingle, percent)
     least = classes.select("digest", "alone", "node", "least")
     if components is not None:
         placed = least.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
