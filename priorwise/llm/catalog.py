@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import chat, decontaminate, exact_dedup, language, minhash, packing, pii, quality, sharding
+from priorwise.llm import chat, decontaminate, exact_dedup, language, minhash, packing, pii, quality, sharding, substrings
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     groups = minhash.near_groups(table(spark, folder, "documents", "doc_id", "text"), shingle=3, percent=85, carry=["doc_id"])
     return groups.select("doc.doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, folder, "documents", "doc_id", "text"), carry=["doc_id"])
+    return found.select("doc.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
