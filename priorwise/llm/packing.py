@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 from priorwise.llm.common import Batches, stored, utf8
 
 CAPACITIES = (512, 1024, 2048, 4096)
-BIN_PRICE = 64  # what a sequence costs besides its tokens
+#: A sequence of c tokens costs c for its tokens, c * c / ATTENTION for pairs of tokens, and a fixed price.
+ATTENTION, BIN_PRICE = 8192, 64
 SHARD_TOKENS = 2_000_000
 
 
-def price(capacity: int) -> int:
-    return capacity + BIN_PRICE
+def price(capacity: int) -> float:
+    return capacity + capacity * capacity / ATTENTION + BIN_PRICE
 
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
