@@ -321,7 +321,7 @@ def _player_forecasts(t):
     "h22_player_availability",
     "player_id:i adjusted:d availability_note:s",
     """SELECT c_custkey AS player_id, CASE WHEN i.status IS NULL THEN c_acctbal / 37.0 ELSE round_even(greatest(c_acctbal / 37.0 * (1 - missing), 0), 1) END AS adjusted,
-    CASE WHEN i.status IS NULL THEN 'Healthy' ELSE 'Manual ' || i.status || ' scenario: ' || CAST(CAST(round((1 - missing) * 100) AS INTEGER) AS VARCHAR) || '% availability assumption' END AS availability_note
+    CASE WHEN i.status IS NULL THEN 'no entry' ELSE i.status || ' assumed: plays at ' || CAST(CAST(round((1 - missing) * 100) AS INTEGER) AS VARCHAR) || '%' END AS availability_note
     FROM customer LEFT JOIN injury_rows i ON i.team = 'L0T' || c_custkey % 40 AND lower(i.player_name) = lower('Player ' || c_custkey // 40)""",
     "injury_rows",
 )
@@ -370,12 +370,12 @@ def _lead(gap: str, limit: float, text_: str) -> str:
 @query(
     "h20_explanations",
     "game_id:i reasons:s",
-    f"""SELECT game_id, array_to_string(CASE WHEN len(r) = 0 THEN ['The teams grade out closely across recent scoring, EPA, and pressure: a near coin-flip forecast.'] ELSE r[1:3] END, ' / ') AS reasons FROM
-    (SELECT game_id, list_filter([{_lead('((home_off_epa_l4 - home_def_epa_l4) - (away_off_epa_l4 - away_def_epa_l4))', 0.03, '%s carries the stronger net EPA edge over the last four games.')},
-    {_lead('((home_points_for_l4 - home_points_against_l4) - (away_points_for_l4 - away_points_against_l4))', 2.0, '%s has the stronger recent scoring differential (points for minus against).')},
-    {_lead('((home_pressure_generated_l4 - home_pressure_allowed_l4) - (away_pressure_generated_l4 - away_pressure_allowed_l4))', 0.02, "%s''s pass rush is generating more pressure relative to what its offense allows.")},
-    CASE WHEN division_game = 1 THEN 'Division matchup: recent familiarity can narrow the usual home-field edge.' END,
-    CASE WHEN home_field = 0 THEN 'Neutral-site designation removes the standard home-field boost.' END], lambda x: x IS NOT NULL) AS r FROM features WHERE home_score IS NOT NULL)""",
+    f"""SELECT game_id, array_to_string(CASE WHEN len(r) = 0 THEN ['No measure separates the two sides by much.'] ELSE r[1:3] END, ' / ') AS reasons FROM
+    (SELECT game_id, list_filter([{_lead('((home_off_epa_l4 - home_def_epa_l4) - (away_off_epa_l4 - away_def_epa_l4))', 0.03, 'Recent play efficiency favours %s.')},
+    {_lead('((home_points_for_l4 - home_points_against_l4) - (away_points_for_l4 - away_points_against_l4))', 2.0, 'Recent point difference favours %s.')},
+    {_lead('((home_pressure_generated_l4 - home_pressure_allowed_l4) - (away_pressure_generated_l4 - away_pressure_allowed_l4))', 0.02, "Pressure on passers, made less allowed, favours %s.")},
+    CASE WHEN division_game = 1 THEN 'Both sides share a division, so home advantage counts for less.' END,
+    CASE WHEN home_field = 0 THEN 'No home advantage: the site is neutral.' END], lambda x: x IS NOT NULL) AS r FROM features WHERE home_score IS NOT NULL)""",
     "features",
 )
 def _(t):

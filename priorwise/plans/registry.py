@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -63,7 +64,9 @@ def _normalized_sql(body: str, columns, uses: str) -> str:
         needs, text = SQL_BINDINGS[name]
         for other in needs:
             add(other)
-        cte = f"{name} AS ({text})"
+        # Shared parts are evaluated once; a recursive part can't be marked so.
+        once = "" if re.search(rf"\b{name}\b", text) else "MATERIALIZED "
+        cte = f"{name} AS {once}({text})"
         if cte not in ctes:
             ctes.append(cte)
 

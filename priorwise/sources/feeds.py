@@ -68,19 +68,20 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 def fingerprint(feeds: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Reproducible digest of the columns that matter in every feed, one row per feed.
 
-    Row hashes are summed and xor-ed, so neither row order nor partitioning changes the digest;
-    the count keeps repeated rows apart. Absent columns are left out of both name list and hash.
+    Row hashes are summed in full width and xor-ed, so neither row order nor partitioning changes
+    the digest; the count keeps repeated rows apart. A hash skips nulls, so each column also gives
+    whether it is null. Absent columns are left out of both name list and hash.
     """
     out = None
     for name, (df, wanted) in feeds.items():
         columns = [c for c in wanted if c in df.columns]
-        row = F.xxhash64(*[F.col(c) for c in columns]) if columns else F.lit(0).cast("bigint")
+        row = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())]) if columns else F.lit(0).cast("bigint")
         part = df.agg(
             F.lit(name).alias("feed"),
             F.lit(",".join(columns)).alias("columns"),
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor"),
-            F.coalesce(F.sum((row % F.lit(1_000_003)).cast("bigint")), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(row.cast("decimal(20,0)")).cast("string"), F.lit("0")).alias("total"),
         )
         out = part if out is None else out.unionByName(part)
     text = F.concat_ws("|", "feed", "columns", "rows", "xor", "total")

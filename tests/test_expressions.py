@@ -33,11 +33,12 @@ def test_safe_divide_defaults(spark):
 
 
 def test_name_key_folds_accents_and_agrees_with_the_full_form(spark):
-    names = ["D'André Smith-Njigba Jr.", "Łukasz Ünal", "", None, "José Núñez 3rd", "Ａｂｃ"]
+    names = ["D'André Smith-Njigba Jr.", "Łukasz Ünal", "", None, "José Núñez 3rd", "Ａｂｃ", "ﬁnn", "𝐀dam", "ǆero", "½ ⅷ ㎏", "ẞßſ", "Ⅻ🄐"]
     rows = spark.createDataFrame([(n,) for n in names], "n string")
     out = rows.select(text.name_key(F.col("n")).alias("a"), text.name_key_udf(F.col("n")).alias("b")).collect()
     assert out[0].a == "name:dandresmithnjigbajr"
     assert out[2].a == out[3].a == ""
+    assert [r.a for r in out[6:9]] == ["name:finn", "name:adam", "name:dzero"]
     assert all(r.a == r.b for r in out)
 
 
