@@ -120,14 +120,14 @@ def season_zscores(df: DataFrame, columns: list[str], *, by: str = "season") ->
     Season statistics are aggregates joined back, so a season with many rows is not one window.
     """
     medians = df.groupBy(by).agg(*[F.median(c).alias(f"_md_{c}") for c in columns])
-    filled = df.join(medians, by).withColumns(
+    filled = df.join(F.broadcast(medians), by).withColumns(  # one row per season
         {f"_v_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_md_{c}")) for c in columns}
     )
     moments = filled.groupBy(by).agg(
         *[F.avg(f"_v_{c}").alias(f"_mu_{c}") for c in columns],
         *[F.stddev_samp(f"_v_{c}").alias(f"_sd_{c}") for c in columns],
     )
-    scored = filled.join(moments, by).withColumns(
+    scored = filled.join(F.broadcast(moments), by).withColumns(
         {
             f"{c}_z": F.expr(f"COALESCE(try_divide(_v_{c} - _mu_{c}, NULLIF(_sd_{c}, 0D)), 0D)")
             for c in columns
@@ -181,6 +181,10 @@ def preseason_table(
     return season_zscores(joined, PRESEASON_SOURCES).select("season", "team", *PRESEASON_FEATURES)
 
 
+#: Games without a league column are one league only up to so many teams.
+ONE_LEAGUE_TEAMS = 2000
+
+
 def _elo_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk the games of each league in order. State is one number per team, never the rows."""
     league, season, ratings = None, None, {}
@@ -214,6 +218,10 @@ def elo_ratings(games: DataFrame) -> DataFrame:
     batches: memory is the rating table of one league, whatever the length of its history.
     """
     league = F.col("league") if "league" in games.columns else F.lit(0)
+    if "league" not in games.columns:
+        teams = games.select("home_id").distinct().limit(ONE_LEAGUE_TEAMS + 1).count()
+        if teams > ONE_LEAGUE_TEAMS:
+            raise ValueError("games of so many teams need a league column: leagues are what runs in parallel")
     seasons = games.select("season").distinct().withColumn(
         "season_no", F.row_number().over(Window.orderBy("season"))
     )

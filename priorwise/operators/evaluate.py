@@ -142,21 +142,17 @@ def disagreement_buckets(
     return names.join(found, "bucket", "left").fillna(0, ["games", "ats_decisions"])
 
 
-def _grid() -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: i / float(GRID - 1))
-
-
 def _grid_errors(df: DataFrame, keys: Sequence[str], actual: str, first: str, second: str) -> DataFrame:
     """Summed absolute error of every grid weight per key, long form.
 
-    The weights multiply rows before the aggregate, but partial aggregation inside the same task
-    folds them back to keys x 101 before anything is shuffled.
+    One sum per weight over the rows as they are; only the keys' results are turned to 101 rows each.
     """
-    weighted = df.select(*keys, actual, first, second, F.explode(_grid()).alias("w"))
-    blend = F.col("w") * F.col(first) + (1.0 - F.col("w")) * F.col(second)
-    return weighted.groupBy(*keys, "w").agg(
-        F.sum(F.abs(F.col(actual) - blend)).alias("err"), F.count(F.lit(1)).alias("n")
-    )
+    weights = [i / float(GRID - 1) for i in range(GRID)]
+    blends = {w: F.lit(w) * F.col(first) + F.lit(1.0 - w) * F.col(second) for w in weights}
+    sums = [F.sum(F.abs(F.col(actual) - b)).alias(f"_e{i}") for i, b in enumerate(blends.values())]
+    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+    cells = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"_e{i}").alias("err")) for i, w in enumerate(weights)])
+    return wide.select(*keys, "n", F.explode(cells).alias("_c")).select(*keys, "_c.w", "_c.err", "n")
 
 
 def _best(error: str) -> Column:
@@ -210,7 +206,7 @@ def prequential_blend(
 ) -> DataFrame:
     """Blend of two forecasts with the prequential weight of each row's week."""
     weights = prequential_weights(df, actual, first, second, min_rows=min_rows)
-    joined = df.join(weights.withColumnRenamed("weight", weight), ["season", "week"])
+    joined = df.join(F.broadcast(weights.withColumnRenamed("weight", weight)), ["season", "week"])  # one row per week
     return joined.withColumn(
         out, F.col(weight) * F.col(first) + (1.0 - F.col(weight)) * F.col(second)
     )

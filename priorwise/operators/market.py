@@ -34,8 +34,8 @@ def flatten_payload(payload: DataFrame, clubs: DataFrame) -> DataFrame:
     away = clubs.select(F.col("name").alias("away_team"), F.col("code").alias("away_code"))
     keep = ["event_id", "snapshot_at", "commence_time", "home_team", "away_team", "home_code", "away_code"]
     markets = (
-        payload.join(home, "home_team")
-        .join(away, "away_team")
+        payload.join(F.broadcast(home), "home_team")  # one row per club name
+        .join(F.broadcast(away), "away_team")
         .select(*keep, F.explode("bookmakers").alias("_b"))
         .select(
             *keep,
@@ -198,7 +198,12 @@ def match_snapshots(games: DataFrame, events: DataFrame, minutes: int = 30) -> D
     planned = games.withColumn("kickoff_at", kickoff).withColumn(
         "requested_at", F.col("kickoff_at") - F.expr(f"INTERVAL {minutes} MINUTES")
     )
-    joined = planned.join(events, ["requested_at", "home_team", "away_team"], "left")
+    # A request that lists a pairing twice means its last event, as when quotes are attached.
+    keys = ["requested_at", "home_team", "away_team"]
+    rest = [c for c in events.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct("commence_time", *[c for c in rest if c != "commence_time"]))
+    events = events.groupBy(*keys).agg(last.alias("_e")).select(*keys, "_e.*")
+    joined = planned.join(events, keys, "left")
     apart = F.abs(F.unix_timestamp("commence_time") - F.unix_timestamp("kickoff_at"))
     missing_line = F.col("market_home_spread").isNull() | F.col("market_total").isNull()
     return joined.withColumn(

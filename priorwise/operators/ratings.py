@@ -143,6 +143,9 @@ def fit_diagnostics(games: DataFrame, ratings: DataFrame, group: Sequence[str],
     )
 
 
+RANK_RANGE = 0.25  # points of rating
+
+
 def form_ratings(snapshot: DataFrame) -> DataFrame:
     """Descriptive recent-form score of every team with a complete snapshot, ranked."""
     score = F.expr(
@@ -150,7 +153,15 @@ def form_ratings(snapshot: DataFrame) -> DataFrame:
         " + 3D * (pressure_generated_l4 - pressure_allowed_l4)"
     )
     scored = snapshot.select("team", score.alias("rating")).where("rating IS NOT NULL")
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rating"), "team")))
+    # Teams are ranked inside narrow rating ranges and shifted by the counts of the ranges above; the
+    # only window over everything is over the ranges, whose number depends on the scale of a rating.
+    ranged = scored.withColumn("_range", F.floor(-F.col("rating") / RANK_RANGE))
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    shift = counts.select("_range", F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_above"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("rating"), "team"))
+    ranked = ranged.withColumn("_inside", inside).join(F.broadcast(shift), "_range")
+    return ranked.select("team", "rating", (F.col("_inside") + F.col("_above")).alias("rank"))
 
 
 def neutral_matchups(games: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def _gram_task(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
     return run
 
 
+#: Column that tells which models have all their columns in a row, a bit each.
+PATTERN = "_pattern"
+
+
+def column_sets(specs: Mapping[str, Spec]) -> list[frozenset[str]]:
+    """Distinct sets of columns of the models; a model's bit in a pattern is the place of its set."""
+    return list(dict.fromkeys(frozenset([*features, target]) for features, target, _ in specs.values()))
+
+
+def patterned_rows(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
+    """Rows that some model can use, with their pattern; missing values of the other models' columns become 0."""
+    sets = column_sets(specs)
+    if len(sets) > 62:
+        raise ValueError("at most 62 sets of columns share Gram matrices; fit the rest apart")
+    columns = sorted(frozenset().union(*sets))
+    bits = F.lit(0).cast("bigint")
+    for k, own in enumerate(sets):
+        test = " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in sorted(own))
+        bits = bits + F.when(F.expr(test), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    # The pattern is taken from the values as they came, hence before they are filled.
+    marked = df.withColumn(PATTERN, bits).where(f"{PATTERN} <> 0")
+    filled = {c: F.expr(f"COALESCE(NULLIF(CAST({c} AS DOUBLE), CAST('NaN' AS DOUBLE)), 0D)") for c in columns if c not in FOLD}
+    return marked.withColumns(filled)
+
+
 def gram_entries(df: DataFrame, features: Sequence[str], targets: Sequence[str], keys: Sequence[str] = FOLD) -> DataFrame:
     """Long-form Gram matrix of ``[1, features, targets]`` per key: (key..., pos, value).
 
@@ -62,8 +87,9 @@ def gram_entries(df: DataFrame, features: Sequence[str], targets: Sequence[str],
     names = list(keys)
     # Positional names: a fold key such as the week may be a feature as well.
     columns = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate((*features, *targets))]
-    rows = df.select(*[F.col(k).cast("int").alias(k) for k in names], *columns)
-    schema = ", ".join([*(f"{k} int" for k in names), "gram array<double>"])
+    kinds = {k: "bigint" if k == PATTERN else "int" for k in names}
+    rows = df.select(*[F.col(k).cast(kind).alias(k) for k, kind in kinds.items()], *columns)
+    schema = ", ".join([*(f"{k} {kind}" for k, kind in kinds.items()), "gram array<double>"])
     partial = rows.mapInPandas(_gram_task(names), schema)
     return (
         partial.select(*names, F.posexplode("gram").alias("pos", "value"))
@@ -73,18 +99,24 @@ def gram_entries(df: DataFrame, features: Sequence[str], targets: Sequence[str],
 
 
 def _packed(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gram entries of a key as one array; its length is the square of the model width."""
+    """Gram entries of a key as arrays, one for each pattern; a length is the square of the model width."""
     cells = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    grouped = entries.groupBy(*keys) if keys else entries.groupBy()
-    return grouped.agg(F.transform(cells, lambda c: c.value).alias("gram"))
+    arrays = entries.groupBy(*keys, PATTERN).agg(F.transform(cells, lambda c: c.value).alias("gram"))
+    grouped = arrays.groupBy(*keys) if keys else arrays.groupBy()
+    return grouped.agg(F.collect_list(F.struct(F.col(PATTERN).alias("pattern"), "gram")).alias("grams"))
 
 
 def expanding_grams(entries: DataFrame) -> DataFrame:
-    """Per (season, week) the Gram matrix of all strictly earlier weeks."""
-    before = Window.partitionBy("pos").orderBy(*FOLD).rowsBetween(Window.unboundedPreceding, -1)
-    return _packed(
-        entries.withColumn("value", F.coalesce(F.sum("value").over(before), F.lit(0.0))), FOLD
-    )
+    """Per (season, week) the Gram matrices of all strictly earlier weeks.
+
+    A week without rows of a pattern still carries the pattern's earlier sums, so each pattern gets a
+    zero entry in every week that has any.
+    """
+    weeks, kinds = entries.select(*FOLD).distinct(), entries.select(PATTERN, "pos").distinct()
+    zeros = weeks.crossJoin(F.broadcast(kinds)).withColumn("value", F.lit(0.0))  # matrix entries of a few patterns
+    full = entries.unionByName(zeros).groupBy(*FOLD, PATTERN, "pos").agg(F.sum("value").alias("value"))
+    before = Window.partitionBy(PATTERN, "pos").orderBy(*FOLD).rowsBetween(Window.unboundedPreceding, -1)
+    return _packed(full.withColumn("value", F.coalesce(F.sum("value").over(before), F.lit(0.0))), FOLD)
 
 
 def solve_ridge(gram: np.ndarray, picks: Sequence[int], target: int, alpha: float) -> tuple[float, np.ndarray]:
@@ -113,15 +145,22 @@ Spec = tuple[Sequence[str], str, float]
 def _solve_task(specs: Mapping[str, Spec], columns: list[str], keys: list[str], min_rows: int):
     place = {c: i + 1 for i, c in enumerate(columns)}
     size = len(columns) + 1
+    sets = column_sets(specs)
+    bit = {name: 1 << sets.index(frozenset([*fs, t])) for name, (fs, t, _) in specs.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                gram = np.asarray(row.gram, dtype=float).reshape(size, size)
-                if gram[0, 0] < min_rows:
-                    continue
+                parts = [(g["pattern"], np.asarray(g["gram"], dtype=float).reshape(size, size)) for g in row.grams]
+                sums: dict[int, np.ndarray] = {}
                 for name, (features, target, alpha) in specs.items():
+                    own = bit[name]
+                    if own not in sums:
+                        sums[own] = sum((g for p, g in parts if p & own), np.zeros((size, size)))
+                    gram = sums[own]
+                    if gram[0, 0] < max(min_rows, 1):
+                        continue
                     intercept, weights = solve_ridge(gram, [place[f] for f in features], place[target], alpha)
                     out.append(
                         {
@@ -150,21 +189,21 @@ def _union(specs: Mapping[str, Spec]) -> tuple[list[str], list[str]]:
 def walk_forward_fits(df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int) -> DataFrame:
     """Coefficients per (season, week, model), fitted on strictly earlier weeks only.
 
-    Any number of feature sets, targets and penalties share one Gram matrix over all their columns;
-    rows with a missing value in any of them are left out.
+    Any number of feature sets, targets and penalties share Gram matrices over all their columns, one
+    for each pattern of missing values; a model leaves out only rows that miss one of its own columns.
     """
     features, targets = _union(specs)
     check_features(df, [*features, *targets])
-    entries = gram_entries(complete_rows(df, [*features, *targets]), features, targets)
+    entries = gram_entries(patterned_rows(df, specs), features, targets, keys=(*FOLD, PATTERN))
     task = _solve_task(dict(specs), [*features, *targets], list(FOLD), min_rows)
     return expanding_grams(entries).mapInPandas(task, f"season int, week int, {_SOLUTION}")
 
 
 def full_fits(df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int = 1) -> DataFrame:
-    """One set of coefficients per model, fitted on all complete rows."""
+    """One set of coefficients per model, fitted on all rows that have the model's columns."""
     features, targets = _union(specs)
     check_features(df, [*features, *targets])
-    entries = gram_entries(complete_rows(df, [*features, *targets]), features, targets, keys=())
+    entries = gram_entries(patterned_rows(df, specs), features, targets, keys=(PATTERN,))
     task = _solve_task(dict(specs), [*features, *targets], [], min_rows)
     return _packed(entries, ()).mapInPandas(task, _SOLUTION)
 
@@ -189,14 +228,20 @@ def walk_forward_predictions(
     # The feature table is read twice, for the Gram matrices and for the predictions. Building it
     # is the expensive part, so it is written once to the shared checkpoint folder.
     needed = list(dict.fromkeys([*keep, *FOLD, *features, *targets]))
-    rows = cut_lineage(complete_rows(df, [*features, *targets]).select(*needed))
+    usable = " OR ".join(
+        "(" + " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in sorted(own)) + ")"
+        for own in column_sets(specs)
+    )
+    rows = cut_lineage(df.where(usable).select(*needed))
     fits = walk_forward_fits(rows, specs, min_rows=min_rows)
-    joined = rows.join(fits, list(FOLD))
+    joined = rows.join(F.broadcast(fits), list(FOLD))  # one row per week and model
     actual, predicted = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, (names, target, _) in specs.items():
         mine = F.col("model") == name
         actual = F.when(mine, F.col(target).cast("double")).otherwise(actual)
         predicted = F.when(mine, linear_prediction(names)).otherwise(predicted)
-    return joined.select(
+    out = joined.select(
         *keep, *FOLD, "model", "train_rows", actual.alias("actual"), predicted.alias("predicted")
     )
+    return complete_rows(out, ["actual", "predicted"])  # a model forecasts the rows that have its columns
+

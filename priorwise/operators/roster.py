@@ -65,7 +65,7 @@ def opening_rosters(rosters: DataFrame) -> DataFrame:
         "player_id", _player_key(rosters, "full_name", "pfr_id")
     )
     opening = frame.groupBy("season").agg(F.min("_week").alias("_week"))
-    kept = frame.join(opening, ["season", "_week"])
+    kept = frame.join(F.broadcast(opening), ["season", "_week"])  # one row per season
     if "status" in frame.columns:
         kept = kept.where(~F.coalesce("status", F.lit("")).isin(*DEPARTED))
     return kept.where(F.col("player_id").isNotNull()).select("season", "team", "player_id").distinct()
@@ -154,7 +154,7 @@ def raw_transitions(opening: DataFrame, totals: DataFrame) -> DataFrame:
 def league_centred(df: DataFrame, features: list[str], *, by: str = "season") -> DataFrame:
     """Fill each feature with its season mean and add ``<feature>_delta`` from that mean."""
     means = df.groupBy(by).agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
-    joined = df.join(means, by)
+    joined = df.join(F.broadcast(means), by)  # one row per season
     filled = {f: F.coalesce(F.col(f), F.col(f"_m_{f}")) for f in features}
     deltas = {
         f"{f}_delta": F.coalesce(F.coalesce(F.col(f), F.col(f"_m_{f}")) - F.col(f"_m_{f}"), F.lit(0.0))

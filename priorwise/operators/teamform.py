@@ -193,7 +193,7 @@ def rolling_team_state(rows: DataFrame, priors: DataFrame) -> DataFrame:
     The windows are over one team's schedule: a team plays at most a handful of games a day, so a
     partition is bounded by the calendar however large the league table grows.
     """
-    filled = rows.join(priors, "gameday", "left").withColumns(
+    filled = rows.join(F.broadcast(priors), "gameday", "left").withColumns(  # one row per day
         {
             m: F.expr(f"CASE WHEN observed THEN {m} WHEN completed THEN prior_{m} END")
             for m in SUMMARY_MEASURES

@@ -218,14 +218,14 @@ def _(t):
     (SELECT p.*, h.rating - a.rating + h.home_field_points * CASE WHEN neutral_site THEN 0 ELSE 1 END AS prior,
       least(greatest(1.25 - 0.25 * greatest("week", 1), 0), 1) AS w
       FROM predictions p JOIN market_ratings h ON h.season = p.season AND h.team = p.home_team
-      JOIN market_ratings a ON a.season = p.season AND a.team = p.away_team WHERE p.season = 2000))""",
+      JOIN market_ratings a ON a.season = p.season AND a.team = p.away_team))""",
     "predictions market_ratings",
 )
 def _(t):
-    rows = t.predictions.where("season = 2000").withColumn(
+    rows = t.predictions.withColumn(
         "home_field", F.when(F.col("neutral_site"), 0.0).otherwise(1.0)
     )
-    latest = ratings.market_ratings(market_games(t).where("season = 2000"), _GROUP)
+    latest = ratings.market_ratings(market_games(t), _GROUP)
     return ratings.calibrate_preseason(rows, latest, "2000-01-01T00:00:00Z")
 
 

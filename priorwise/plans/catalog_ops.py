@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions import odds, text, timeparse
+from ..session import local_folder
 from ..operators import ensemble, players, ridge, roster, scenario, teamform
 from ..sources import feeds, ledger
 from ..streaming import quotes as stream
@@ -350,12 +350,12 @@ SQL_BINDINGS["snapshot"] = (
     "e18_custom_matchups",
     "home_team:s away_team:s home_points_for_l4:d away_off_epa_l4:d rest_advantage:d home_field:d week:i",
     """SELECT h.team AS home_team, a.team AS away_team, h.points_for_l4 AS home_points_for_l4, a.off_epa_l4 AS away_off_epa_l4, 3 AS rest_advantage,
-    0 AS home_field, 2 AS "week" FROM (SELECT DISTINCT home_team, away_team FROM games WHERE season = 2000) g
+    0 AS home_field, 2 AS "week" FROM (SELECT DISTINCT home_team, away_team FROM games) g
     JOIN snapshot h ON h.team = g.home_team JOIN snapshot a ON a.team = g.away_team""",
     "games snapshot",
 )
 def _(t):
-    pairs = t.games.where("season = 2000").select("home_team", "away_team").distinct()
+    pairs = t.games.select("home_team", "away_team").distinct()
     asked = pairs.selectExpr(
         "*", "10 AS home_rest_days", "7 AS away_rest_days", "true AS neutral_site", "2 AS week", "0D AS division_game"
     )
@@ -608,7 +608,7 @@ def _(t):
     """The same consensus over the table replayed as a stream: windows the watermark has closed."""
     source = t.read("events").schema
     shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = jobs.fresh_folder(shared) if shared else tempfile.mkdtemp(prefix="priorwise-stream-")
+    folder = jobs.fresh_folder(shared) if shared else local_folder(t.spark)
     quotes = t.spark.readStream.schema(source).parquet(f"{t.folder}/events*.parquet")
     closed = stream.windowed_consensus(_quote_events(quotes), window="1 day", unique="event_id")
     running = (

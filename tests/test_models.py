@@ -148,3 +148,21 @@ def test_schema_drift_and_missing_features(spark):
         jobs.check_configuration(published, ["elo_form"])
     with pytest.raises(ValueError, match="missing features"):
         ridge.check_features(spark.range(1), ["id", "nope"])
+
+
+def test_missing_values_cost_a_model_only_its_own_rows(spark):
+    """A null in a column that one model does not use leaves that model's fits and forecasts as they were."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), 1999, int(i // 20), float(a), float(b), float(2 * a - b + rng.normal())) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    specs = {"a": (["x"], "y", 1.0), "ab": (["x", "z"], "y", 1.0)}
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "game_id long, season int, week int, x double, z double, y double")
+        return {(r.model, r.game_id): r.predicted for r in ridge.walk_forward_predictions(df, specs, min_rows=20, keep=["game_id"]).collect()}
+
+    holes = [(i, s, w, a, None if i % 7 == 0 or w == 3 else b, y) for i, s, w, a, b, y in rows]
+    full, some = run(rows), run(holes)
+    assert {k: v for k, v in full.items() if k[0] == "a"} == pytest.approx({k: v for k, v in some.items() if k[0] == "a"})
+    only = run([r for r in holes if r[4] is not None])
+    assert {k: v for k, v in some.items() if k[0] == "ab"} == pytest.approx({k: v for k, v in only.items() if k[0] == "ab"})
+    assert len(full) == 360 and {i for m, i in some if m == "ab"} == {r[0] for r in holes if r[4] is not None and r[2] > 1}
