@@ -6,11 +6,12 @@ same place, their anchor. So windows are dealt by anchor, and windows of differe
 1. Tasks send the anchor hashes of their documents to owners, which tell back those of two documents or more.
 2. Groups of documents cut the neighbourhoods of shared anchors out of their texts (the windows of one
    anchor overlap and make one piece), put equal pieces together, and send them to the anchor's part.
-3. A part builds the transform of its pieces in runs of bounded size. Threshold-bounded interval expansion
-   gives the classes of equal windows; each class knows the smallest document id that has it.
+3. A part puts equal pieces together again and builds the transform of the pieces of each anchor that has
+   several, in runs of bounded size. Threshold-bounded interval expansion gives the classes of equal
+   windows; each class knows the smallest document id that has it.
 4. Groups mark the bytes of windows whose class has a smaller id than their document.
 
-Documents without a shared anchor are finished in step 2 and their texts are not sent again.
+Texts are shuffled once, into a table bucketed by group, which steps 2 and 4 read where it lies.
 """
 
 from __future__ import annotations
@@ -26,21 +27,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorwise.llm.bwt import least_by_window
-from priorwise.llm.common import Batches, slices, stored, utf8
-from priorwise.llm.words import mixed
+from priorwise.llm.common import Batches, shared_folder, slices, stored, utf8
+from priorwise.llm.words import MIX, mixed
 
 LENGTH = 50
-GRAM = 12
+GRAM = 20  # long enough that documents seldom share one by chance, short enough for few anchors
 GROUP_ROWS = 1024  # consecutive rows that are worked on together
 FLAT_BYTES = 1 << 19  # bytes whose grams are hashed at once; places in them have 20 bits
 PART_BYTES = 24 << 20  # of document text for each part of anchors
+BUCKET_BYTES = 16 << 20  # of document text in a bucket
 RUN_BYTES = 2 << 20  # of one transform
+LOW = (1 << 40) - 1  # bits of an anchor that are sent
 HOT = 20_000  # groups with an anchor from which its windows are dealt one by one
 LAST = np.iinfo(np.int64).max
 SPANS = "array<struct<start:long,end:long>>"
 
-#: Columns of what a group sends: a row per document (part null) and a row per part with pieces.
-SENT = "grp long, row long, id long, n_bytes long, sha string, text binary, part int, a binary, b binary, c binary, d binary"
+#: Columns of what a group sends: a row per document with shared anchors (row not null), and a row per part with pieces.
+SENT = "part int, grp long, row long, a binary, b binary, c binary, d binary"
+
+
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -59,8 +69,10 @@ def window_anchors(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray
     for k in range(8):
         lane = padded[k : k + (n - k + 7) // 8 * 8].view("<u8") if k < n else padded[:0].view("<u8")
         word[k::8] = lane[: len(word[k::8])]
-    far = gram - 8
-    hashes = mixed(word[:grams] * np.uint64(0x9E3779B97F4A7C15) + word[far : far + grams] * np.uint64(0xC2B2AE3D27D4EB4F))
+    hashes = word[:grams] * MIX[0]
+    for k, at in enumerate([*range(8, gram - 8, 8), gram - 8], 1):
+        hashes += word[at : at + grams] * MIX[k]
+    hashes = mixed(hashes)
     least = (hashes & ~np.uint64((1 << 20) - 1)) | np.arange(grams, dtype=np.uint64)
     want, have = length - gram + 1, 1
     while have < want:
@@ -93,8 +105,8 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np
 
 
 def part_ids(anchors: np.ndarray, parts: int) -> np.ndarray:
-    """Part (16 bits) and 48 bits of the hash. Anchors that share an id by chance only cost work: bytes are compared later."""
-    return ((anchors >> np.uint64(48)) % np.uint64(parts)) << np.uint64(48) | anchors & np.uint64((1 << 48) - 1)
+    """Part (16 bits) and 40 bits of the hash. Anchors that share an id by chance only cost work: bytes are compared later."""
+    return ((anchors >> np.uint64(48)) % np.uint64(parts)) << np.uint64(48) | anchors & np.uint64(LOW)
 
 
 def _ask(batches: Batches, parts: int, length: int, gram: int) -> Batches:
@@ -116,14 +128,14 @@ def _ask(batches: Batches, parts: int, length: int, gram: int) -> Batches:
                 for cut in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(part)) + 1):
                     part_of.append(int(part[cut[0]]))
                     group_of.append(g)
-                    blobs.append(sent[cut].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                    blobs.append(sent[cut].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(part_of, pa.int32()), pa.array(group_of, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "grp", "ids"])
 
 
 def _ids(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return np.concatenate((raw, np.zeros((len(raw), 2), np.uint8)), axis=1).copy().view("<u8").ravel()
+    raw = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
+    return np.concatenate((raw, np.zeros((len(raw), 3), np.uint8)), axis=1).copy().view("<u8").ravel()
 
 
 def _tell(batches: Batches, hot: int) -> Batches:
@@ -137,54 +149,54 @@ def _tell(batches: Batches, hot: int) -> Batches:
         shared, often = ids[counts > 1], ids[counts >= hot]
         out: dict[int, list[np.ndarray]] = {}
         for g, x in asked:
-            out.setdefault(g, []).append(np.unique(x[np.isin(x, shared)]))
+            out.setdefault(g, []).append(x[member(x, shared)])
         rows = [(g, np.unique(np.concatenate(x))) for g, x in out.items()]
         rows = [(g, x | np.uint64(part << 48)) for g, x in rows if len(x)]
         for k in range(0, len(rows), 500):
             some = rows[k : k + 500]
-            hots = [x[np.isin(x & np.uint64((1 << 48) - 1), often)] for _, x in some]
+            hots = [x[member(x & np.uint64(LOW), often)] for _, x in some]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in some], pa.int64()), pa.array([pack(x) for _, x in some], pa.binary()), pa.array([pack(x) for x in hots], pa.binary())], names=["grp", "ids", "hot"])
 
 
 def _cut(docs: pa.Table, told: pa.Table, parts: int, length: int, gram: int) -> pa.Table:
-    """A row per document of the group, and the distinct pieces around its shared anchors, by part."""
-    texts, ids = utf8(docs.column("text")), docs.column("id").to_pylist()
-    shared = np.unique(np.concatenate([unpack(x, np.uint64) for x in told.column("ids").to_pylist()] or [np.empty(0, np.uint64)]))
-    hot = np.unique(np.concatenate([unpack(x, np.uint64) for x in told.column("hot").to_pylist()] or [np.empty(0, np.uint64)]))
-    seen: dict[bytes, tuple[int, int]] = {}
-    pieces: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
-    runs: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in texts]
-    for text, start, end, anchor in anchor_runs(texts, length, gram) if len(shared) else ():
-        own = part_ids(anchor, parts)
-        keep = np.isin(own, shared)
-        text, start, end, own = text[keep], start[keep], end[keep], own[keep]
-        for k, s, e, a, single in zip(text.tolist(), start.tolist(), end.tolist(), own.tolist(), np.isin(own, hot).tolist(), strict=True):
-            for s1, e1 in ((x, x + 1) for x in range(s, e)) if single else ((s, e),):
-                piece = texts[k][s1 : e1 + length - 1]
-                known = seen.get(piece)
-                if known is None:
-                    part = int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "big") % parts if single else a >> 48
-                    box = pieces.setdefault(part, ([], [], []))
-                    known = seen[piece] = (part, len(box[0]))
-                    box[0].append(piece)
-                    box[1].append(LAST)
-                    box[2].append(a)
-                lows = pieces[known[0]][1]
-                if ids[k] is not None and ids[k] < lows[known[1]]:
-                    lows[known[1]] = ids[k]
-                runs[k][0].append(s1)
-                runs[k][1].append(e1 - s1)
-                runs[k][2].append(known[0] << 40 | known[1])
-    g = docs.column("grp")[0].as_py() if len(docs) else 0
-    rows = docs.column("row").to_pylist()
-    out = [
-        {"grp": g, "row": rows[k], "id": ids[k], "n_bytes": len(t), "sha": None if runs[k][0] else hashlib.sha256(t).hexdigest(), "text": t if runs[k][0] else None}
-        | ({"a": pack(np.array(runs[k][0], np.int64)), "b": pack(np.array(runs[k][1], np.int32)), "c": pack(np.array(runs[k][2], np.int64))} if runs[k][0] else {})
-        for k, t in enumerate(texts)
-    ]
-    for part, (found, lows, anchors) in pieces.items():
-        sizes = np.array([len(x) for x in found], np.int32)
-        out.append({"grp": g, "part": part, "a": zstandard.compress(b"".join(found), 1), "b": pack(sizes), "c": pack(np.array(lows, np.int64)), "d": pack(np.array(anchors, np.uint64))})
+    """Runs of the documents of a group that have shared anchors, and the distinct pieces around these, by part."""
+    out: list[dict] = []
+    asked = told.column("ids").to_pylist()
+    if len(docs) and asked:
+        texts, ids = utf8(docs.column("text")), docs.column("id").to_pylist()
+        shared = np.unique(np.concatenate([unpack(x, np.uint64) for x in asked]))
+        hot = np.unique(np.concatenate([unpack(x, np.uint64) for x in told.column("hot").to_pylist()]))
+        seen: dict[bytes, tuple[int, int]] = {}
+        pieces: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
+        runs: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in texts]
+        for text, start, end, anchor in anchor_runs(texts, length, gram):
+            own = part_ids(anchor, parts)
+            keep = member(own, shared)
+            text, start, end, own = text[keep], start[keep], end[keep], own[keep]
+            for k, s, e, a, single in zip(text.tolist(), start.tolist(), end.tolist(), own.tolist(), member(own, hot).tolist(), strict=True):
+                for s1, e1 in ((x, x + 1) for x in range(s, e)) if single else ((s, e),):
+                    piece = texts[k][s1 : e1 + length - 1]
+                    known = seen.get(piece)
+                    if known is None:
+                        part = int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "big") % parts if single else a >> 48
+                        box = pieces.setdefault(part, ([], [], []))
+                        known = seen[piece] = (part, len(box[0]))
+                        box[0].append(piece)
+                        box[1].append(LAST)
+                        box[2].append(a)
+                    lows = pieces[known[0]][1]
+                    if ids[k] is not None and ids[k] < lows[known[1]]:
+                        lows[known[1]] = ids[k]
+                    runs[k][0].append(s1)
+                    runs[k][1].append(e1 - s1)
+                    runs[k][2].append(known[0] << 40 | known[1])
+        g = docs.column("grp")[0].as_py()
+        for row, (starts, sizes, places) in zip(docs.column("row").to_pylist(), runs, strict=True):
+            if starts:
+                out.append({"part": g % parts, "grp": g, "row": row, "a": pack(np.diff(np.array(starts, np.int64), prepend=0)), "b": pack(np.array(sizes, np.int32)), "c": pack(np.diff(np.array(places, np.int64), prepend=0))})
+        for part, (found, lows, anchors) in pieces.items():
+            sizes = np.array([len(x) for x in found], np.int32)
+            out.append({"part": part, "grp": g, "a": zstandard.compress(b"".join(found), 1), "b": pack(sizes), "c": pack(np.array(lows, np.int64)), "d": pack(np.array(anchors, np.uint64))})
     return pa.Table.from_pylist(out, schema=_arrow(SENT))
 
 
@@ -194,58 +206,78 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _classes(batches: Batches, length: int) -> Batches:
-    """The pieces of a part, in runs of whole anchors; for each group the least id of every window of its pieces."""
+    """For each group the least id of every window of the pieces it sent; rows of documents pass through."""
     boxes: dict[int, list[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
+        table = pa.Table.from_batches([batch])
+        whole = table.filter(table.column("row").is_valid()).drop_columns(["d"])
+        yield from whole.to_batches()
+        for row in table.filter(table.column("row").is_null()).to_pylist():
             boxes.setdefault(row["part"], []).append((row["grp"], zstandard.decompress(row["a"]), unpack(row["b"], np.int32), unpack(row["c"], np.int64), unpack(row["d"], np.uint64)))
     for part, sent in boxes.items():
         low: dict[bytes, int] = {}
-        anchor: dict[bytes, int] = {}
+        of_anchor: dict[int, list[bytes]] = {}
         cut: list[list[bytes]] = []
         for _, text, sizes, lows, anchors in sent:
             ends = np.cumsum(sizes)
             cut.append([text[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
             for piece, value, a in zip(cut[-1], lows.tolist(), anchors.tolist(), strict=True):
                 known = low.get(piece)
+                if known is None:
+                    of_anchor.setdefault(a, []).append(piece)
                 if known is None or value < known:
                     low[piece] = value
-                anchor.setdefault(piece, a)
-        order = sorted(low, key=anchor.__getitem__)
         result: dict[bytes, np.ndarray] = {}
-        start = size = 0
-        for k, piece in enumerate(order):
-            size += len(piece)
-            last = k + 1 == len(order)
-            # pieces of single windows are equal or unlike by themselves, so where a run ends matters only inside an anchor
-            if last or (size >= RUN_BYTES and anchor[order[k + 1]] != anchor[piece]):
-                run = order[start : k + 1]
+        run: list[bytes] = []
+        size = 0
+        for pieces in of_anchor.values():
+            if len(pieces) == 1:  # all that have this anchor have the whole piece
+                result[pieces[0]] = np.full(len(pieces[0]) - length + 1, low[pieces[0]], np.int64)
+                continue
+            run += pieces
+            size += sum(map(len, pieces))
+            if size >= RUN_BYTES:
                 result.update(zip(run, least_by_window(run, np.array([low[x] for x in run], np.int64), length), strict=True))
-                start, size = k + 1, 0
+                run, size = [], 0
+        if run:
+            result.update(zip(run, least_by_window(run, np.array([low[x] for x in run], np.int64), length), strict=True))
         for (g, *_), own in zip(sent, cut, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([part], pa.int32()), pa.array([pack(np.concatenate([result[x] for x in own]))], pa.binary()), pa.array([pack(np.array([len(result[x]) for x in own], np.int32))], pa.binary())], names=["grp", "part", "least", "sizes"])
+            least = np.concatenate([result[x] for x in own])
+            sizes = np.array([len(result[x]) for x in own], np.int32)
+            row = {"part": part, "grp": g, "row": None, "a": pack(np.diff(least, prepend=0)), "b": pack(sizes), "c": None}
+            yield pa.RecordBatch.from_pylist([row], schema=_arrow(SENT.removesuffix(", d binary")))
 
 
 def _mark(docs: pa.Table, told: pa.Table, length: int, keep_text: bool, kind: str) -> pa.Table:
     """Removed spans of each document of the group, and the digest of what is left."""
-    least: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for part, values, sizes in zip(told.column("part").to_pylist(), told.column("least").to_pylist(), told.column("sizes").to_pylist(), strict=True):
-        least[part] = (unpack(values, np.int64), np.concatenate(([0], np.cumsum(unpack(sizes, np.int32)))))
+    least, first, begin, runs = [np.empty(0, np.int64)], {}, [np.empty(0, np.int64)], {}
+    windows = pieces = 0
+    for part, row, a, b, c in zip(*(told.column(n).to_pylist() for n in ("part", "row", "a", "b", "c")), strict=True):
+        if row is not None:
+            runs[row] = (np.cumsum(unpack(a, np.int64)), unpack(b, np.int32).astype(np.int64), np.cumsum(unpack(c, np.int64)))
+            continue
+        values, sizes = np.cumsum(unpack(a, np.int64)), unpack(b, np.int32)
+        first[part] = pieces
+        least.append(values)
+        begin.append(windows + np.cumsum(sizes) - sizes)
+        windows, pieces = windows + len(values), pieces + len(sizes)
+    least, begin = np.concatenate(least), np.concatenate(begin)
+    base = np.zeros(max(first, default=0) + 1, np.int64)
+    base[list(first)] = list(first.values())
     out = []
-    for row in docs.to_pylist():
-        text = row["text"] or b""
-        own = LAST if row["id"] is None else row["id"]
-        hits = np.zeros(len(text) + 1, np.int64)
-        for s, n, at in zip(unpack(row["a"], np.int64).tolist(), unpack(row["b"], np.int32).tolist(), unpack(row["c"], np.int64).tolist(), strict=True):
-            values, starts = least[at >> 40]
-            first = int(starts[at & (1 << 40) - 1])
-            found = np.flatnonzero(values[first : first + n] < own) + s
-            hits[found] += 1
-            hits[found + length] -= 1
-        gone = np.cumsum(hits)[:-1] > 0
+    for row, own, text in zip(docs.column("row").to_pylist(), docs.column("id").to_pylist(), utf8(docs.column("text")), strict=True):
+        gone = np.zeros(len(text), dtype=bool)
+        if row in runs:
+            starts, sizes, places = runs[row]
+            at = begin[base[places >> 40] + (places & LOW)]
+            shift = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = least[np.repeat(at, sizes) + shift] < (LAST if own is None else own)
+            hits = np.bincount((np.repeat(starts, sizes) + shift)[found], minlength=len(text) + 1)[: len(text) + 1]
+            hits[length:] -= hits[:-length].copy()
+            gone = np.cumsum(hits)[:-1] > 0
         edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
-        left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        out.append({"row": row["row"], "n_bytes": len(text), "n_removed": int(gone.sum()), "spans": [{"start": a, "end": b} for a, b in edges.tolist()], "sha": hashlib.sha256(left).hexdigest()} | ({"kept": left} if keep_text else {}))
+        left = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(edges) else text
+        out.append({"row": row, "n_bytes": len(text), "n_removed": int(gone.sum()), "spans": [{"start": a, "end": b} for a, b in edges.tolist()], "sha": hashlib.sha256(left).hexdigest()} | ({"kept": left} if keep_text else {}))
     return pa.Table.from_pylist(out, schema=_arrow(kind))
 
 
@@ -254,34 +286,37 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
 
     A byte goes if it is covered by a string of ``length`` bytes that also starts in a document with a
     smaller id; strings are judged on the input. A null text is empty, a null id is greater than all others,
-    rows of one id never remove from each other. ``length`` is at least twice ``GRAM``.
+    rows of one id never remove from each other. ``length`` exceeds ``GRAM``, ``GRAM`` exceeds 8.
     """
     doc = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc")
-    base = docs.select(doc, F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    base = stored(base.withColumn("row", F.monotonically_increasing_id()).withColumn("grp", F.floor(F.col("row") / GROUP_ROWS)))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    total = docs.select(F.octet_length(text).alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = min(max(8, -(-total // part_bytes)), 60_000)
+    base = docs.select(doc, F.col(f"`{id_col}`").cast("long").alias("id"), text).withColumn("row", F.monotonically_increasing_id())
+    base = bucketed(base.withColumn("grp", F.floor(F.col("row") / GROUP_ROWS)), "grp", max(8, -(-total // BUCKET_BYTES)))
+    texts = base.select("grp", "row", "id", "text")
 
     asked = base.select("grp", "text").mapInArrow(partial(_ask, parts=parts, length=length, gram=GRAM), "part int, grp long, ids binary")
     told = asked.repartitionById(parts, F.col("part")).mapInArrow(partial(_tell, hot=hot), "grp long, ids binary, hot binary")
-    texts = base.select("grp", "row", "id", "text")
 
     def cut(documents: pa.Table, replies: pa.Table) -> pa.Table:
         return _cut(documents, replies, parts, length, GRAM)
 
-    sent = stored(texts.groupBy("grp").cogroup(stored(told).groupBy("grp")).applyInArrow(cut, SENT))
-    pieces = sent.filter("part IS NOT NULL").select("part", "grp", "a", "b", "c", "d")
-    classes = stored(pieces.repartitionById(parts, F.col("part")).mapInArrow(partial(_classes, length=length), "grp long, part int, least binary, sizes binary"))
-
+    sent = texts.groupBy("grp").cogroup(stored(told).groupBy("grp")).applyInArrow(cut, SENT)
+    classes = stored(sent.repartitionById(parts, F.col("part")).mapInArrow(partial(_classes, length=length), SENT.removesuffix(", d binary")))
     kind = f"row long, n_bytes long, n_removed long, spans {SPANS}, sha string" + (", kept binary" if keep_text else "")
 
     def mark(documents: pa.Table, replies: pa.Table) -> pa.Table:
         return _mark(documents, replies, length, keep_text, kind)
 
-    some = sent.filter("part IS NULL AND sha IS NULL").select("grp", "row", "id", "text", "a", "b", "c")
-    marked = some.groupBy("grp").cogroup(classes.groupBy("grp")).applyInArrow(mark, kind)
-    none = sent.filter("part IS NULL AND sha IS NOT NULL").select("row", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.array().cast(SPANS).alias("spans"), "sha")
-    found = marked.unionByName(none, allowMissingColumns=True)
-    out = base.select("doc", "row", "text").join(found, "row") if keep_text else base.select("doc", "row").join(found, "row")
-    more = [F.coalesce("kept", F.col("text").cast("binary")).alias("kept")] if keep_text else []
-    return out.select("doc", "n_bytes", "n_removed", "spans", F.col("sha").alias("kept_sha256"), *more)
+    found = texts.groupBy("grp").cogroup(classes.groupBy("grp")).applyInArrow(mark, kind)
+    out = base.select("doc", "row").join(found, "row")
+    return out.select("doc", "n_bytes", "n_removed", "spans", F.col("sha").alias("kept_sha256"), *(["kept"] if keep_text else []))
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``column``: grouping by it needs no further shuffle."""
+    path = shared_folder(df.sparkSession)
+    name = "groups_" + path.rsplit("-", 1)[1]
+    df.repartition(buckets, column).write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    return df.sparkSession.table(name)
