@@ -6,14 +6,15 @@ agree on a band share a bucket. Documents of equal shingle sets are one class, a
 
 Verification without all pairs. In each bucket of more than ``SMALL`` members one leader, the member that meets most others over all
 buckets, is compared on full sets with every member. What remains are links between members of which at
-least one is no link of the leader L. Write D(x) for the symmetric difference of x and L. If x is not linked
-with L and D(x), D(y) had no element in common, then J(x, y) <= J(x, L), so x and y would not be linked
-either. So all remaining links lie inside groups of members that share an element of D, and a prefix of D
-suffices (two linked sets differ in a bounded number of elements). These groups are the buckets of the next
-round, without those that lie in one component already; rounds end when no bucket is left. In a bucket of at
-most ``SMALL`` members each is compared with each that is not in its component. No link between members of a
-bucket is lost, a bucket of any size costs rows in proportion to its members, and a large
-bucket is dealt over tasks by salting its leader.
+least one, x, is no link of the leader L. Write B(x) for the elements that x has and L lacks, A(x) for those
+that L has and x lacks. If x and y share nothing in B, then they can share at most all of A(y), and
+J(x, y) <= |x & L| / (|x | L| + |B(y)| - |A(y)|). So x and y are linked only if they share an element of B,
+or if they share one of A and y is shorter than L by the deficit of x, |x | L| - |x & L| / threshold, at
+least. A prefix suffices, new elements before missing ones, because linked sets differ in a bounded number
+of elements. What is left of a leader's members after that, less what lies in its largest component, is a set
+of queries against all of them, in blocks. In a bucket of at most ``SMALL`` members each is compared with each
+of another component. No link between members of a bucket is lost, what is sent grows with the members, and a
+large bucket is dealt over tasks by salting its leader and by blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 20, 6
 SLICE_BYTES = 1 << 20
 SALT_MEMBERS = 256  # members compared with one copy of their leader
+QUERY_BLOCK, MEMBER_BLOCK = 512, 2048
 SMALL = 16  # members of a bucket that are compared each with each; larger buckets go by leaders
 
 
@@ -96,7 +98,7 @@ def _compare(batches: Batches, shingle: int, percent: int) -> Batches:
     hashes = WordHashes()
     leader = None
     for batch in batches:
-        out: list[tuple[int, int, bool, np.ndarray]] = []
+        out: list[tuple] = []
         for lead, member, text in zip(batch.column("leader").to_pylist(), batch.column("member").to_pylist(), utf8(batch.column("text")), strict=True):
             own = shingle_set(text, hashes, shingle)
             if member == lead:
@@ -108,12 +110,15 @@ def _compare(batches: Batches, shingle: int, percent: int) -> Batches:
             linked = 100 * both >= percent * (len(own) + len(leader) - both)
             missing = np.ones(len(leader), dtype=bool)
             missing[place[common]] = False
-            differs = np.concatenate((own[~common], leader[missing]))
+            new, gone = own[~common], leader[missing]
             most = int(len(own) * (1 + 100 / percent) * (100 - percent) / (100 + percent)) + 2  # elements in which a linked set may differ, and one
-            out.append((lead, member, bool(linked), differs[:most].view(np.int64)))
+            shorter = len(gone) - len(new)
+            deficit = len(own) + len(gone) - both * 100 / percent
+            out.append((lead, member, bool(linked), new[:most].view(np.int64), gone[: max(0, most - len(new))].view(np.int64), shorter, deficit))
         if out:
-            leads, members, linked, differs = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(leads, pa.int64()), pa.array(members, pa.int64()), pa.array(linked, pa.bool_()), pa.array(differs, pa.list_(pa.int64()))], names=["leader", "member", "linked", "differs"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.float64())
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["leader", "member", "linked", "new", "gone", "shorter", "deficit"])
 
 
 def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
@@ -139,7 +144,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     leaders = salts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("member"))
     rows = salted.unionByName(leaders).join(texts.withColumnRenamed("node", "member"), "member")
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member") != F.col("leader"))
-    return dealt.select("leader", "member", "text").mapInArrow(partial(_compare, shingle=shingle, percent=percent), "leader long, member long, linked boolean, differs array<long>")
+    return dealt.select("leader", "member", "text").mapInArrow(partial(_compare, shingle=shingle, percent=percent), "leader long, member long, linked boolean, new array<long>, gone array<long>, shorter long, deficit double")
 
 
 def near_links(classes: DataFrame, texts_of, shingle: int, percent: int) -> DataFrame | None:
@@ -150,26 +155,102 @@ def near_links(classes: DataFrame, texts_of, shingle: int, percent: int) -> Data
     if buckets.isEmpty():
         return None
     texts = stored(texts_of(buckets.select("node").distinct()))
-    sets = classes.select("node", "n")
-    links = components = None
-    while True:
-        pairs = stored(_pairs(buckets, percent))
-        found = stored(_verified(pairs, texts, shingle, percent).join(pairs, ["leader", "member"]))
-        new = found.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        components = stored(connected_components(links))
-        open_leaders = found.filter("star AND NOT linked").select("leader").distinct()
-        if open_leaders.isEmpty():
-            return components
-        # groups that share an element of their difference from the leader, one of them not linked with it
-        of = found.filter("star").join(open_leaders, "leader", "left_semi").join(components.withColumnRenamed("node", "member"), "member", "left")
-        spread = of.select(F.col("member").alias("node"), "leader", F.coalesce("component", "member").alias("component"), "linked", F.explode("differs").alias("element"))
-        groups = spread.groupBy("leader", "element").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
-        groups = groups.filter("size > 1 AND low <> high AND NOT all").select("leader", "element", "size")
-        rest = spread.join(groups, ["leader", "element"]).select(F.xxhash64("leader", "element").alias("bucket"), "node", "component", "size")
-        buckets = stored(rest.join(sets, "node"))
-        if buckets.isEmpty():
-            return components
+    pairs = stored(_pairs(buckets, percent))
+    found = stored(_verified(pairs, texts, shingle, percent).join(pairs, ["leader", "member"]))
+    links = found.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    components = stored(connected_components(links))
+    # members of a leader that share an element of their difference from it, one of them not linked with it;
+    # of missing elements only if another of the group is short enough
+    open_leaders = found.filter("star AND NOT linked").select("leader").distinct()
+    of = found.filter("star").join(open_leaders, "leader", "left_semi").join(components.withColumnRenamed("node", "member"), "member", "left")
+    of = of.withColumn("component", F.coalesce("component", "member")).withColumn("lacks", F.when(~F.col("linked"), F.col("deficit")))
+    columns = [F.col("member").alias("node"), "leader", "component", "linked", "shorter", "lacks"]
+    short = F.col("shorter") >= 1
+    spread = of.select(*columns, F.lit(True).alias("has"), F.explode("new").alias("element"))
+    spread = spread.unionByName(of.filter(short | ~F.col("linked")).select(*columns, F.lit(False).alias("has"), F.explode("gone").alias("element")))
+    groups = spread.groupBy("leader", "element").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"),
+        F.max("has").alias("has"), F.max("shorter").alias("shorter"), F.min("lacks").alias("lacks"),
+    )
+    groups = groups.filter("size > 1 AND low <> high AND NOT all AND (has OR shorter >= lacks - 1e-6)").select("leader", "element")
+    rest = stored(spread.join(groups, ["leader", "element"]).select("leader", "node", "component").distinct())
+    if rest.isEmpty():
+        return components
+    more = stored(_searched(rest, texts, shingle, percent))
+    if more.isEmpty():
+        return components
+    return stored(connected_components(links.unionByName(more)))
+
+
+def _searched(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among the remaining members of each leader.
+
+    Of two components one is not the leader's largest, so the members outside of it are queries against
+    all, in blocks of queries and of members. Blocks give links, at most one for each of their documents.
+    """
+    counts = rest.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
+    shape = largest.select(
+        "leader",
+        F.col("top.component").alias("largest"),
+        F.ceil((F.col("members") - F.col("top.n")) / QUERY_BLOCK).alias("query_blocks"),
+        F.ceil(F.col("members") / MEMBER_BLOCK).alias("member_blocks"),
+    ).filter("query_blocks > 0")
+    rows = rest.join(shape, "leader")
+    zero = F.lit(0).cast("long")
+    as_member = rows.select(
+        "leader", "node", "component", F.lit(False).alias("query"),
+        F.pmod(F.xxhash64("node"), F.col("member_blocks")).alias("m"), F.explode(F.sequence(zero, F.col("query_blocks") - 1)).alias("q"),
+    )
+    as_query = rows.filter("component <> largest").select(
+        "leader", "node", "component", F.lit(True).alias("query"),
+        F.explode(F.sequence(zero, F.col("member_blocks") - 1)).alias("m"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("query_blocks")).alias("q"),
+    )
+    blocks = as_member.unionByName(as_query).join(texts, "node")
+    dealt = blocks.repartition("leader", "q", "m").sortWithinPartitions("leader", "q", "m", "query", "node")
+    return dealt.select("leader", "q", "m", "query", "node", "component", "text").mapInArrow(partial(_search, shingle=shingle, percent=percent), "a long, b long").distinct()
+
+
+def _search(batches: Batches, shingle: int, percent: int) -> Batches:
+    """Each query of a block against the members of the block that came before it, by counting shared shingles."""
+    hashes = WordHashes()
+    block, members, index = None, [], None
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    for batch in batches:
+        out = []
+        for row, text in zip(batch.drop_columns(["text"]).to_pylist(), utf8(batch.column("text")), strict=True):
+            if (row["leader"], row["q"], row["m"]) != block:
+                block, members, index, joined = (row["leader"], row["q"], row["m"]), [], None, {}
+            own = shingle_set(text, hashes, shingle)
+            if not row["query"]:
+                members.append((row["node"], row["component"], own))
+                continue
+            if not members:
+                continue
+            if index is None:
+                sizes = np.array([len(s) for _, _, s in members])
+                order = np.argsort(flat := np.concatenate([s for _, _, s in members]), kind="stable")
+                index = flat[order], np.repeat(np.arange(len(members)), sizes)[order], sizes
+            tokens, owners, sizes = index
+            low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            n = high - low
+            at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+            both = np.bincount(owners[at], minlength=len(members))
+            for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
+                node, component, _ = members[k]
+                a, b = root(component), root(row["component"])
+                if a != b:
+                    joined[a] = b
+                    out.append((node, row["node"]))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
