@@ -52,3 +52,10 @@ def test_feeds(spark, tmp_path):
     a = feeds.fingerprint({"f": (frame, ["id"])}).first().digest
     assert a == feeds.fingerprint({"f": (frame.orderBy("id", ascending=False).repartition(3), ["id"])}).first().digest
     assert a != feeds.fingerprint({"f": (frame.where("id > 0"), ["id"])}).first().digest
+
+
+def test_fingerprint_sees_values_that_move_between_nullable_columns(spark):
+    kind = "a double, b double"
+    one, two = spark.createDataFrame([(None, 7.0)], kind), spark.createDataFrame([(7.0, None)], kind)
+    digests = [feeds.fingerprint({"f": (df, ["a", "b"])}).first().digest for df in (one, two)]
+    assert digests[0] != digests[1]
