@@ -229,6 +229,68 @@ def _batches(t):
     )
 
 
+def _shared(t) -> str:
+    """A fresh folder that all executors see."""
+    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return jobs.fresh_folder(root or local_folder(t.spark))
+
+
+@query(
+    "a01_a02_read_published_seasons",
+    "season:i games:i home_points:d",
+    """SELECT season, count(*) AS games, sum(home_score) AS home_points FROM games
+    WHERE season BETWEEN 1990 AND (SELECT max(season) - 1 FROM games) GROUP BY 1""",
+    "games",
+)
+def _(t):
+    """Seasons published in folders are found and read; seasons nobody published are skipped."""
+    root = _shared(t)
+    wanted = "season int, game_id bigint, home_score double"
+    rows = t.games.select("season", F.col("game_id").cast("bigint").alias("game_id"), F.col("home_score").cast("double").alias("home_score"))
+    newest = rows.agg(F.max("season")).first()[0]
+    rows.write.partitionBy("season").parquet(root)
+    read = feeds.read_seasons(t.spark, root, list(range(1980, newest)), wanted)
+    feeds.require_rows({"games": read}, ["games"])
+    return read.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.sum("home_score").alias("home_points"))
+
+
+@query(
+    "a17_a18_recorded_and_scored",
+    "run_id:s game_id:i model_hash:s prediction_season:i margin_absolute_error:d total_absolute_error:d",
+    """SELECT run_id, game_id, 'h-' || run_id AS model_hash, 2001 AS prediction_season, abs(predicted_home_margin - am) AS margin_absolute_error,
+    abs(total - at_) AS total_absolute_error FROM runs WHERE run_id <> 'run2'""",
+    "runs",
+)
+def _(t):
+    """Three batches are written once each, two of them scored once each, and the scores read back."""
+    root = _shared(t)
+    for run in ("run0", "run1", "run2"):
+        batch = _runs(t).where(F.col("run_id") == run).drop("run_id")
+        ledger.record_batch(
+            batch, root, run_id=run, created_at="2001-06-01 00:00:00", model_hash=f"h-{run}", data_cutoff="2001-05-31", prediction_season=2001
+        )
+    for run in ("run0", "run1"):
+        ledger.record_scores(t.spark, root, run, t.games, "2001-12-01 00:00:00")
+    return t.spark.read.option("basePath", f"{root}/results").parquet(f"{root}/results")
+
+
+@query(
+    "a23_publish_by_season",
+    "prediction_season:i games:i total:d",
+    """SELECT season AS prediction_season, count(*) AS games, sum(CASE WHEN season = 2000 THEN total + 1 ELSE total END) AS total
+    FROM predictions WHERE season IN (1999, 2000) GROUP BY 1""",
+    "predictions",
+)
+def _(t):
+    """Publishing a season again replaces it and leaves the other one alone."""
+    root = _shared(t)
+    for season, shift in ((1999, 0.0), (2000, 0.0), (2000, 1.0)):
+        rows = t.predictions.where(F.col("season") == season).select("game_id", (F.col("total") + shift).alias("total"))
+        ledger.publish(rows, root, "forecasts", season)
+    read = t.spark.read.parquet(f"{root}/forecasts")
+    return read.groupBy("prediction_season").agg(F.count(F.lit(1)).alias("games"), F.sum("total").alias("total"))
+
+
 @query(
     "a19_latest_run",
     "run_id:s model_hash:s",
