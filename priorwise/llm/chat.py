@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from priorwise.llm.common import stored
 
-PAIR_BLOCK = 4096  # ids of a block; pairs are made inside blocks, so that no group grows with the table
+PAIR_BLOCK = 4096  # ids of a block in the registered SQL; the operator pairs without blocks
 LAST = (1 << 63) - 1
 
 
@@ -37,23 +37,32 @@ def clean_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     )
 
 
-def preference_pairs(turns: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+def preference_pairs(turns: DataFrame) -> DataFrame:
     """pair_id, chosen, rejected (conversation ids) from clean turns.
 
-    Inside a block of ids, conversations of the same opening turn are paired in the order of their ids, first
-    with second, third with fourth. Of a pair the one with more assistant text is chosen, the smaller id of
-    equal ones. The pair_id is the smaller id; one left over has a null ``rejected``.
+    Conversations of the same opening turn are paired in the order of their ids, first with second, third with
+    fourth. Of a pair the one with more assistant text is chosen, the smaller id of equal ones. The pair_id is
+    the smaller id; one left over, at most one of each opening, has a null ``rejected``.
+
+    Conversations are dealt into ranges of (opening, id), so that an opening that many share is numbered in many
+    tasks; the ranks inside a range are shifted by the counts of the ranges before it.
     """
     size = F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0))
     convs = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", F.sha2("text", 256).alias("text"))).alias("opening"), size.alias("size"))
-    group = Window.partitionBy("opening", "block").orderBy("conv_id")
-    ranked = convs.withColumn("block", F.floor(F.col("conv_id") / block)).withColumn("rank", F.row_number().over(group))
-    two = ranked.withColumn("other", F.lead(F.struct("conv_id", "size")).over(group)).filter(F.col("rank") % 2 == 1)
-    swap = F.coalesce(F.col("other.size") > F.col("size"), F.lit(False))
+    dealt = stored(convs.repartitionByRange("opening", "conv_id").withColumn("range", F.spark_partition_id()))
+    earlier = Window.partitionBy("opening").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("opening", "range").agg(F.count("*").alias("n")).select("opening", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("opening", "range").orderBy("conv_id"))
+    ranked = dealt.withColumn("inside", inside).join(counts, ["opening", "range"])
+    pair = F.floor((F.col("before") + F.col("inside") - 1) / 2).alias("pair")
+    one = F.struct("conv_id", "size")
+    two = ranked.groupBy("opening", pair).agg(F.min(one).alias("one"), F.max(one).alias("other"))
+    alone = F.col("one.conv_id") == F.col("other.conv_id")
+    swap = F.col("other.size") > F.col("one.size")
     return two.select(
-        F.col("conv_id").alias("pair_id"),
-        F.when(swap, F.col("other.conv_id")).otherwise(F.col("conv_id")).alias("chosen"),
-        F.when(swap, F.col("conv_id")).otherwise(F.col("other.conv_id")).alias("rejected"),
+        F.col("one.conv_id").alias("pair_id"),
+        F.when(swap, F.col("other.conv_id")).otherwise(F.col("one.conv_id")).alias("chosen"),
+        F.when(alone, None).when(swap, F.col("one.conv_id")).otherwise(F.col("other.conv_id")).alias("rejected"),
     )
 
 
