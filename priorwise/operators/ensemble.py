@@ -52,16 +52,23 @@ def boosted_trees(train: DataFrame, features: Sequence[str], target: str, *, pro
 
 def boosted_oof(
     df: DataFrame, features: Sequence[str], target: str, *, profile: str = "current",
-    seasons: Sequence[int], keep: Sequence[str],
+    seasons: Sequence[int] | None = None, keep: Sequence[str],
 ) -> DataFrame:
     """Out-of-fold tree predictions with season blocks: each listed season is predicted by trees
-    grown on all earlier seasons. A tree costs several jobs, so weekly refits are left to ridge."""
+    grown on all earlier seasons. Without a list these are all seasons with complete rows but the
+    first. A tree costs several jobs, so weekly refits are left to ridge."""
+    if seasons is None:
+        known = complete_rows(df, [*features, target]).where("season IS NOT NULL").select("season").distinct()
+        seasons = sorted(r["season"] for r in known.collect())[1:]
     out = None
     for season in seasons:
         model = boosted_trees(df.where(F.col("season") < season), features, target, profile=profile)
         rows = complete_rows(df.where(F.col("season") == season), [*features, target])
         part = model.transform(rows).select(*keep, "season", "week", F.col(target).alias("actual"), "tree_prediction")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        nothing = df.where(F.lit(False)).withColumn("tree_prediction", F.lit(None).cast("double"))
+        return nothing.select(*keep, "season", "week", F.col(target).alias("actual"), "tree_prediction")
     return out
 
 

@@ -173,7 +173,8 @@ def calibrate_preseason(predictions: DataFrame, ratings: DataFrame, snapshot_at:
 
     Full weight in week 1, a quarter less each week. The football-only forecast is kept beside the
     blend. A prediction already calibrated with this snapshot is left as it is, which makes the
-    step idempotent; so is one whose teams have no rating.
+    step idempotent; so is one whose teams have no rating. Where both sides have a season, a team's
+    rating is that of the season.
     """
     from ..functions.numeric import normal_cdf
     from ..functions.odds import score_pair
@@ -184,10 +185,10 @@ def calibrate_preseason(predictions: DataFrame, ratings: DataFrame, snapshot_at:
                          ("football_probability", "home_win_probability"), ("calibrated_with", None)):
         if name not in frame.columns:
             frame = frame.withColumn(name, F.lit(None).cast("string" if source is None else "double"))
-    side = ratings.select("team", "rating", "home_field_points")
-    home = side.select(F.col("team").alias("home_team"), F.col("rating").alias("_home"), "home_field_points")
-    away = side.select(F.col("team").alias("away_team"), F.col("rating").alias("_away"))
-    joined = frame.join(home, "home_team", "left").join(away, "away_team", "left")
+    by = ["season"] if "season" in ratings.columns and "season" in frame.columns else []
+    home = ratings.select(*by, F.col("team").alias("home_team"), F.col("rating").alias("_home"), "home_field_points")
+    away = ratings.select(*by, F.col("team").alias("away_team"), F.col("rating").alias("_away"))
+    joined = frame.join(home, [*by, "home_team"], "left").join(away, [*by, "away_team"], "left")
     due = F.col("_home").isNotNull() & F.col("_away").isNotNull() & ~F.coalesce(
         F.col("calibrated_with") == snapshot_at, F.lit(False)
     )

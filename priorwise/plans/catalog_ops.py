@@ -510,10 +510,8 @@ def _(t):
 
 @query("g03_boosted_trees", "game_id:i season:i week:i actual:d tree_prediction:d")
 def _(t):
-    """Trees grown on all seasons before 2000, predicting 2000."""
-    return ensemble.boosted_oof(
-        game_features_completed(t), teamform.CORE_GAME_FEATURES, "home_margin", seasons=[2000], keep=["game_id"]
-    )
+    """Each season but the first, predicted by trees grown on all seasons before it."""
+    return ensemble.boosted_oof(game_features_completed(t), teamform.CORE_GAME_FEATURES, "home_margin", keep=["game_id"])
 
 
 @query(
