@@ -196,12 +196,17 @@ def _score(batches: Batches, model: AdditiveModel) -> Batches:
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, max_train: int = MAX_TRAIN, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """Fit on the labelled rows that ``train`` (a column over the id) holds for, ``max_train`` at most, the least by a hash of the id.
 
-    Rows without an id or a label are not used; an id labelled twice counts twice.
+    Rows without an id or a label are not used; an id labelled twice counts twice. Of rows with the same id the
+    one with the least hash of its text stands for all, so that no more than ``max_train`` rows reach the driver.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull())
     sample = known.filter(train).orderBy(F.xxhash64("id"), "id", "y").limit(max_train)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "y")  # the broadcast side has max_train rows at most
+    marks = sample.groupBy("id").agg(F.sort_array(F.collect_list("y")).alias("ys"))
+    whole = F.coalesce("text", F.lit(""))
+    least = F.min_by(whole, F.struct(F.xxhash64(whole), whole)).alias("text")
+    one = texts.join(F.broadcast(marks), "id").groupBy("id", "ys").agg(least)  # the broadcast side has max_train labels at most
+    rows = one.select("text", F.explode("ys").alias("y"))
     got = rows.select("text", "y").mapInArrow(_features, "x array<double>, y double").collect()
     order = sorted(((tuple(r["x"]), r["y"]) for r in got))
     x, y = np.array([a for a, _ in order]).reshape(-1, len(FEATURES)), np.array([b for _, b in order])
