@@ -598,7 +598,7 @@ def _(t):
     "s07_s08_labels",
     "game_id:i spread:s market:s kickoff:s separator:s",
     """SELECT game_id, CASE WHEN abs(m) < 0.05 THEN 'Pick' ELSE CASE WHEN m > 0 THEN home_team ELSE away_team END || printf(' -%.1f', abs(m)) END AS spread,
-    CASE WHEN s IS NULL THEN '— pending feed —' ELSE home_team || printf(' %+.1f', s) || ' · O/U ' || printf('%.1f', o) END AS market,
+    CASE WHEN s IS NULL THEN 'no feed yet' ELSE home_team || printf(' %+.1f', s) || ' · O/U ' || printf('%.1f', o) END AS market,
     strftime(gameday, '%a %-m/%-d ') || CASE WHEN gametime = 'TBD' THEN 'TBD' ELSE
       printf('%d:%s%s', CASE WHEN CAST(left(gametime, 2) AS INTEGER) > 12 THEN CAST(left(gametime, 2) AS INTEGER) - 12 ELSE CAST(left(gametime, 2) AS INTEGER) END,
         right(gametime, 2), CASE WHEN CAST(left(gametime, 2) AS INTEGER) < 12 THEN 'a' ELSE 'p' END) END || CASE WHEN neutral_site THEN ' · neutral site' ELSE '' END AS kickoff,
