@@ -128,7 +128,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     ),
     r AS (
       SELECT *, row_number() OVER g AS k, lead(conv_id) OVER g AS other, lead(size) OVER g AS other_size
-      FROM c WINDOW g AS (PARTITION BY opening, conv_id // {chat.PAIR_BLOCK} ORDER BY conv_id)
+      FROM c WINDOW g AS (PARTITION BY opening ORDER BY conv_id)
     ),
     p AS (
       SELECT conv_id AS pair_id, CASE WHEN other_size > size THEN other ELSE conv_id END AS chosen,

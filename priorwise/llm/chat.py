@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from priorwise.llm.common import stored
 
-PAIR_BLOCK = 4096  # ids of a block in the registered SQL; the operator pairs without blocks
 LAST = (1 << 63) - 1
 
 
