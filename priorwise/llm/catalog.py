@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import chat, decontaminate, exact_dedup, language, minhash, packing, pii, quality, sharding, substrings
+from priorwise.llm import chat, decontaminate, exact_dedup, language, minhash, packing, pii, quality, sharding, simhash, substrings
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.repeated_passages(table(spark, folder, "documents", "doc_id", "text"), carry=["doc_id"])
     return found.select("doc.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op13_simhash_near_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.fingerprint_groups(table(spark, folder, "documents", "doc_id", "text"), carry=["doc_id"])
+    return groups.select("doc.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
