@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import chat, decontaminate, exact_dedup, language, minhash, packing, pii, quality, sharding, simhash, substrings
+from priorwise.llm import chat, decontaminate, divergence, exact_dedup, language, minhash, packing, pii, quality, sharding, simhash, substrings
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,40 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.fingerprint_groups(table(spark, folder, "documents", "doc_id", "text"), carry=["doc_id"])
     return groups.select("doc.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_source_divergence",
+    f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w FROM documents
+    ),
+    t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+    sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    uses AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    grid AS MATERIALIZED (
+      SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS p
+      FROM (SELECT g.lang, g.source, kept.term, coalesce(uses.c, 0) AS c, v FROM g JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN uses USING (lang, source, term))
+    ),
+    whole AS (
+      SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v) AS q
+      FROM (SELECT lang, term, sum(c) AS c FROM grid GROUP BY lang, term) JOIN sizes USING (lang)
+    ),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM grid a JOIN grid b USING (lang, term) GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND item = b.source),
+    above AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM grid JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+    ranked AS (
+      SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL BY NAME SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM above
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents", "lang", "source", "text"))
