@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm import chat, decontaminate, divergence, exact_dedup, language, minhash, packing, pii, quality, sharding, simhash, substrings
+from priorwise.llm import chat, decontaminate, divergence, exact_dedup, language, minhash, negatives, packing, pii, quality, sharding, simhash, substrings
 from priorwise.llm.common import LOWER, UPPER, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,36 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(table(spark, folder, "documents", "lang", "source", "text"))
+
+
+ANCHOR_STEP, FLIP_STEP, LABELS = 50, 7, 10
+
+
+@query(
+    "op12_hard_negatives",
+    f"""
+    WITH e AS MATERIALIZED (
+      SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % {FLIP_STEP} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
+             list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    a AS (SELECT * FROM e WHERE vec_id % {ANCHOR_STEP} = 0),
+    s AS MATERIALIZED (
+      SELECT a.r, a.vec_id AS anchor_id, a.label AS anchor_label, e.r AS other, e.vec_id, e.label,
+             CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+      FROM a JOIN e ON a.r <> e.r
+    ),
+    p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS k FROM s WHERE label = anchor_label QUALIFY k <= {negatives.POSITIVES}),
+    n AS (
+      SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST, s.other) AS rank
+      FROM p JOIN s ON s.r = p.r AND s.label <> s.anchor_label
+      WHERE {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    flipped = lambda i, label: F.when(F.coalesce(i % FLIP_STEP == 0, F.lit(False)), (label + 1) % LABELS).otherwise(label)
+    return negatives.hard_negatives(table(spark, folder, "embeddings", "vec_id", "embedding", "label"), lambda i: i % ANCHOR_STEP == 0, flipped)
