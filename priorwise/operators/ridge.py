@@ -7,11 +7,11 @@ per week. Rows are never re-read per fold.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -19,10 +19,13 @@ from ..session import cut_lineage
 FOLD = ("season", "week")
 
 
+def _known(columns: Iterable[str]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in sorted(columns))
+
+
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows in which none of ``columns`` is null or NaN."""
-    test = " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in columns)
-    return df.where(test)
+    return df.where(_known(columns))
 
 
 def check_features(df: DataFrame, features: Sequence[str], what: str = "model") -> None:
@@ -53,8 +56,10 @@ def _gram_task(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
     return run
 
 
-#: Column that tells which models have all their columns in a row, a bit each.
-PATTERN = "_pattern"
+#: Column that tells which models have all their columns in a row, a bit each, for so many sets of columns.
+PATTERN, MOST_SETS = "_pattern", 62
+#: Cells of a matrix that run over the weeks together.
+PIECE = 512
 
 
 def column_sets(specs: Mapping[str, Spec]) -> list[frozenset[str]]:
@@ -65,24 +70,34 @@ def column_sets(specs: Mapping[str, Spec]) -> list[frozenset[str]]:
 def patterned_rows(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
     """Rows that some model can use, with their pattern; missing values of the other models' columns become 0."""
     sets = column_sets(specs)
-    if len(sets) > 62:
-        raise ValueError("at most 62 sets of columns share Gram matrices; fit the rest apart")
     columns = sorted(frozenset().union(*sets))
     bits = F.lit(0).cast("bigint")
     for k, own in enumerate(sets):
-        test = " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in sorted(own))
-        bits = bits + F.when(F.expr(test), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        bits = bits + F.when(F.expr(_known(own)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     # The pattern is taken from the values as they came, hence before they are filled.
     marked = df.withColumn(PATTERN, bits).where(f"{PATTERN} <> 0")
     filled = {c: F.expr(f"COALESCE(NULLIF(CAST({c} AS DOUBLE), CAST('NaN' AS DOUBLE)), 0D)") for c in columns if c not in FOLD}
     return marked.withColumns(filled)
 
 
-def gram_entries(df: DataFrame, features: Sequence[str], targets: Sequence[str], keys: Sequence[str] = FOLD) -> DataFrame:
-    """Long-form Gram matrix of ``[1, features, targets]`` per key: (key..., pos, value).
+def _sum_task(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for *key, gram in batch[[*keys, "gram"]].itertuples(index=False):
+                known = totals.get(tuple(key))
+                totals[tuple(key)] = np.asarray(gram) if known is None else known + gram
+        if totals:
+            yield pd.DataFrame([{**dict(zip(keys, key, strict=True)), "gram": g} for key, g in totals.items()])
+
+    return run
 
-    Each task multiplies its own rows and emits one matrix per key it saw; the matrices are summed
-    entry by entry, again combined before the shuffle. Traffic depends on tasks and folds only.
+
+def fold_grams(df: DataFrame, features: Sequence[str], targets: Sequence[str], keys: Sequence[str] = (*FOLD, PATTERN)) -> DataFrame:
+    """Gram matrix of ``[1, features, targets]`` per key: (key..., gram), the rows of a matrix one after another.
+
+    Each task multiplies its own rows and gives one matrix per key it saw; the matrices of a key are added in
+    the task that the key is dealt to. Traffic depends on tasks and folds only.
     """
     names = list(keys)
     # Positional names: a fold key such as the week may be a feature as well.
@@ -90,33 +105,41 @@ def gram_entries(df: DataFrame, features: Sequence[str], targets: Sequence[str],
     kinds = {k: "bigint" if k == PATTERN else "int" for k in names}
     rows = df.select(*[F.col(k).cast(kind).alias(k) for k, kind in kinds.items()], *columns)
     schema = ", ".join([*(f"{k} {kind}" for k, kind in kinds.items()), "gram array<double>"])
-    partial = rows.mapInPandas(_gram_task(names), schema)
-    return (
-        partial.select(*names, F.posexplode("gram").alias("pos", "value"))
-        .groupBy(*names, "pos")
-        .agg(F.sum("value").alias("value"))
-    )
+    return rows.mapInPandas(_gram_task(names), schema).repartition(*names).mapInPandas(_sum_task(names), schema)
+
 
+def _before_task(cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Sums of the pieces that came before, for pieces in the order of their folds."""
 
-def _packed(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gram entries of a key as arrays, one for each pattern; a length is the square of the model width."""
-    cells = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    arrays = entries.groupBy(*keys, PATTERN).agg(F.transform(cells, lambda c: c.value).alias("gram"))
-    grouped = arrays.groupBy(*keys) if keys else arrays.groupBy()
-    return grouped.agg(F.collect_list(F.struct(F.col(PATTERN).alias("pattern"), "gram")).alias("grams"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, total = None, np.empty(0)
+        for batch in batches:
+            sums = []
+            for pattern, piece, values in zip(batch[PATTERN], batch["piece"], batch["value"], strict=True):
+                if (pattern, piece) != place:
+                    place, total = (pattern, piece), np.zeros(min(PIECE, cells - piece * PIECE))
+                sums.append(total)
+                if values is not None:
+                    total = total + values
+            yield batch.assign(value=sums)
 
+    return run
 
-def expanding_grams(entries: DataFrame) -> DataFrame:
-    """Per (season, week) the Gram matrices of all strictly earlier weeks.
 
-    A week without rows of a pattern still carries the pattern's earlier sums, so each pattern gets a
-    zero entry in every week that has any.
+def expanding_grams(grams: DataFrame, cells: int) -> DataFrame:
+    """Per (season, week) the Gram matrices of all strictly earlier weeks, as pieces of each pattern.
+
+    ``grams`` is read three times and must be stored. A week without rows of a pattern still carries the
+    pattern's earlier sums. Matrices are cut in pieces, and each piece runs over the weeks in a task of its own.
     """
-    weeks, kinds = entries.select(*FOLD).distinct(), entries.select(PATTERN, "pos").distinct()
-    zeros = weeks.crossJoin(F.broadcast(kinds)).withColumn("value", F.lit(0.0))  # matrix entries of a few patterns
-    full = entries.unionByName(zeros).groupBy(*FOLD, PATTERN, "pos").agg(F.sum("value").alias("value"))
-    before = Window.partitionBy(PATTERN, "pos").orderBy(*FOLD).rowsBetween(Window.unboundedPreceding, -1)
-    return _packed(full.withColumn("value", F.coalesce(F.sum("value").over(before), F.lit(0.0))), FOLD)
+    weeks, kinds = grams.select(*FOLD).distinct(), grams.select(PATTERN).distinct()
+    every = weeks.crossJoin(F.broadcast(kinds)).join(grams, [*FOLD, PATTERN], "left")  # weeks times a few patterns
+    places = F.sequence(F.lit(0), F.lit((cells - 1) // PIECE))
+    cut = F.transform(places, lambda i: F.slice("gram", i * PIECE + 1, PIECE))
+    pieces = every.select(*FOLD, PATTERN, F.posexplode(cut).alias("piece", "value"))
+    dealt = pieces.repartition(PATTERN, "piece").sortWithinPartitions(PATTERN, "piece", *FOLD)
+    before = dealt.mapInPandas(_before_task(cells), f"season int, week int, {PATTERN} bigint, piece int, value array<double>")
+    return before.groupBy(*FOLD).agg(F.collect_list(F.struct(F.col(PATTERN).alias("pattern"), "piece", "value")).alias("grams"))
 
 
 def solve_ridge(gram: np.ndarray, picks: Sequence[int], target: int, alpha: float) -> tuple[float, np.ndarray]:
@@ -148,11 +171,17 @@ def _solve_task(specs: Mapping[str, Spec], columns: list[str], keys: list[str],
     sets = column_sets(specs)
     bit = {name: 1 << sets.index(frozenset([*fs, t])) for name, (fs, t, _) in specs.items()}
 
+    def whole(pieces) -> list[tuple[int, np.ndarray]]:
+        parts: dict[int, list] = {}
+        for g in sorted(pieces, key=lambda g: g["piece"]):
+            parts.setdefault(g["pattern"], []).append(np.asarray(g["value"], dtype=float))
+        return [(p, np.concatenate(values).reshape(size, size)) for p, values in parts.items()]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                parts = [(g["pattern"], np.asarray(g["gram"], dtype=float).reshape(size, size)) for g in row.grams]
+                parts = whole(row.grams)
                 sums: dict[int, np.ndarray] = {}
                 for name, (features, target, alpha) in specs.items():
                     own = bit[name]
@@ -186,26 +215,45 @@ def _union(specs: Mapping[str, Spec]) -> tuple[list[str], list[str]]:
     return features, targets
 
 
+def _batches_of(specs: Mapping[str, Spec]) -> list[dict[str, Spec]]:
+    """The specifications in lots of at most ``MOST_SETS`` sets of columns."""
+    sets = column_sets(specs)
+    lots: dict[int, dict[str, Spec]] = {}
+    for name, spec in specs.items():
+        lots.setdefault(sets.index(frozenset([*spec[0], spec[1]])) // MOST_SETS, {})[name] = spec
+    return list(lots.values())
+
+
 def walk_forward_fits(df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int) -> DataFrame:
     """Coefficients per (season, week, model), fitted on strictly earlier weeks only.
 
-    Any number of feature sets, targets and penalties share Gram matrices over all their columns, one
-    for each pattern of missing values; a model leaves out only rows that miss one of its own columns.
+    Feature sets, targets and penalties share Gram matrices over all their columns, one for each pattern of
+    missing values; a model leaves out only rows that miss one of its own columns. The matrices of the weeks
+    are stored once.
     """
-    features, targets = _union(specs)
-    check_features(df, [*features, *targets])
-    entries = gram_entries(patterned_rows(df, specs), features, targets, keys=(*FOLD, PATTERN))
-    task = _solve_task(dict(specs), [*features, *targets], list(FOLD), min_rows)
-    return expanding_grams(entries).mapInPandas(task, f"season int, week int, {_SOLUTION}")
+    check_features(df, [c for part in _union(specs) for c in part])
+    out = None
+    for lot in _batches_of(specs):
+        features, targets = _union(lot)
+        grams = cut_lineage(fold_grams(patterned_rows(df, lot), features, targets))
+        task = _solve_task(lot, [*features, *targets], list(FOLD), min_rows)
+        cells = (len(features) + len(targets) + 1) ** 2
+        part = expanding_grams(grams, cells).mapInPandas(task, f"season int, week int, {_SOLUTION}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def full_fits(df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int = 1) -> DataFrame:
     """One set of coefficients per model, fitted on all rows that have the model's columns."""
-    features, targets = _union(specs)
-    check_features(df, [*features, *targets])
-    entries = gram_entries(patterned_rows(df, specs), features, targets, keys=(PATTERN,))
-    task = _solve_task(dict(specs), [*features, *targets], [], min_rows)
-    return _packed(entries, ()).mapInPandas(task, _SOLUTION)
+    check_features(df, [c for part in _union(specs) for c in part])
+    out = None
+    for lot in _batches_of(specs):
+        features, targets = _union(lot)
+        grams = fold_grams(patterned_rows(df, lot), features, targets, keys=(PATTERN,))
+        one = grams.agg(F.collect_list(F.struct(F.col(PATTERN).alias("pattern"), F.lit(0).alias("piece"), F.col("gram").alias("value"))).alias("grams"))
+        part = one.mapInPandas(_solve_task(lot, [*features, *targets], [], min_rows), _SOLUTION)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def linear_prediction(features: Sequence[str]) -> Column:
@@ -219,29 +267,39 @@ def linear_prediction(features: Sequence[str]) -> Column:
 def walk_forward_predictions(
     df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int, keep: Sequence[str]
 ) -> DataFrame:
-    """Out-of-fold predictions in long form: ``keep``, season, week, model, actual, predicted.
+    """Out-of-fold predictions in long form: ``keep``, season, week, model, train_rows, actual, predicted.
 
-    The fits are one row per week and model, so they travel to the rows.
+    The fits of a week travel to its rows as one array. A row's features are an array too, so the plan is the
+    same for one model and for many, and rows multiply only in what comes out.
     """
     features, targets = _union(specs)
     check_features(df, [*features, *targets])
     # The feature table is read twice, for the Gram matrices and for the predictions. Building it
     # is the expensive part, so it is written once to the shared checkpoint folder.
     needed = list(dict.fromkeys([*keep, *FOLD, *features, *targets]))
-    usable = " OR ".join(
-        "(" + " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in sorted(own)) + ")"
-        for own in column_sets(specs)
-    )
+    usable = " OR ".join(f"({_known(own)})" for own in column_sets(specs))
     rows = cut_lineage(df.where(usable).select(*needed))
     fits = walk_forward_fits(rows, specs, min_rows=min_rows)
-    joined = rows.join(F.broadcast(fits), list(FOLD))  # one row per week and model
-    actual, predicted = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (names, target, _) in specs.items():
-        mine = F.col("model") == name
-        actual = F.when(mine, F.col(target).cast("double")).otherwise(actual)
-        predicted = F.when(mine, linear_prediction(names)).otherwise(predicted)
-    out = joined.select(
-        *keep, *FOLD, "model", "train_rows", actual.alias("actual"), predicted.alias("predicted")
-    )
-    return complete_rows(out, ["actual", "predicted"])  # a model forecasts the rows that have its columns
 
+    place, at = {c: i for i, c in enumerate(features)}, {c: i for i, c in enumerate(targets)}
+    ways = [
+        F.struct(F.lit(name).alias("model"), F.array(*[F.lit(place[f]) for f in names]).alias("of"), F.lit(at[target]).alias("target"))
+        for name, (names, target, _) in specs.items()
+    ]
+    way = F.element_at(F.map_from_entries(F.array(*[F.struct(w["model"], w) for w in ways])), F.col("model"))
+    one = F.struct("model", "train_rows", "intercept", "coefficients", way["of"].alias("of"), way["target"].alias("target"))
+    weekly = fits.groupBy(*FOLD).agg(F.collect_list(one).alias("_fits"))
+    joined = rows.select(
+        *[c for c in dict.fromkeys([*keep, *FOLD])],
+        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
+        F.array(*[F.col(t).cast("double") for t in targets]).alias("_y"),
+    ).join(F.broadcast(weekly), list(FOLD))  # one row per week
+
+    def scored(fit: Column) -> Column:
+        total = F.aggregate(
+            F.zip_with(fit["of"], fit["coefficients"], lambda i, w: F.get("_x", i) * w), fit["intercept"], lambda a, v: a + v
+        )
+        return F.struct(fit["model"].alias("model"), fit["train_rows"].alias("train_rows"), F.get("_y", fit["target"]).alias("actual"), total.alias("predicted"))
+
+    out = joined.select(*dict.fromkeys([*keep, *FOLD]), F.inline(F.transform("_fits", scored)))
+    return complete_rows(out, ["actual", "predicted"])  # a model forecasts the rows that have its columns
