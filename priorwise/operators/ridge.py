@@ -19,13 +19,14 @@ from ..session import cut_lineage
 FOLD = ("season", "week")
 
 
-def _known(columns: Iterable[str]) -> str:
+def known(columns: Iterable[str]) -> str:
+    """Whether none of the columns is null or NaN."""
     return " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in sorted(columns))
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows in which none of ``columns`` is null or NaN."""
-    return df.where(_known(columns))
+    return df.where(known(columns))
 
 
 def check_features(df: DataFrame, features: Sequence[str], what: str = "model") -> None:
@@ -44,8 +45,8 @@ def _gram_task(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
             groups = batch.groupby(keys, sort=False).indices if keys else {(): np.arange(len(rows))}
             for key, index in groups.items():
                 part = rows[index].T @ rows[index]
-                known = totals.get(key)
-                totals[key] = part if known is None else known + part
+                before = totals.get(key)
+                totals[key] = part if before is None else before + part
         out = [
             {**dict(zip(keys, key if isinstance(key, tuple) else (key,), strict=True)), "gram": g.ravel()}
             for key, g in totals.items()
@@ -73,7 +74,7 @@ def patterned_rows(df: DataFrame, specs: Mapping[str, Spec]) -> DataFrame:
     columns = sorted(frozenset().union(*sets))
     bits = F.lit(0).cast("bigint")
     for k, own in enumerate(sets):
-        bits = bits + F.when(F.expr(_known(own)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        bits = bits + F.when(F.expr(known(own)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     # The pattern is taken from the values as they came, hence before they are filled.
     marked = df.withColumn(PATTERN, bits).where(f"{PATTERN} <> 0")
     filled = {c: F.expr(f"COALESCE(NULLIF(CAST({c} AS DOUBLE), CAST('NaN' AS DOUBLE)), 0D)") for c in columns if c not in FOLD}
@@ -85,8 +86,8 @@ def _sum_task(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for *key, gram in batch[[*keys, "gram"]].itertuples(index=False):
-                known = totals.get(tuple(key))
-                totals[tuple(key)] = np.asarray(gram) if known is None else known + gram
+                before = totals.get(tuple(key))
+                totals[tuple(key)] = np.asarray(gram) if before is None else before + gram
         if totals:
             yield pd.DataFrame([{**dict(zip(keys, key, strict=True)), "gram": g} for key, g in totals.items()])
 
@@ -277,7 +278,7 @@ def walk_forward_predictions(
     # The feature table is read twice, for the Gram matrices and for the predictions. Building it
     # is the expensive part, so it is written once to the shared checkpoint folder.
     needed = list(dict.fromkeys([*keep, *FOLD, *features, *targets]))
-    usable = " OR ".join(f"({_known(own)})" for own in column_sets(specs))
+    usable = " OR ".join(f"({known(own)})" for own in column_sets(specs))
     rows = cut_lineage(df.where(usable).select(*needed))
     fits = walk_forward_fits(rows, specs, min_rows=min_rows)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from priorwise.operators import boosting
 from priorwise.operators.boosting import CELLS, HUBER, Profile
+from priorwise.operators.ridge import complete_rows
 
 
 def games(spark, n=260, seed=3, parts=5):
@@ -113,24 +114,28 @@ PROFILES = {
 }
 
 
+MODELS = {"a": (["f1", "f2", "f3"], "a"), "b": (["f2", "f1"], "b")}
+ONE = {"a": MODELS["a"]}
+
+
 def test_growth_equals_a_plain_loop(spark, monkeypatch):
     monkeypatch.setattr(boosting, "STORED", 3)
     monkeypatch.setattr(boosting, "TO_DRIVER", 2)
     monkeypatch.setattr(boosting, "SLOT", 64)
     df, features = games(spark), ["f1", "f2", "f3"]
-    got = boosting.boosted_oof(df, features, ["a", "b"], PROFILES, keep=["game"], min_rows=60).collect()
-    complete = boosting.complete_rows(df, features).withColumn("key", F.xxhash64(F.col("game").cast("string")))
-    rows = [r.asDict() for r in complete.collect()]
-    edges = boosting.bin_edges(complete, features, 2000)
+    got = boosting.boosted_oof(df, MODELS, PROFILES, keep=["game"], min_rows=60).collect()
+    keyed = df.withColumn("key", F.xxhash64(F.col("game").cast("string")))
+    edges = dict(zip(features, boosting.bin_edges(df, features, 2000), strict=True))
     seen = set()
     for name, profile in PROFILES.items():
-        for target in ("a", "b"):
+        for target, (own, _) in MODELS.items():
+            rows = [r.asDict() for r in complete_rows(keyed, own).collect()]
             for season in (2002, 2003, 2004):
-                mine = {r.game: r.tree_prediction for r in got if (r.profile, r.target, r.season) == (name, target, season)}
-                want = plain_forecast(rows, features, target, season, profile, edges)
+                mine = {r.game: r.tree_prediction for r in got if (r.profile, r.model, r.season) == (name, target, season)}
+                want = plain_forecast(rows, own, target, season, profile, [edges[f] for f in own])
                 assert mine.keys() == want.keys() and mine and max(abs(mine[g] - want[g]) for g in want) < 1e-9
                 seen |= {(name, target, season)}
-    assert {(r.profile, r.target, r.season) for r in got} - seen <= {(p, t, 2001) for p in PROFILES for t in "ab"}
+    assert {(r.profile, r.model, r.season) for r in got} - seen <= {(p, t, 2001) for p in PROFILES for t in "ab"}
 
 
 def test_later_rows_never_change_earlier_forecasts(spark):
@@ -138,7 +143,7 @@ def test_later_rows_never_change_earlier_forecasts(spark):
     changed = df.withColumn("a", F.when(F.col("season") >= 2003, F.col("a") * 50 + 7).otherwise(F.col("a")))
     changed = changed.withColumn("f1", F.when(F.col("season") >= 2004, F.col("f1") + 9).otherwise(F.col("f1")))
     one = {"huber": PROFILES["huber"]}
-    run = lambda d: {(r.game, r.target): r.tree_prediction for r in boosting.boosted_oof(d, ["f1", "f2", "f3"], ["a"], one, keep=["game"], min_rows=40).where("season <= 2003").collect()}
+    run = lambda d: {(r.game, r.model): r.tree_prediction for r in boosting.boosted_oof(d, ONE, one, keep=["game"], min_rows=40).where("season <= 2003").collect()}
     first, second = run(df), run(changed.repartition(3))
     assert first.keys() == second.keys() and all(abs(first[k] - second[k]) < 1e-9 for k in first) and first
 
@@ -146,10 +151,10 @@ def test_later_rows_never_change_earlier_forecasts(spark):
 def test_a_season_without_results_is_forecast_and_little_data_gives_nothing(spark):
     df = games(spark)
     ahead = df.where("season = 2004").withColumn("a", F.lit(None).cast("double")).withColumn("season", F.lit(2005))
-    got = boosting.boosted_oof(df.unionByName(ahead), ["f1", "f2", "f3"], ["a"], {"h": PROFILES["huber"]}, keep=["game"], seasons=[2005], min_rows=40)
-    assert got.count() == boosting.complete_rows(ahead, ["f1", "f2", "f3"]).count() and got.where("tree_prediction IS NULL OR actual IS NOT NULL").isEmpty()
-    none = boosting.boosted_oof(df, ["f1"], ["a"], PROFILES, keep=["game"], min_rows=10**6)
-    assert none.columns == ["game", "season", "week", "target", "profile", "actual", "tree_prediction"] and none.isEmpty()
+    got = boosting.boosted_oof(df.unionByName(ahead), ONE, {"h": PROFILES["huber"]}, keep=["game"], seasons=[2005], min_rows=40)
+    assert got.count() == complete_rows(ahead, ["f1", "f2", "f3"]).count() and got.where("tree_prediction IS NULL OR actual IS NOT NULL").isEmpty()
+    none = boosting.boosted_oof(df, ONE, PROFILES, keep=["game"], min_rows=10**6)
+    assert none.columns == ["game", "season", "week", "model", "profile", "actual", "tree_prediction"] and none.isEmpty()
 
 
 @pytest.mark.parametrize("loss", ["squared", "absolute", "huber"])

@@ -1,15 +1,15 @@
 """Season blocks cover every season, and ratings stay in theirs."""
 
-from priorwise.operators import ensemble, ratings
+from priorwise.operators import boosting, ratings
 
 
-def test_trees_forecast_every_season_after_the_first(spark, monkeypatch):
-    monkeypatch.setitem(ensemble.TREE_PROFILES, "small", dict(maxIter=2, maxDepth=1, minInstancesPerNode=1))
+def test_trees_forecast_every_season_after_the_first(spark):
+    small = {"small": boosting.Profile(2, 1, 0.5, 1)}
     rows = [(k, season, 1, float(k), float(season + k)) for season in (1997, 1998, 2000) for k in range(6)] + [(9, 1996, 1, None, 1.0)]
     df = spark.createDataFrame(rows, "game_id int, season int, week int, x double, y double")
-    got = ensemble.boosted_oof(df, ["x"], "y", profile="small", keep=["game_id"])
+    got = boosting.boosted_oof(df, {"m": (["x"], "y")}, small, keep=["game_id"], min_rows=1)
     assert sorted((r.season, r.game_id) for r in got.collect()) == [(s, k) for s in (1998, 2000) for k in range(6)]
-    assert ensemble.boosted_oof(df.where("season = 1997"), ["x"], "y", profile="small", keep=["game_id"]).count() == 0
+    assert boosting.boosted_oof(df.where("season = 1997"), {"m": (["x"], "y")}, small, keep=["game_id"], min_rows=1).count() == 0
 
 
 def test_calibration_joins_ratings_by_season(spark):
