@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, normal_cdf
+from ..session import cut_lineage
 from . import evaluate
-from .ridge import complete_rows
+from .boosting import Profile, boosted_oof
+from .ridge import walk_forward_predictions
 
 GAME_RIDGE = 50.0
 PLAYER_RIDGE = 10.0
 
-# Boosted-tree profiles compared by the tuning report. Spark's trees minimize squared
-# or absolute error; profiles defined with a Huber loss use squared error here.
+# Boosted-tree profiles compared by the tuning report.
 TREE_PROFILES = {
-    "current": dict(maxIter=150, maxDepth=2, stepSize=0.035, minInstancesPerNode=10, subsamplingRate=0.8),
-    "shallow_huber": dict(maxIter=200, maxDepth=1, stepSize=0.03, minInstancesPerNode=15, subsamplingRate=0.8),
-    "conservative_huber": dict(maxIter=150, maxDepth=2, stepSize=0.025, minInstancesPerNode=20, subsamplingRate=0.8),
-    "shallow_squared": dict(maxIter=150, maxDepth=1, stepSize=0.03, minInstancesPerNode=15, subsamplingRate=0.8),
-    "histogram_absolute": dict(maxIter=150, maxDepth=3, stepSize=0.05, minInstancesPerNode=20, lossType="absolute"),
+    "current": Profile(rounds=150, depth=2, rate=0.035, min_leaf=10, sample=0.8),
+    "shallow_huber": Profile(rounds=200, depth=1, rate=0.03, min_leaf=15, sample=0.8),
+    "conservative_huber": Profile(rounds=150, depth=2, rate=0.025, min_leaf=20, sample=0.8),
+    "shallow_squared": Profile(rounds=150, depth=1, rate=0.03, min_leaf=15, sample=0.8, loss="squared"),
+    "histogram_absolute": Profile(rounds=150, depth=3, rate=0.05, min_leaf=20, loss="absolute", leaves=7, penalty=5.0),
 }
 # Ridge penalty and tree profile of every tuning candidate.
 TUNING_PROFILES = {
@@ -36,55 +37,37 @@ TUNING_PROFILES = {
 }
 
 
-def boosted_trees(train: DataFrame, features: Sequence[str], target: str, *, profile: str = "current", seed: int = 42):
-    """Fit boosted trees on all complete rows of ``train``; returns a fitted ML pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def component_oof(
+    df: DataFrame, models: Mapping[str, tuple[Sequence[str], str]], alpha: float, *,
+    keep: Sequence[str], min_rows: int = 350, profile: str = "current",
+) -> DataFrame:
+    """Out-of-fold forecasts of both members: ``keep``, season, week, model, actual, ridge, tree.
 
-    trees = GBTRegressor(
-        featuresCol="_features", labelCol=target, predictionCol="tree_prediction", seed=seed,
-        cacheNodeIds=True, checkpointInterval=10, **TREE_PROFILES[profile],
-    )
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    return Pipeline(stages=[assembler, trees]).fit(complete_rows(train, [*features, target]))
-
-
-def boosted_oof(
-    df: DataFrame, features: Sequence[str], target: str, *, profile: str = "current",
-    seasons: Sequence[int] | None = None, keep: Sequence[str],
-) -> DataFrame:
-    """Out-of-fold tree predictions with season blocks: each listed season is predicted by trees
-    grown on all earlier seasons. Without a list these are all seasons with complete rows but the
-    first. A tree costs several jobs, so weekly refits are left to ridge."""
-    if seasons is None:
-        known = complete_rows(df, [*features, target]).where("season IS NOT NULL").select("season").distinct()
-        seasons = sorted(r["season"] for r in known.collect())[1:]
-    out = None
-    for season in seasons:
-        model = boosted_trees(df.where(F.col("season") < season), features, target, profile=profile)
-        rows = complete_rows(df.where(F.col("season") == season), [*features, target])
-        part = model.transform(rows).select(*keep, "season", "week", F.col(target).alias("actual"), "tree_prediction")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        nothing = df.where(F.lit(False)).withColumn("tree_prediction", F.lit(None).cast("double"))
-        return nothing.select(*keep, "season", "week", F.col(target).alias("actual"), "tree_prediction")
-    return out
+    Ridge is fitted for every week, trees for every season; rows that both forecast are given. A model has its
+    features and its target.
+    """
+    names = list(dict.fromkeys([*keep, "season", "week"]))
+    rows = cut_lineage(df)
+    specs = {name: (features, target, alpha) for name, (features, target) in models.items()}
+    ridge = walk_forward_predictions(rows, specs, min_rows=min_rows, keep=keep).select(*names, "model", "actual", F.col("predicted").alias("ridge"))
+    trees = boosted_oof(rows, models, {profile: TREE_PROFILES[profile]}, keep=keep, min_rows=min_rows)
+    return ridge.join(trees.select(*names, "model", F.col("tree_prediction").alias("tree")), [*names, "model"])
 
 
 def blend_out_of_fold(
     oof: DataFrame, *, actual: str = "actual", first: str = "first", second: str = "second",
-    baseline: str | None = None,
+    baseline: str | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
     """Attach the blended forecast and its member weights to every out-of-fold row.
 
-    The two candidates get their closed-form convex weight; with ``baseline`` the blend is mixed
-    with it at the MAE-optimal grid weight. Weights are single rows and travel to the data.
+    The two candidates get their closed-form convex weight, in each group ``by``; with ``baseline`` the blend
+    is mixed with it at the MAE-optimal grid weight. Weights are a row a group and travel to the data.
     """
-    w = evaluate.least_squares_weight(oof, actual, first, second).withColumnRenamed("weight", "_w")
-    mixed = oof.crossJoin(F.broadcast(w)).withColumn(  # a single row
-        "_blend", F.expr(f"_w * {first} + (1D - _w) * {second}")
-    )
+    def attached(rows: DataFrame, weights: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(weights), list(by)) if by else rows.crossJoin(F.broadcast(weights))  # a row a group
+
+    w = evaluate.least_squares_weight(oof, actual, first, second, by).withColumnRenamed("weight", "_w")
+    mixed = attached(oof, w).withColumn("_blend", F.expr(f"_w * {first} + (1D - _w) * {second}"))
     if baseline is None:
         return mixed.withColumns(
             {
@@ -94,8 +77,8 @@ def blend_out_of_fold(
                 "ensemble": F.col("_blend"),
             }
         ).drop("_w", "_blend")
-    b = evaluate.mae_weight(mixed, actual, "_blend", baseline).withColumnRenamed("weight", "_b")
-    return mixed.crossJoin(F.broadcast(b)).withColumns(  # a single row
+    b = evaluate.mae_weight(mixed, actual, "_blend", baseline, by).withColumnRenamed("weight", "_b")
+    return attached(mixed, b).withColumns(
         {
             "first_weight": F.expr("_b * _w"),
             "second_weight": F.expr("_b * (1D - _w)"),
@@ -178,7 +161,6 @@ def group_combinations(core: Sequence[str], groups: dict[str, Sequence[str]]) ->
 
 
 def change_versus(results: DataFrame, model: str, reference: str, by: Sequence[str], value: str = "mae") -> DataFrame:
-    """Difference of every model's metric from a reference model's."""
-    base = results.where(F.col(model) == reference).select(*by, F.col(value).alias("_base"))
-    joined = results.join(base, list(by)) if by else results.crossJoin(F.broadcast(base))
-    return joined.withColumn(f"{value}_change", F.col(value) - F.col("_base")).drop("_base")
+    """Difference of every model's metric from a reference model's; ``results`` has a row for each model and group."""
+    base = F.max(F.when(F.col(model) == reference, F.col(value))).over(Window.partitionBy(*by))  # as many rows as models
+    return results.withColumn(f"{value}_change", F.col(value) - base).where(F.col(f"{value}_change").isNotNull())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z80, clip, finite_or_null, normal_cdf
+from ..session import cut_lineage
 
 GRID = 101
 # How far model and market may be apart, per bucket; the last is open.
@@ -142,17 +145,35 @@ def disagreement_buckets(
     return names.join(found, "bucket", "left").fillna(0, ["games", "ats_decisions"])
 
 
+def _grid_task(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    weights = np.arange(GRID) / float(GRID - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, list] = {}
+        for batch in batches:
+            actual, first, second = batch[["_a", "_f", "_s"]].to_numpy(dtype=float).T[:, :, None]
+            errors = np.nan_to_num(np.abs(actual - (weights * first + (1.0 - weights) * second)))
+            groups = batch.groupby(keys, sort=False).indices if keys else {(): np.arange(len(batch))}
+            for key, index in groups.items():
+                total = totals.setdefault(key if isinstance(key, tuple) else (key,), [0, np.zeros(GRID)])
+                total[0] += len(index)
+                total[1] += errors[index].sum(axis=0)
+        if totals:
+            yield pd.DataFrame([{**dict(zip(keys, key, strict=True)), "n": n, "err": e} for key, (n, e) in totals.items()])
+
+    return run
+
+
 def _grid_errors(df: DataFrame, keys: Sequence[str], actual: str, first: str, second: str) -> DataFrame:
-    """Summed absolute error of every grid weight per key, long form.
+    """Summed absolute error of every grid weight per key, long form; keys must not be null, rows with a null forecast add nothing.
 
-    One sum per weight over the rows as they are; only the keys' results are turned to 101 rows each.
+    Each task reckons all weights of its rows at once and gives one row of sums per key.
     """
-    weights = [i / float(GRID - 1) for i in range(GRID)]
-    blends = {w: F.lit(w) * F.col(first) + F.lit(1.0 - w) * F.col(second) for w in weights}
-    sums = [F.sum(F.abs(F.col(actual) - b)).alias(f"_e{i}") for i, b in enumerate(blends.values())]
-    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-    cells = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"_e{i}").alias("err")) for i, w in enumerate(weights)])
-    return wide.select(*keys, "n", F.explode(cells).alias("_c")).select(*keys, "_c.w", "_c.err", "n")
+    columns = [F.col(c).cast("double").alias(n) for c, n in ((actual, "_a"), (first, "_f"), (second, "_s"))]
+    rows = df.select(*keys, *columns)
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)]), "n bigint", "err array<double>"])
+    parts = rows.mapInPandas(_grid_task(list(keys)), kinds).select(*keys, "n", F.posexplode("err").alias("i", "err"))
+    return parts.groupBy(*keys, (F.col("i") / float(GRID - 1)).alias("w")).agg(F.sum("err").alias("err"), F.sum("n").alias("n"))
 
 
 def _best(error: str) -> Column:
@@ -160,53 +181,53 @@ def _best(error: str) -> Column:
     return F.min_by("w", F.struct(F.round(error, 6), F.col("w")))
 
 
-def mae_weight(df: DataFrame, actual: str, first: str, second: str) -> DataFrame:
-    """Convex weight of ``first`` with the lowest MAE on a 101-point grid; lowest weight wins ties."""
-    chosen = _grid_errors(df, [], actual, first, second).agg(_best("err").alias("weight"))
-    return chosen.select(F.coalesce("weight", F.lit(0.5)).alias("weight"))
+def mae_weight(df: DataFrame, actual: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
+    """Convex weight of ``first`` with the lowest MAE on a 101-point grid, for each group; lowest weight wins ties."""
+    chosen = _grid_errors(df, by, actual, first, second).groupBy(*by).agg(_best("err").alias("weight"))
+    return chosen.select(*by, F.coalesce("weight", F.lit(0.5)).alias("weight"))
 
 
-def least_squares_weight(df: DataFrame, actual: str, first: str, second: str) -> DataFrame:
-    """Closed-form convex weight of ``first``, clipped to 0..1; one half where the two coincide."""
+def least_squares_weight(df: DataFrame, actual: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
+    """Closed-form convex weight of ``first``, clipped to 0..1, for each group; one half where the two coincide."""
     gap = F.col(first) - F.col(second)
-    sums = df.agg(
+    sums = df.groupBy(*by).agg(
         F.sum(gap * gap).alias("d"), F.sum(gap * (F.col(actual) - F.col(second))).alias("x")
     )
     return sums.select(
-        F.when(F.col("d") > 1e-12, clip(F.col("x") / F.col("d"), 0.0, 1.0)).otherwise(0.5).alias("weight")
+        *by, F.when(F.col("d") > 1e-12, clip(F.col("x") / F.col("d"), 0.0, 1.0)).otherwise(0.5).alias("weight")
     )
 
 
 def prequential_weights(
-    df: DataFrame, actual: str, first: str, second: str, *, min_rows: int = 64
+    df: DataFrame, actual: str, first: str, second: str, *, min_rows: int = 64, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Per (season, week), the best grid weight over all earlier weeks only.
+    """Per (season, week), and group, the best grid weight over all earlier weeks only.
 
     Cumulative errors run over weeks x 101 aggregated rows, one window partition per weight.
     """
     order = (
-        Window.partitionBy("w")
+        Window.partitionBy(*by, "w")
         .orderBy("season", "week")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    errors = _grid_errors(df, ["season", "week"], actual, first, second).withColumns(
+    errors = _grid_errors(df, [*by, "season", "week"], actual, first, second).withColumns(
         {"before": F.sum("err").over(order), "rows_before": F.sum("n").over(order)}
     )
-    chosen = errors.groupBy("season", "week").agg(
+    chosen = errors.groupBy(*by, "season", "week").agg(
         _best("before").alias("best"), F.max("rows_before").alias("rows_before")
     )
     enough = F.col("rows_before") >= min_rows
     return chosen.select(
-        "season", "week", F.when(enough, F.col("best")).otherwise(0.5).alias("weight")
+        *by, "season", "week", F.when(enough, F.col("best")).otherwise(0.5).alias("weight")
     )
 
 
 def prequential_blend(
-    df: DataFrame, actual: str, first: str, second: str, *, out: str, weight: str, min_rows: int = 64
+    df: DataFrame, actual: str, first: str, second: str, *, out: str, weight: str, min_rows: int = 64, by: Sequence[str] = ()
 ) -> DataFrame:
     """Blend of two forecasts with the prequential weight of each row's week."""
-    weights = prequential_weights(df, actual, first, second, min_rows=min_rows)
-    joined = df.join(F.broadcast(weights.withColumnRenamed("weight", weight)), ["season", "week"])  # one row per week
+    weights = prequential_weights(df, actual, first, second, min_rows=min_rows, by=by)
+    joined = df.join(F.broadcast(weights.withColumnRenamed("weight", weight)), [*by, "season", "week"])  # one row per week
     return joined.withColumn(
         out, F.col(weight) * F.col(first) + (1.0 - F.col(weight)) * F.col(second)
     )
@@ -238,7 +259,7 @@ def snapshot_audit(df: DataFrame, kickoff: Column, snapshot: Column) -> DataFram
 
 def aggregate_report(df: DataFrame) -> DataFrame:
     """The publishable report as (section, item, metric, value): no game rows leave."""
-    blended = market_blends(df)
+    blended = df = cut_lineage(market_blends(df))  # every section reads it
     margin, total = "actual_home_margin", "actual_total_points"
     variants = {
         "independent_margin": (margin, "independent_home_margin"),

@@ -318,20 +318,34 @@ def _(t):
     return ensemble.ensemble_metrics(oof, forecast="predicted")
 
 
+_COLLEGE_TARGETS = {"margin": "home_margin", "total": "total_points"}
+_COLLEGE = [(t, n) for t in _COLLEGE_TARGETS for n in college.CONFIGURATIONS]
+for _target, _name in _COLLEGE:
+    ridge_bindings(f"college_{_target}_{_name}", "cdone", college.CONFIGURATIONS[_name], _COLLEGE_TARGETS[_target], CFB_RIDGE, CFB_MIN, "game_id")
+
+
+def college_configurations(t):
+    """Out-of-fold forecasts of every configuration on both targets, from shared Gram matrices."""
+    specs = {f"{m}:{n}": (college.CONFIGURATIONS[n], _COLLEGE_TARGETS[m], CFB_RIDGE) for m, n in _COLLEGE}
+    parts = F.split("model", ":")
+    return college_oof(t, specs).withColumns({"target": parts[0], "configuration": parts[1]})
+
+
+_COLLEGE_OOF = " UNION ALL ".join(f"SELECT '{m}' AS target, '{n}' AS model, season, predicted - actual AS e FROM college_{m}_{n}" for m, n in _COLLEGE)
+_COLLEGE_USES = " ".join(f"college_{m}_{n}" for m, n in _COLLEGE)
+
+
 @query(
     "h15_college_configuration_benchmark",
     "target:s model:s split:s rows:i mae:d rmse:d bias:d",
+    f"""SELECT target, model, split, count(*) AS "rows", avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias FROM
+    (SELECT *, unnest(['all_oof', CASE WHEN season < 2000 THEN 'development' WHEN season = 2000 THEN 'holdout' END]) AS split FROM ({_COLLEGE_OOF}))
+    WHERE split IS NOT NULL GROUP BY 1, 2, 3""",
+    _COLLEGE_USES,
 )
 def _(t):
-    """Every feature configuration and both targets from one Gram matrix."""
-    specs = {
-        f"{target}:{name}": (names, column, CFB_RIDGE)
-        for target, column in (("margin", "home_margin"), ("total", "total_points"))
-        for name, names in college.CONFIGURATIONS.items()
-    }
-    # Returning receiving production is absent from the test shape, hence 0 for every team.
-    oof = college_oof(t, specs)
-    parts = oof.groupBy("model", "season").agg(
+    """Every feature configuration and both targets, before, in and over the holdout."""
+    parts = college_configurations(t).groupBy("target", F.col("configuration").alias("model"), "season").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.abs(F.col("predicted") - F.col("actual"))).alias("a"),
         F.sum(F.pow(F.col("predicted") - F.col("actual"), 2)).alias("q"),
@@ -339,27 +353,23 @@ def _(t):
     )
     split = F.array(F.lit("all_oof"), F.expr("CASE WHEN season < 2000 THEN 'development' WHEN season = 2000 THEN 'holdout' END"))
     return (
-        parts.withColumn("split", F.explode(split)).where("split IS NOT NULL").groupBy("model", "split")
+        parts.withColumn("split", F.explode(split)).where("split IS NOT NULL").groupBy("target", "model", "split")
         .agg(F.sum("n").alias("rows"), (F.sum("a") / F.sum("n")).alias("mae"),
              F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), (F.sum("s") / F.sum("n")).alias("bias"))
-        .withColumns({"target": F.split_part("model", F.lit(":"), F.lit(1)), "model": F.split_part("model", F.lit(":"), F.lit(2))})
     )
 
 
 @query(
     "h15_configuration_selection",
-    "selected:s selected_mae:d",
-    """SELECT CASE WHEN e <= f THEN 'elo_context' ELSE 'elo_form' END AS selected, least(e, f) AS selected_mae FROM
-    (SELECT (SELECT avg(abs(predicted - actual)) FROM ridge_elo WHERE season < 2000) AS e,
-            (SELECT avg(abs(predicted - actual)) FROM ridge_form WHERE season < 2000) AS f)""",
-    "ridge_elo ridge_form",
+    "target:s selected:s selected_mae:d",
+    f"""SELECT target, arg_min(model, {{'m': mae, 'n': model}}) AS selected, min(mae) AS selected_mae FROM
+    (SELECT target, model, avg(abs(e)) AS mae FROM ({_COLLEGE_OOF}) WHERE season < 2000 GROUP BY 1, 2) GROUP BY 1""",
+    _COLLEGE_USES,
 )
 def _(t):
-    oof = college_oof(
-        t, {"elo_context": (_ELO, "home_margin", CFB_RIDGE), "elo_form": (_FORM, "home_margin", CFB_RIDGE)}
-    )
-    mae = oof.where("season < 2000").groupBy("model").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"))
-    return ensemble.best_configuration(mae, "model", [], "mae")
+    """Of all configurations the one with the least development error, for each target."""
+    mae = college_configurations(t).where("season < 2000").groupBy("target", "configuration").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"))
+    return ensemble.best_configuration(mae, "configuration", ["target"], "mae")
 
 
 # Two game targets, one Gram matrix; the second candidate is a stronger penalty.
@@ -526,17 +536,25 @@ def _ablation(games, sets, alpha):
     return ensemble.change_versus(mae, "model", "core", ["target"])
 
 
+_PENALTIES = (10.0, 30.0, 50.0, 100.0)
+_TARGETS = {"margin": "home_margin", "total": "total_points"}
+for _target, _column in _TARGETS.items():
+    for _alpha in _PENALTIES:
+        ridge_bindings(f"tune_{_target}_{_alpha:g}", "features", _CORE, _column, _alpha, 350, "game_id")
+
+
 @query(
     "h14_penalty_tuning",
     "model:s season:i rows:i mae:d",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS model, season, count(*) AS \"rows\", avg(abs(predicted - actual)) AS mae FROM {b} GROUP BY 2"
-        for n, b in (("ridge10", "nfl_a"), ("ridge100", "nfl_b"))
+        f"SELECT '{m}:{a:g}' AS model, season, count(*) AS \"rows\", avg(abs(predicted - actual)) AS mae FROM tune_{m}_{a:g} GROUP BY 2"
+        for m in _TARGETS for a in _PENALTIES
     ),
-    "nfl_a nfl_b",
+    " ".join(f"tune_{m}_{a:g}" for m in _TARGETS for a in _PENALTIES),
 )
 def _(t):
-    oof = game_oof(t, {"ridge10": (_CORE, "home_margin", 10.0), "ridge100": (_CORE, "home_margin", 100.0)})
+    """Every penalty of the tuning candidates on both targets."""
+    oof = game_oof(t, {f"{m}:{a:g}": (_CORE, c, a) for m, c in _TARGETS.items() for a in _PENALTIES})
     return oof.groupBy("model", "season").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae")
     )

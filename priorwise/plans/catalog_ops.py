@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import odds, text, timeparse
 from ..session import local_folder
-from ..operators import ensemble, players, ridge, roster, scenario, teamform
+from ..operators import boosting, ensemble, players, ridge, roster, scenario, teamform
 from ..sources import feeds, ledger
 from ..streaming import quotes as stream
 from . import catalog_college as cc
@@ -508,10 +508,66 @@ def _(t):
     return jobs.player_reports(logs, game_features_all(t))
 
 
-@query("g03_boosted_trees", "game_id:i season:i week:i actual:d tree_prediction:d")
+def roster_games(t):
+    """Completed games of clubs with roster history, with the change of their rosters."""
+    transitions = roster.transition_table(t.rosters, t.snaps)
+    side = {s: ((F.col("game_id") + d) % 8).cast("string") for s, d in (("home", 0), ("away", 3))}
+    games = game_features_completed(t).withColumns({"real_season": F.col("season"), "season": F.lit(2024)})
+    keyed = games.withColumns({f"{s}_team": c for s, c in side.items()})
+    return roster.attach_transitions(keyed, transitions).withColumn("season", F.col("real_season"))
+
+
+@query("g03_boosted_trees", "game_id:i season:i week:i model:s actual:d tree_prediction:d")
 def _(t):
-    """Each season but the first, predicted by trees grown on all seasons before it."""
-    return ensemble.boosted_oof(game_features_completed(t), teamform.CORE_GAME_FEATURES, "home_margin", keep=["game_id"])
+    """Each season but the first, predicted by trees grown on all seasons before it; both targets."""
+    models = {"margin": (teamform.CORE_GAME_FEATURES, "home_margin"), "total": (teamform.CORE_GAME_FEATURES, "total_points")}
+    return boosting.boosted_oof(game_features_completed(t), models, {"current": ensemble.TREE_PROFILES["current"]}, keep=["game_id"])
+
+
+_NAMES = ", ".join(f"'{f}'" for f in teamform.CORE_GAME_FEATURES)
+_VALUES = ", ".join(f"CAST({f} AS DOUBLE)" for f in teamform.CORE_GAME_FEATURES)
+
+
+@query(
+    "g03_first_split_sums",
+    "season:i feature:s bin:i rows:i pull:d",
+    f"""SELECT season, feature, bin, count(*) AS "rows", sum(y - m) AS pull FROM (
+      SELECT s.season, c.feature, len(list_filter(e.edges, lambda q: q < c.x)) AS bin, c.y, s.m
+      FROM cells c JOIN edges e USING (feature)
+      JOIN (SELECT s.season, avg(f.home_margin) AS m FROM (SELECT DISTINCT season FROM features) s JOIN features f ON f.season < s.season WHERE home_margin IS NOT NULL GROUP BY 1 HAVING count(*) >= 350) s ON c.season < s.season
+    ) GROUP BY 1, 2, 3""",
+    "cells edges",
+)
+def _(t):
+    """Sums from which the first split of each season's trees is picked."""
+    return boosting.first_sums(game_features_completed(t), teamform.CORE_GAME_FEATURES, "home_margin", keep=["game_id"])
+
+
+SQL_BINDINGS["cells"] = (("features",), f"SELECT season, CAST(home_margin AS DOUBLE) AS y, unnest([{_NAMES}]) AS feature, unnest([{_VALUES}]) AS x FROM features WHERE home_margin IS NOT NULL")
+SQL_BINDINGS["edges"] = (
+    ("cells",),
+    f"SELECT feature, quantile_disc(x, [{', '.join(f'{k / boosting.BINS}' for k in range(1, boosting.BINS))}]) AS edges FROM cells WHERE season = (SELECT min(season) FROM cells) GROUP BY 1",
+)
+
+
+@query("g06_ridge_tree_ensemble", "game_id:i season:i week:i model:s actual:d ridge:d tree:d first_weight:d second_weight:d ensemble:d")
+def _(t):
+    """Margin and total, each with its own features, from ridge and trees."""
+    return jobs.game_ensembles(roster_games(t))
+
+
+@query(
+    "g16_prequential_components",
+    "game_id:i season:i week:i margin_actual:d margin_predicted:d margin_ridge_weight:d total_actual:d total_predicted:d total_ridge_weight:d",
+)
+def _(t):
+    return jobs.independent_forecasts(roster_games(t))
+
+
+@query("h14_profile_tuning", "profile:s target:s split:s rows:i mae:d ridge_mae:d tree_mae:d mean_ridge_weight:d")
+def _(t):
+    """Eight candidates on two targets, against the last season as holdout."""
+    return jobs.tuning_report(game_features_completed(t), holdout_season=2000)
 
 
 @query(
@@ -527,13 +583,8 @@ def _(t):
 @query("h13_roster_group_ablation", "model:s split:s rows:i mae:d mae_change:d")
 def _(t):
     """Every combination of roster feature groups on games of clubs with roster history."""
-    transitions = roster.transition_table(t.rosters, t.snaps)
-    side = {s: ((F.col("game_id") + d) % 8).cast("string") for s, d in (("home", 0), ("away", 3))}
-    games = game_features_completed(t).withColumns({"real_season": F.col("season"), "season": F.lit(2024)})
-    keyed = games.withColumns({f"{s}_team": c for s, c in side.items()})
-    joined = roster.attach_transitions(keyed, transitions).withColumn("season", F.col("real_season"))
     sets = ensemble.group_combinations(teamform.CORE_GAME_FEATURES, roster.ROSTER_GROUPS)
-    return jobs.roster_ablation(joined, sets, holdout_season=2000)
+    return jobs.roster_ablation(roster_games(t), sets, holdout_season=2000)
 
 
 # --- labels and scalars --------------------------------------------------------------------------

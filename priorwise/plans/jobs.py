@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z80, normal_cdf
-from ..operators import college, ensemble, players, ridge, teamform
+from ..operators import college, ensemble, evaluate, players, ridge, roster, teamform
 from ..operators.ridge import linear_prediction
 from ..session import cut_lineage
 
@@ -51,30 +51,102 @@ def player_frame(log: DataFrame, games: DataFrame, kind: str) -> DataFrame:
     return players.attach_opponent_defence(players.player_features(log, kind), games)
 
 
+#: Game models: margin and total points, each with its own features.
+GAME_MODELS = {
+    "margin": (teamform.CORE_GAME_FEATURES, "home_margin"),
+    "total": ([*teamform.CORE_GAME_FEATURES, *roster.ROSTER_GROUPS["roster_offense_positions"]], "total_points"),
+}
+
+
+def game_components(games: DataFrame, *, min_rows: int = 350) -> DataFrame:
+    """Out-of-fold ridge and tree forecasts of margin and total, with the simple baseline of the game."""
+    rows = teamform.game_baselines(games)
+    oof = ensemble.component_oof(rows, GAME_MODELS, ensemble.GAME_RIDGE, keep=["game_id", "baseline_margin", "baseline_total"], min_rows=min_rows)
+    baseline = F.when(F.col("model") == "margin", F.col("baseline_margin")).otherwise(F.col("baseline_total"))
+    return oof.withColumn("baseline", baseline).drop("baseline_margin", "baseline_total")
+
+
+def game_ensembles(games: DataFrame, *, min_rows: int = 350) -> DataFrame:
+    """Both game ensembles: members, their weights and the blend for every out-of-fold row."""
+    oof = cut_lineage(game_components(games, min_rows=min_rows))
+    return ensemble.blend_out_of_fold(oof, first="ridge", second="tree", by=["model"])
+
+
+def independent_forecasts(games: DataFrame, *, min_rows: int = 350) -> DataFrame:
+    """Margin and total of a game on one row, members weighted by the errors of earlier weeks only."""
+    oof = cut_lineage(game_components(games, min_rows=min_rows))
+    blended = evaluate.prequential_blend(oof, "actual", "ridge", "tree", out="predicted", weight="ridge_weight", by=["model"])
+
+    def pick(model: str, column: str) -> Column:
+        return F.max(F.when(F.col("model") == model, F.col(column)))
+
+    return blended.groupBy("game_id", "season", "week").agg(
+        *[pick(m, c).alias(f"{m}_{c}") for m in GAME_MODELS for c in ("actual", "predicted", "ridge_weight")]
+    ).where("margin_predicted IS NOT NULL AND total_predicted IS NOT NULL")
+
+
 def player_reports(logs: Mapping[str, DataFrame], games: DataFrame, *, min_rows: int = 350) -> DataFrame:
-    """Ensemble metrics per player target: two ridge candidates and the rolling mean as baseline."""
-    out = None
+    """Ensemble metrics per player target: ridge and trees, and the rolling mean as a third member.
+
+    The logs are laid under one another; a target learns from the rows that have its columns, so all four
+    share Gram matrices and grow their trees together.
+    """
     games = cut_lineage(games.select("game_id", "home_team", "home_def_epa_l4", "away_def_epa_l4"))
-    frames = {kind: cut_lineage(player_frame(log, games, kind)) for kind, log in logs.items()}
-    for target, (kind, feature_set) in PLAYER_TARGETS.items():
-        features = players.PLAYER_FEATURES[feature_set]
-        frame = frames[kind]
-        specs = {"first": (features, target, ensemble.PLAYER_RIDGE), "second": (features, target, 100.0)}
-        oof = ridge.walk_forward_predictions(
-            frame, specs, min_rows=min_rows, keep=["game_id", "player_id", f"{target}_l4"]
-        )
-        wide = oof.groupBy("game_id", "player_id", "season", "week").agg(
-            F.max("actual").alias("actual"),
-            F.max(f"{target}_l4").alias("baseline"),
-            *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in specs],
-        )
-        # Weights, residual spread and metrics each pass over these rows.
-        blended = cut_lineage(ensemble.blend_out_of_fold(cut_lineage(wide), baseline="baseline"))
-        part = ensemble.ensemble_metrics(blended, baseline="baseline").withColumn("target", F.lit(target))
+    models = {target: (players.PLAYER_FEATURES[names], target) for target, (_, names) in PLAYER_TARGETS.items()}
+    together = None
+    for kind, log in logs.items():
+        own = [t for t, (k, _) in PLAYER_TARGETS.items() if k == kind]
+        columns = dict.fromkeys([*(f for t in own for f in models[t][0]), *own])
+        frame = player_frame(log, games, kind).select(F.lit(kind).alias("kind"), "game_id", "player_id", "season", "week", *columns)
+        together = frame if together is None else together.unionByName(frame, allowMissingColumns=True)
+    baselines = [f"{t}_l4" for t in PLAYER_TARGETS]
+    oof = ensemble.component_oof(together, models, ensemble.PLAYER_RIDGE, keep=["kind", "game_id", "player_id", *baselines], min_rows=min_rows)
+    baseline = F.coalesce(*[F.when(F.col("model") == t, F.col(f"{t}_l4")) for t in PLAYER_TARGETS])
+    members = cut_lineage(oof.withColumn("baseline", baseline).drop(*baselines))
+    # Weights, residual spread and metrics each pass over these rows.
+    blended = cut_lineage(ensemble.blend_out_of_fold(members, first="ridge", second="tree", baseline="baseline", by=["model"]))
+    out = None
+    for target in PLAYER_TARGETS:
+        part = ensemble.ensemble_metrics(blended.where(F.col("model") == target), baseline="baseline").withColumn("target", F.lit(target))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def tuning_report(games: DataFrame, *, holdout_season: int, min_rows: int = 350) -> DataFrame:
+    """Every tuning candidate on both targets: errors of the blend and its members before, in and over the holdout.
+
+    All penalties share Gram matrices, and all tree profiles grow together; a candidate is a pair of them, whose
+    weights are learned from earlier weeks.
+    """
+    targets = {"margin": "home_margin", "total": "total_points"}
+    features = teamform.CORE_GAME_FEATURES
+    rows = cut_lineage(games)
+    penalties = sorted({alpha for alpha, _ in ensemble.TUNING_PROFILES.values()})
+    specs = {f"{t}:{alpha:g}": (features, column, alpha) for t, column in targets.items() for alpha in penalties}
+    ridge_part = F.split("model", ":")
+    ridges = ridge.walk_forward_predictions(rows, specs, min_rows=min_rows, keep=["game_id"]).select(
+        "game_id", "season", "week", ridge_part[0].alias("target"), ridge_part[1].alias("penalty"), "actual", F.col("predicted").alias("ridge")
+    )
+    trees = ensemble.boosted_oof(rows, {t: (features, c) for t, c in targets.items()}, ensemble.TREE_PROFILES, keep=["game_id"], min_rows=min_rows)
+    trees = trees.select("game_id", "season", "week", F.col("model").alias("target"), F.col("profile").alias("trees"), F.col("tree_prediction").alias("tree"))
+    pairs = [F.struct(F.lit(name).alias("profile"), F.lit(f"{alpha:g}").alias("penalty"), F.lit(t).alias("trees")) for name, (alpha, t) in ensemble.TUNING_PROFILES.items()]
+    # each ridge row goes to the candidates of its penalty
+    of = F.filter(F.array(*pairs), lambda p: p["penalty"] == F.col("penalty"))
+    members = ridges.select("*", F.explode(of).alias("c")).select("game_id", "season", "week", "target", "actual", "ridge", "c.profile", "c.trees")
+    members = cut_lineage(members.join(trees, ["game_id", "season", "week", "target", "trees"]))
+    blended = evaluate.prequential_blend(members, "actual", "ridge", "tree", out="blend", weight="ridge_weight", by=["profile", "target"])
+    split = F.array(F.lit("all_oof"), F.expr(f"CASE WHEN season < {holdout_season} THEN 'development' WHEN season = {holdout_season} THEN 'holdout' END"))
+    parts = blended.withColumn("split", F.explode(split)).where("split IS NOT NULL")
+
+    def error(column: str) -> Column:
+        return F.avg(F.abs(F.col(column) - F.col("actual")))
+
+    return parts.groupBy("profile", "target", "split").agg(
+        F.count(F.lit(1)).alias("rows"), error("blend").alias("mae"), error("ridge").alias("ridge_mae"),
+        error("tree").alias("tree_mae"), F.avg("ridge_weight").alias("mean_ridge_weight"),
+    )
+
+
 def college_weekly(
     games: DataFrame, advanced: DataFrame, preseason: DataFrame, lines: DataFrame, *,
     as_of: str, season: int, week: int | None = None, min_rows: int = 1200, alpha: float = 50.0,
