@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import connected_groups, exact_medians
+
 # The rating scale and how fast it moves.
 ELO_START = 1500.0
 ELO_HOME = 55.0
@@ -117,9 +119,13 @@ def rest_days(rows: DataFrame) -> Column:
 def season_zscores(df: DataFrame, columns: list[str], *, by: str = "season") -> DataFrame:
     """``<c>_z`` within the season; missing values take the median, a constant column becomes 0.
 
-    Season statistics are aggregates joined back, so a season with many rows is not one window.
+    Season statistics are aggregates joined back, so a season with many rows is not one window, and medians are
+    selected by counts, so no task holds its values.
     """
-    medians = df.groupBy(by).agg(*[F.median(c).alias(f"_md_{c}") for c in columns])
+    long = exact_medians(df, [by], columns)
+    medians = df.select(by).distinct().join(long, by, "left").groupBy(by).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_md_{c}") for c in columns]
+    )
     filled = df.join(F.broadcast(medians), by).withColumns(  # one row per season
         {f"_v_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_md_{c}")) for c in columns}
     )
@@ -181,10 +187,6 @@ def preseason_table(
     return season_zscores(joined, PRESEASON_SOURCES).select("season", "team", *PRESEASON_FEATURES)
 
 
-#: Games without a league column are one league only up to so many teams.
-ONE_LEAGUE_TEAMS = 2000
-
-
 def _elo_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk the games of each league in order. State is one number per team, never the rows."""
     league, season, ratings = None, None, {}
@@ -214,14 +216,13 @@ def elo_ratings(games: DataFrame) -> DataFrame:
     """Pregame Elo of both teams of every eligible game.
 
     A rating depends on the game before it, so the games of one ``league`` (teams that meet each
-    other) are walked in order by one task; leagues run in parallel. Rows stream through in Arrow
-    batches: memory is the rating table of one league, whatever the length of its history.
+    other) are walked in order by one task; leagues run in parallel. Without a league column, a league
+    is what the schedule connects. Rows stream through in Arrow batches: memory is the rating table of
+    one league, whatever the length of its history.
     """
-    league = F.col("league") if "league" in games.columns else F.lit(0)
     if "league" not in games.columns:
-        teams = games.select("home_id").distinct().limit(ONE_LEAGUE_TEAMS + 1).count()
-        if teams > ONE_LEAGUE_TEAMS:
-            raise ValueError("games of so many teams need a league column: leagues are what runs in parallel")
+        groups = connected_groups(games, "home_id", "away_id").select(F.col("member").alias("home_id"), F.col("group").alias("league"))
+        return elo_ratings(games.join(groups, "home_id", "left")).drop("league")
     seasons = games.select("season").distinct().withColumn(
         "season_no", F.row_number().over(Window.orderBy("season"))
     )
@@ -229,7 +230,7 @@ def elo_ratings(games: DataFrame) -> DataFrame:
     rows = (
         games.join(F.broadcast(seasons), "season")  # one row per season
         .select(
-            league.alias("league"),
+            "league",
             "season_no",
             "week",
             "start_date",

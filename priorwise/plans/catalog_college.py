@@ -420,44 +420,44 @@ def _(t):
 SQL_BINDINGS["creturning"] = (
     ("games",),
     """SELECT season, home_team AS team, avg(custkey % 100) / 100 AS returning_ppa, avg(custkey % 37) AS returning_passing_ppa,
-    avg(doy % 41) AS returning_rushing_ppa, NULL::DOUBLE AS returning_receiving_ppa FROM games WHERE game_id % 50 = 0 GROUP BY 1, 2""",
+    avg(doy % 41) AS returning_rushing_ppa, avg(CASE WHEN home_team LIKE '%5' THEN NULL ELSE custkey % 23 END) AS returning_receiving_ppa FROM games GROUP BY 1, 2""",
 )
 SQL_BINDINGS["ctalent"] = (
     ("games",),
-    "SELECT season, home_team AS team, avg(custkey % 90) AS talent FROM games WHERE game_id % 5 = 1 GROUP BY 1, 2",
+    "SELECT season, home_team AS team, avg(CASE WHEN home_team LIKE '%7' THEN NULL ELSE custkey % 90 END) AS talent FROM games GROUP BY 1, 2",
 )
 SQL_BINDINGS["crecruiting"] = (
     ("games",),
-    "SELECT season, home_team AS team, avg(custkey % 80) AS recruiting_points FROM games WHERE game_id % 5 = 2 GROUP BY 1, 2",
+    "SELECT season, home_team AS team, avg(CASE WHEN home_team LIKE '%9' THEN NULL ELSE custkey % 80 END) AS recruiting_points FROM games GROUP BY 1, 2",
 )
 SQL_BINDINGS["cportal"] = (
     ("games",),
     """SELECT season, home_team AS origin, CASE WHEN game_id % 2 = 0 THEN away_team ELSE '' END AS destination, (custkey % 100) / 100.0 AS rating,
-    CAST(make_date(season, 1, 1) AS TIMESTAMP) - to_days(CAST(custkey % 500 - 20 AS INTEGER)) AS transfer_date FROM games WHERE game_id % 5 = 3""",
+    CAST(make_date(season, 1, 1) AS TIMESTAMP) - to_days(CAST(custkey % 500 - 20 AS INTEGER)) AS transfer_date FROM games""",
 )
 
 
 def returning(t: Tables) -> DataFrame:
-    return t.games.where("game_id % 50 = 0").groupBy("season", F.col("home_team").alias("team")).agg(
+    return t.games.groupBy("season", F.col("home_team").alias("team")).agg(
         (F.avg(F.expr("custkey % 100")) / 100).alias("returning_ppa"),
         F.avg(F.expr("custkey % 37")).alias("returning_passing_ppa"),
         F.avg(F.expr("doy % 41")).alias("returning_rushing_ppa"),
-        F.lit(None).cast("double").alias("returning_receiving_ppa"),
+        F.avg(F.expr("CASE WHEN home_team LIKE '%5' THEN NULL ELSE custkey % 23 END")).alias("returning_receiving_ppa"),
     )
 
 
 def talent(t: Tables) -> DataFrame:
-    rows = t.games.where("game_id % 5 = 1").groupBy("season", F.col("home_team").alias("team"))
-    return rows.agg(F.avg(F.expr("custkey % 90")).alias("talent"))
+    rows = t.games.groupBy("season", F.col("home_team").alias("team"))
+    return rows.agg(F.avg(F.expr("CASE WHEN home_team LIKE '%7' THEN NULL ELSE custkey % 90 END")).alias("talent"))
 
 
 def recruiting(t: Tables) -> DataFrame:
-    rows = t.games.where("game_id % 5 = 2").groupBy("season", F.col("home_team").alias("team"))
-    return rows.agg(F.avg(F.expr("custkey % 80")).alias("recruiting_points"))
+    rows = t.games.groupBy("season", F.col("home_team").alias("team"))
+    return rows.agg(F.avg(F.expr("CASE WHEN home_team LIKE '%9' THEN NULL ELSE custkey % 80 END")).alias("recruiting_points"))
 
 
 def portal(t: Tables) -> DataFrame:
-    return t.games.where("game_id % 5 = 3").select(
+    return t.games.select(
         "season",
         F.col("home_team").alias("origin"),
         F.expr("CASE WHEN game_id % 2 = 0 THEN away_team ELSE '' END").alias("destination"),
@@ -529,16 +529,16 @@ def _(t):
 SQL_BINDINGS["clines"] = (
     ("quote_medians",),
     """SELECT game_id, -market_home_spread AS market_home_margin, market_total, book_count AS market_provider_count
-    FROM quote_medians WHERE game_id % 8 <> 0""",
+    FROM quote_medians WHERE book_count > 2""",
 )
 
 
 def lines(t: Tables) -> DataFrame:
-    return t.quotes.where("game_id % 8 <> 0").groupBy("game_id").agg(
+    return t.quotes.groupBy("game_id").agg(
         (-F.median("home_spread")).alias("market_home_margin"),
         F.median("total").alias("market_total"),
         F.count(F.lit(1)).alias("market_provider_count"),
-    )
+    ).where("market_provider_count > 2")  # games of few books are not listed
 
 
 _SIDE_NAMES = ["rest_days", *[f"{k}_l6" for k in _PRIORS]]

@@ -283,10 +283,10 @@ def _snapshot_events(t):
     c = F.col
     return (
         t.games.withColumn("k", kickoff)
-        .where("k IS NOT NULL AND game_id % 6 <> 0")
+        .where("k IS NOT NULL")
         .select(
             (c("k") - F.expr("INTERVAL 30 MINUTES")).alias("requested_at"),
-            "home_team",
+            F.when(c("game_id") % 6 != 0, c("home_team")).alias("home_team"),  # some events name a club nobody knows
             "away_team",
             (c("k") + F.expr("make_interval(0, 0, 0, 0, CAST(game_id % 10 AS INT))")).alias("commence_time"),
             (c("k") + F.expr("make_interval(0, 0, 0, 0, 0, CAST(game_id % 8 AS INT) * 10 - 60)")).alias("snapshot_at"),
@@ -303,8 +303,8 @@ def _snapshot_events(t):
       WHEN e.game_id % 10 > 6 THEN 'other kickoff' WHEN (e.game_id % 8) * 10 - 60 >= 0 THEN 'late snapshot' END AS miss,
     CASE WHEN e.k IS NOT NULL THEN (e.game_id % 20) / 2 END AS market_home_spread,
     CASE WHEN e.game_id % 13 <> 0 THEN e.game_id % 60 END AS market_total FROM kickoffs g
-    LEFT JOIN (SELECT *, kickoff_at AS k FROM kickoffs WHERE kickoff_at IS NOT NULL AND game_id % 6 <> 0) e
-    ON e.k = g.kickoff_at AND e.home_team = g.home_team AND e.away_team = g.away_team""",
+    LEFT JOIN (SELECT *, kickoff_at AS k, CASE WHEN game_id % 6 <> 0 THEN home_team END AS host FROM kickoffs WHERE kickoff_at IS NOT NULL) e
+    ON e.k = g.kickoff_at AND e.host = g.home_team AND e.away_team = g.away_team""",
     "kickoffs",
 )
 def _(t):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import odds, text, timeparse
 from ..session import local_folder
 from ..operators import boosting, ensemble, players, ridge, roster, scenario, teamform
-from ..sources import feeds, ledger
+from ..sources import feeds, ledger, releases
 from ..streaming import quotes as stream
 from . import catalog_college as cc
 from . import jobs
@@ -271,7 +271,46 @@ def _(t):
         )
     for run in ("run0", "run1"):
         ledger.record_scores(t.spark, root, run, t.games, "2001-12-01 00:00:00")
-    return t.spark.read.option("basePath", f"{root}/results").parquet(f"{root}/results")
+    return ledger.read_scores(t.spark, root)
+
+
+@query(
+    "a20_a24_published_pairs",
+    "release:s part:s season:i rows:i value:d",
+    """SELECT 'benchmark' AS release, 'matched' AS part, season, count(*) AS "rows", sum(actual_home_margin) AS value FROM benchmark_rows GROUP BY season
+    UNION ALL SELECT 'benchmark', 'report', season, count(*), avg(abs(independent_home_margin - actual_home_margin)) FROM benchmark_rows GROUP BY season
+    UNION ALL SELECT 'closing', 'consensus', NULL, count(*), sum(market_home_spread) FROM quote_medians
+    UNION ALL SELECT 'closing', 'raw', NULL, count(*), sum(home_spread) FROM quotes""",
+    "benchmark_rows quote_medians quotes",
+)
+def _(t):
+    """Two pairs of tables, each published by one manifest and read back; a pair whose second table fails stays unseen."""
+    root, spark = _shared(t), t.spark
+    rows = t.benchmark_rows
+    report = rows.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.avg(F.abs(F.col("independent_home_margin") - F.col("actual_home_margin"))).alias("mae"))
+    ledger.save_benchmark(rows, report, root, "benchmark-1")
+    for stamp in ("20010101T000000Z", "20010102T000000Z"):
+        raw = t.quotes.where("home_spread > 1e9") if stamp < "20010102" else t.quotes  # the first request came back empty
+        medians = raw.groupBy("game_id").agg(F.median("home_spread").alias("market_home_spread"))
+        ledger.save_snapshot(raw.select("game_id", "home_spread"), medians, root, request_kind="closing", stamp=stamp)
+    broken = report.select(F.raise_error(F.lit("no report")).alias("games"))
+    try:
+        ledger.save_benchmark(rows, broken, root, "benchmark-2")
+    except Exception as failed:  # noqa: BLE001
+        if "no report" not in str(failed):
+            raise
+    matched = releases.read_published(spark, root, "matched", start="benchmark-")
+    parts = [
+        matched.groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.sum("actual_home_margin").alias("value")).withColumn("part", F.lit("matched")),
+        releases.read_published(spark, root, "report", start="benchmark-").select("season", F.col("games").alias("rows"), F.col("mae").alias("value"), F.lit("report").alias("part")),
+        ledger.current_consensus(spark, root, "closing").agg(F.count(F.lit(1)).alias("rows"), F.sum("market_home_spread").alias("value")).withColumns({"part": F.lit("consensus"), "season": F.lit(None).cast("int")}),
+        releases.read_published(spark, root, "raw", start="closing-").agg(F.count(F.lit(1)).alias("rows"), F.sum("home_spread").alias("value")).withColumns({"part": F.lit("raw"), "season": F.lit(None).cast("int")}),
+    ]
+    out = None
+    for part in parts:
+        named = part.withColumn("release", F.when(F.col("part").isin("matched", "report"), "benchmark").otherwise("closing"))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 @query(
@@ -734,6 +773,27 @@ def _(t):
     return t.spark.read.schema(closed.schema).parquet(f"{folder}/out")
 
 
+def _quote_kickoffs(t):
+    known = t.read("events").select((F.col("user_id") % 20).alias("game_id")).distinct().where("game_id <> 19")  # a game that isn't scheduled
+    return known.withColumn("kickoff_at", F.expr("TIMESTAMP '2024-01-05' + make_interval(0, 0, 0, CAST(game_id AS INT))"))
+
+
+@query(
+    "t02_quotes_stream",
+    "event_id:i game_id:i line:d verdict:s",
+    """SELECT event_id, g AS game_id, floor("value") AS line, CASE WHEN g = 19 THEN 'unknown game' WHEN ts >= k THEN 'late' WHEN ts < k - INTERVAL 8 DAY THEN 'stale' ELSE 'valid' END AS verdict
+    FROM (SELECT *, user_id % 20 AS g, TIMESTAMP '2024-01-05' + to_days(CAST(user_id % 20 AS INTEGER)) AS k FROM events)""",
+)
+def _(t):
+    """Quotes delivered twice, some late, stale or for no game: each is judged once, valid and rejected ones in sinks of their own."""
+    source, root = t.read("events").schema, _shared(t)
+    delivered = [_quote_events(t.spark.readStream.schema(source).parquet(f"{t.folder}/events*.parquet")) for _ in range(2)]
+    again = delivered[0].unionByName(delivered[1])
+    running = stream.judged_stream(again, _quote_kickoffs(t), root, f"{root}/state", unique="event_id")
+    running.awaitTermination()
+    return stream.judged_quotes(t.spark, root)
+
+
 @query(
     "t02_valid_quotes",
     "event_id:i game_id:i",

@@ -258,7 +258,7 @@ def _event_log(t):
     day = F.dayofmonth("ts")
     return (
         t.read("events")
-        .where("event_id % 3 = 0")
+        .where("event_type <> 'view'")  # a view is a snap without a target
         .select(
             F.when(day <= 15, 2023).otherwise(2024).alias("season"),
             (F.floor((day - 1) / 7) + 1).cast("int").alias("week"),
@@ -293,7 +293,7 @@ def _event_log(t):
     FULL OUTER JOIN (SELECT CASE WHEN day(ts) <= 15 THEN 2023 ELSE 2024 END AS season, (day(ts) - 1) // 7 + 1 AS "week",
       event_id // 200 AS game_id, CAST(user_id % 8 AS VARCHAR) AS posteam, 'g' || user_id AS player_id,
       'p' || user_id AS player_name, sum("value") AS receiving_yards, CAST(count(*) AS DOUBLE) AS targets,
-      1.0 AS receptions FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2, 3, 4, 5, 6) l
+      1.0 AS receptions FROM events WHERE event_type <> 'view' GROUP BY 1, 2, 3, 4, 5, 6) l
     USING (season, "week", game_id, posteam, player_id)""",
     "snaps crosswalk",
 )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .feeds import _exists
+from .releases import publish_together, read_published, releases
 
 
 def record_batch(
@@ -88,16 +89,17 @@ def unscored_runs(predictions: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def record_scores(spark: SparkSession, root: str, run_id: str, results: DataFrame, scored_at: str) -> str:
-    """Score one run, once. An unknown run and a second scoring both fail."""
+    """Score one run, once. An unknown run and a second scoring both fail, also one that runs at the same time."""
     if not _exists(spark, f"{root}/predictions/run_id={run_id}"):
         raise FileNotFoundError(f"unknown prediction run: {run_id}")
-    target = f"{root}/results/run_id={run_id}"
-    if _exists(spark, target):
-        raise FileExistsError(f"results already recorded for {run_id}")
     batch = read_batches(spark, root).where(F.col("run_id") == run_id)
     scored = score_rows(batch, results).withColumn("scored_at", F.lit(scored_at).cast("timestamp"))
-    scored.drop("run_id").write.mode("errorifexists").parquet(target)
-    return target
+    return publish_together(spark, {"scores": scored}, f"{root}/results", run_id) + "/scores"
+
+
+def read_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The scores of all runs that have any."""
+    return read_published(spark, f"{root}/results", "scores")
 
 
 def latest_run(batches: DataFrame) -> DataFrame:
@@ -126,10 +128,22 @@ def release_consistency(*tables: DataFrame) -> DataFrame:
     )
 
 
-def save_snapshot(raw: DataFrame, consensus: DataFrame, root: str, *, request_kind: str, stamp: str) -> None:
-    """Raw payload under its own immutable folder, consensus in the table readers see."""
-    raw.write.mode("errorifexists").parquet(f"{root}/raw/request_kind={request_kind}/snapshot={stamp}")
-    consensus.write.mode("overwrite").parquet(f"{root}/consensus")
+def save_snapshot(raw: DataFrame, consensus: DataFrame, root: str, *, request_kind: str, stamp: str) -> str:
+    """Raw payload and the consensus drawn from it, visible together; a kind and time of request are saved once."""
+    return publish_together(raw.sparkSession, {"raw": raw, "consensus": consensus}, root, f"{request_kind}-{stamp}")
+
+
+def current_consensus(spark: SparkSession, root: str, request_kind: str) -> DataFrame:
+    """The consensus of the latest snapshot of a kind."""
+    names = list(releases(spark, root, f"{request_kind}-"))
+    if not names:
+        raise FileNotFoundError(f"no snapshot of {request_kind}")
+    return read_published(spark, root, "consensus", names[-1])
+
+
+def save_benchmark(matched: DataFrame, report: DataFrame, private: str, release: str) -> str:
+    """Matched game-level records and the report made from them, published as one; readers of the report never touch the records."""
+    return publish_together(matched.sparkSession, {"matched": matched, "report": report}, private, release)
 
 
 def distinct_snapshots(snapshots: DataFrame) -> DataFrame:

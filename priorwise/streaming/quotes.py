@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.releases import is_published, publish_together, read_published
 
 
 def windowed_consensus(
@@ -42,12 +45,51 @@ def windowed_consensus(
     )
 
 
+def verdict(taken: Column, kickoff: Column, max_lead: str = "8 days") -> Column:
+    """valid, late (not before kickoff), stale (longer before it than ``max_lead``) or unknown game."""
+    return (
+        F.when(kickoff.isNull(), "unknown game")
+        .when(taken >= kickoff, "late")
+        .when(taken < kickoff - F.expr(f"INTERVAL {max_lead}"), "stale")
+        .otherwise("valid")
+    )
+
+
 def valid_quotes(
     quotes: DataFrame, kickoffs: DataFrame, *, event_time: str = "ts", key: str = "game_id",
     max_lead: str = "8 days",
 ) -> DataFrame:
-    """Stream-static join: quotes before kickoff and not older than ``max_lead`` at kickoff."""
-    taken = F.col(event_time)
-    return quotes.join(kickoffs, key).where(
-        (taken < F.col("kickoff_at")) & (taken >= F.col("kickoff_at") - F.expr(f"INTERVAL {max_lead}"))
-    )
+    """Quotes before kickoff and not older than ``max_lead`` at kickoff."""
+    return quotes.join(kickoffs, key).where(verdict(F.col(event_time), F.col("kickoff_at"), max_lead) == "valid")
+
+
+def judged_stream(
+    quotes: DataFrame, kickoffs: DataFrame, root: str, state: str, *, unique: str, event_time: str = "ts",
+    key: str = "game_id", max_lead: str = "8 days", delay: str = "30 minutes",
+) -> StreamingQuery:
+    """Judge a stream of quotes against the schedule and write valid and rejected ones to two sinks.
+
+    A quote that is delivered again within the watermark is dropped; one without event time or key is rejected
+    as of an unknown game, if it carries an id. Each micro-batch joins the schedule as it is then, and its two
+    tables are published by one manifest under the batch's id: a batch that is run again after a failure finds
+    its manifest and writes nothing, so every quote is in one sink, once.
+    """
+    spark = quotes.sparkSession
+    once = quotes.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([unique])
+
+    def write(batch: DataFrame, number: int) -> None:
+        release = f"batch-{number:012d}"
+        if is_published(spark, root, release):
+            return
+        judged = batch.join(kickoffs, key, "left").withColumn("verdict", verdict(F.col(event_time), F.col("kickoff_at"), max_lead))
+        judged = judged.persist()
+        sinks = {"valid": judged.where("verdict = 'valid'"), "rejected": judged.where("verdict <> 'valid'")}
+        publish_together(spark, sinks, root, release)
+        judged.unpersist()
+
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def judged_quotes(spark: SparkSession, root: str) -> DataFrame:
+    """All quotes that the stream has judged so far, from both sinks."""
+    return read_published(spark, root, "valid", start="batch-").unionByName(read_published(spark, root, "rejected", start="batch-"))
