@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .selection import connected_groups, exact_medians
 
 # The rating scale and how fast it moves.
@@ -122,6 +123,7 @@ def season_zscores(df: DataFrame, columns: list[str], *, by: str = "season") ->
     Season statistics are aggregates joined back, so a season with many rows is not one window, and medians are
     selected by counts, so no task holds its values.
     """
+    df = cut_lineage(df)  # each pass reads it
     long = exact_medians(df, [by], columns)
     medians = df.select(by).distinct().join(long, by, "left").groupBy(by).agg(
         *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_md_{c}") for c in columns]
@@ -221,6 +223,7 @@ def elo_ratings(games: DataFrame) -> DataFrame:
     one league, whatever the length of its history.
     """
     if "league" not in games.columns:
+        games = cut_lineage(games)
         groups = connected_groups(games, "home_id", "away_id").select(F.col("member").alias("home_id"), F.col("group").alias("league"))
         return elo_ratings(games.join(groups, "home_id", "left")).drop("league")
     seasons = games.select("season").distinct().withColumn(
