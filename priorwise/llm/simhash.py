@@ -40,7 +40,7 @@ SHINGLE, SEED = 4, 42
 RADIUS = 4
 LEVELS = 8  # bytes of a fingerprint
 MASKS = [0xFF << 8 * k for k in range(LEVELS)]
-SHARD_POINTS, QUERY_POINTS = 32_768, 131_072  # homes are sent once for each block of queries, so those are large
+SHARD_POINTS, QUERY_POINTS = 65_536, 65_536  # a point is eight bytes; small shards would send each point to many
 LEAF = 48  # homes of a leaf
 SLICE_BYTES = 1 << 20
 COUNTED = 1 << 16  # hashes whose bits are counted at once

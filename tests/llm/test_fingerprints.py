@@ -89,7 +89,7 @@ def test_blocks_connect_what_is_near(seed):
     assert grouped({p: root(p) for p in want}) == grouped(near)
 
 
-@pytest.mark.parametrize("shard,query", [(32_768, 131_072), (60, 50), (5, 7)])
+@pytest.mark.parametrize("shard,query", [(65_536, 65_536), (60, 50), (5, 7)])
 def test_shards_lose_no_link(spark, shard, query):
     points = sorted(set(scattered(3, 25, 40)))
     signed = np.array(points, dtype=np.uint64).view(np.int64).tolist()
