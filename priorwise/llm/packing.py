@@ -2,8 +2,10 @@
 
 Several sequence lengths are permitted, each with a price. Documents are cut into pieces of at most the
 greatest length, pieces are taken in falling length, and each goes to the open bin that it fills best. If
-none has room, a bin is opened at the size whose price per token is least, given what is left to fill it
-with. In the end each bin is downsized to the least permitted length that holds its contents.
+none has room, a bin is opened. For each permitted size the pieces still to come tell how far it would fill:
+the longest that fits is laid into it until none does. The size that costs least per token, at the length to
+which such contents would be downsized, is opened; so a short piece opens a long bin where that wastes less.
+In the end each bin is downsized to the least permitted length that holds its contents.
 
 Pieces are dealt by a hash into shards of about ``SHARD_TOKENS`` tokens, which pack on their own; a shard
 leaves a few bins part-filled, so what dealing costs is a fixed small share at any table size.
@@ -29,16 +31,37 @@ def price(capacity: int) -> float:
     return capacity + capacity * capacity / ATTENTION + BIN_PRICE
 
 
+def expected_fill(room: int, lengths: int, counts: list[int]) -> int:
+    """Tokens that the pieces to come would lay into a room, the longest that fits first; bit n of ``lengths`` tells whether there are any of n."""
+    left, taken, last = room, 0, 0
+    while fitting := lengths & ((2 << left) - 1):
+        n = fitting.bit_length() - 1
+        taken = taken + 1 if n == last else 1
+        if taken > counts[n]:  # no more of these: shorter ones are next
+            lengths &= (1 << n) - 1
+            continue
+        left -= n
+        last = n
+    return room - left
+
+
 def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each piece, and the capacity of each bin. ``lengths`` fall and none exceeds the greatest capacity.
 
-    Of open bins that a piece fits, the one with least room left is taken, the latest opened of equal ones.
+    Of open bins that a piece fits, the one with least room left is taken, the latest opened of equal ones; of
+    sizes that cost the same per token, the greatest is opened, which leaves more choice to the pieces to come.
     """
     open_bins: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # by room left
     mask = 0  # bit r: some open bin has r tokens of room
+    counts = [0] * (capacities[-1] + 1)  # pieces to come, by length
+    for n in lengths:
+        counts[n] += 1
+    coming = sum(1 << n for n, k in enumerate(counts) if k)
     bins, offsets, used, size = [], [], [], []
-    left = sum(lengths)
     for n in lengths:
+        counts[n] -= 1
+        if not counts[n]:
+            coming ^= 1 << n
         fitting = mask >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -47,14 +70,14 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tu
                 mask ^= 1 << room
         else:
             k = len(size)
-            _, most = min((price(c) / min(c, left), c) for c in capacities if c >= n)
+            filled = [(n + expected_fill(c - n, coming, counts), c) for c in capacities if c >= n]
+            most = -min((price(next(d for d in capacities if d >= f)) / f, -c) for f, c in filled)[1]
             size.append(most)
             used.append(0)
             room = most
         bins.append(k)
         offsets.append(used[k])
         used[k] += n
-        left -= n
         room -= n
         if room:
             open_bins[room].append(k)

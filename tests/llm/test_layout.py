@@ -34,25 +34,92 @@ def test_communication_matrix_has_its_sums_and_law():
 
 
 def plain_best_fit(lengths, capacities):
-    bins, placed, left = [], [], sum(lengths)
-    for n in lengths:
+    bins, placed = [], []
+    for i, n in enumerate(lengths):
         rooms = [(b["room"], -k) for k, b in enumerate(bins) if b["room"] >= n]
         if rooms:
             least = min(rooms)[0]
             k = max(bins[-j]["stamp"] * 10**6 - j for r, j in rooms if r == least) % 10**6
         else:
-            c = min((packing.price(c) / min(c, left), c) for c in capacities if c >= n)[1]
-            bins.append({"room": c, "used": 0, "stamp": 0})
+            costs = []
+            for c in [c for c in capacities if c >= n]:
+                room, fill = c - n, n
+                for m in lengths[i + 1 :]:  # they fall, so the longest that fits comes first
+                    if m <= room:
+                        room, fill = room - m, fill + m
+                costs.append((packing.price(min(d for d in capacities if d >= fill)) / fill, -c))
+            bins.append({"room": -min(costs)[1], "used": 0, "stamp": 0})
             k = len(bins) - 1
         placed.append((k, bins[k]["used"]))
         bins[k]["used"] += n
         bins[k]["room"] -= n
-        left -= n
         for b in bins:
             b["stamp"] = b["stamp"] - 1 if b is not bins[k] else 0
     return placed, [next(c for c in capacities if c >= b["used"]) for b in bins]
 
 
+def test_sizes_are_chosen_jointly_and_cost_less_than_one_size():
+    r = np.random.default_rng(4)
+    for mean, spread in ((5.5, 1.0), (6.5, 0.8), (4.5, 1.4)):
+        lengths = sorted((int(x) for x in np.clip(r.lognormal(mean, spread, 6000), 1, 4096)), reverse=True)
+        bins, _, sizes = packing.best_fit(lengths)
+        opened = {}
+        for k, n in zip(bins, lengths, strict=True):
+            opened.setdefault(k, n)
+        need = lambda n: next(c for c in packing.CAPACITIES if c >= n)
+        assert sum(sizes[k] > need(n) for k, n in opened.items()) > len(sizes) / 20  # more than the first piece needs
+        cost = sum(map(packing.price, sizes))
+        longest = packing.CAPACITIES[-1]  # the one fixed size that holds every piece uncut
+        assert cost < 0.95 * packing.price(longest) * len(packing.best_fit(lengths, (longest,))[2])
+        assert cost <= 1.001 * plain_least(lengths)
+
+
+def plain_least(lengths):
+    """Cost where each bin opens at the least size that its first piece needs."""
+    rooms, cost = [], 0.0
+    for n in lengths:
+        fit = [k for k, room in enumerate(rooms) if room >= n]
+        if fit:
+            k = min(fit, key=rooms.__getitem__)
+        else:
+            c = next(c for c in packing.CAPACITIES if c >= n)
+            cost += packing.price(c)
+            rooms.append(c)
+            k = len(rooms) - 1
+        rooms[k] -= n
+    return cost
+
+
+def test_the_last_bins_are_downsized():
+    """A bin is opened for the pieces to come, which then go to better places."""
+    r = np.random.default_rng(8)
+    found = 0
+    for _ in range(60):
+        lengths = sorted((int(x) for x in r.integers(1, 33, 40)), reverse=True)
+        _, _, sizes = packing.best_fit(lengths, (8, 16, 32))
+        found += sum(a > b for a, b in zip(plain_opened(lengths, (8, 16, 32)), sizes, strict=True))
+    assert found > 0
+
+
+def plain_opened(lengths, capacities):
+    """The sizes at which the plain form opens its bins."""
+    opened = []
+    plain_sizes = plain_best_fit(lengths, capacities)[0]
+    seen = set()
+    for i, ((k, _), n) in enumerate(zip(plain_sizes, lengths, strict=True)):
+        if k not in seen:
+            seen.add(k)
+            costs = []
+            for c in [c for c in capacities if c >= n]:
+                room, fill = c - n, n
+                for m in lengths[i + 1 :]:
+                    if m <= room:
+                        room, fill = room - m, fill + m
+                costs.append((packing.price(min(d for d in capacities if d >= fill)) / fill, -c))
+            opened.append(-min(costs)[1])
+    return opened
+
+
 def test_best_fit_matches_the_plain_form():
     r = np.random.default_rng(2)
     for _ in range(30):
