@@ -17,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ from priorwise.llm.words import ALNUM, WordHashes, shingle_hashes
 
 BLOCK_BYTES = 16 << 20  # of benchmark text in the memory of a task
 SLICE_BYTES = 4 << 20
-HITS = "array<struct<start:int,end:int,item_id:string>>"
+RANGES = "array<struct<start:int,end:int>>"
 
 
 def item_windows(items: list[tuple[str, bytes]], window: int) -> dict[tuple[bytes, ...], list[str]]:
@@ -82,9 +82,11 @@ def _found(flat: np.ndarray, starts: np.ndarray, size: int, known: np.ndarray) -
 
 
 def _scan(batches: Batches, windows: list[tuple[bytes, ...]], ids: list[list[str]], prefixes: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]) -> Batches:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.string())]))
+    """Of each document the word ranges that windows cover, and the items whose windows occur: never more than its words and the items."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch, a, b, words, flat, starts in _sliced(batches):
-        hits: list[list[dict]] = [[] for _ in words]
+        edges: dict[int, np.ndarray] = {}  # of a document with hits: how many windows start, less those that end, at each word
+        found: dict[int, set[int]] = defaultdict(set)
         for size, (known, uses) in prefixes.items():
             at, place = _found(flat, starts, size, known)
             rows = np.searchsorted(starts, at, side="right") - 1
@@ -93,9 +95,34 @@ def _scan(batches: Batches, windows: list[tuple[bytes, ...]], ids: list[list[str
                 for w, offset in uses[k]:
                     start, n = first - offset, len(windows[w])
                     if start >= 0 and start + n <= len(own) and tuple(own[start : start + n]) == windows[w]:
-                        hits[row] += [{"start": start, "end": start + n, "item_id": item} for item in ids[w]]
+                        if row not in edges:
+                            edges[row] = np.zeros(len(own) + 1, dtype=np.int64)
+                        edges[row][start] += 1
+                        edges[row][start + n] -= 1
+                        found[row].add(w)
+        ranges: list[list[dict]] = [[] for _ in words]
+        items: list[list[str]] = [[] for _ in words]
+        for row, steps in edges.items():
+            covered = np.concatenate(([False], np.cumsum(steps) > 0))
+            turns = np.flatnonzero(covered[1:] != covered[:-1]).tolist()
+            ranges[row] = [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)]
+            items[row] = sorted({item for w in found[row] for item in ids[w]})
         part = batch.slice(a, b - a)
-        yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("key"), pa.array([len(w) for w in words], pa.int64()), pa.array(hits, kind)], names=["doc", "key", "n_words", "hits"])
+        counts = pa.array([len(w) for w in words], pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("key"), counts, pa.array(ranges, kind), pa.array(items, pa.list_(pa.string()))], names=["doc", "key", "n_words", "ranges", "items"])
+
+
+def joined_ranges(ranges: Column) -> Column:
+    """Ranges that overlap or touch made one, in order."""
+    start = F.array().cast(RANGES)
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (last["end"] >= r["start"]), grown).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), start, add)
 
 
 def _of_block(rows: DataFrame, items: list[tuple[str, bytes]], window: int, shingle: int) -> DataFrame:
@@ -114,15 +141,16 @@ def _of_block(rows: DataFrame, items: list[tuple[str, bytes]], window: int, shin
         if seen[size][places[offset]]:  # else no document has this window
             uses[size][int(own[offset])].append((w, offset))
     prefixes = {size: (np.array(sorted(u), dtype=np.uint64), [u[h] for h in sorted(u)]) for size, u in uses.items() if u}
-    kind = T.StructType([rows.schema["doc"], rows.schema["key"], T.StructField("n_words", T.LongType()), T.StructField("hits", T._parse_datatype_string(HITS))])
+    kind = T.StructType([rows.schema["doc"], rows.schema["key"], *T._parse_datatype_string(f"n_words long, ranges {RANGES}, items array<string>")])
     return rows.mapInArrow(partial(_scan, windows=windows, ids=ids, prefixes=prefixes), kind)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` as ``doc``, with n_words and ``hits``: word ranges [start, end) and the item found there.
+    """Every row of ``docs`` as ``doc``, with n_words, ``ranges`` (covered words [start, end), in order and apart) and ``items``, sorted as strings.
 
     Null or empty texts have no words and no hits; items without words have no windows; a null item_id
-    counts as the empty string. An empty benchmark hits nothing, an empty table gives no rows.
+    counts as the empty string. An empty benchmark hits nothing, an empty table gives no rows. A row holds at most
+    its words and the distinct items, however many items share a window and however often it occurs.
     """
     rows = packed(docs, text=F.col(f"`{text_col}`"), key=text_key(id_col, text_col))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -135,16 +163,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shin
 
     first = _of_block(rows, block(0), window, shingle)
     if blocks == 1:
-        return first.select("doc", "n_words", "hits")
+        return first.select("doc", "n_words", "ranges", "items")
     more = None
     for k in range(1, blocks):
-        part = stored(_of_block(rows, block(k), window, shingle).filter(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("more")))
+        part = _of_block(rows, block(k), window, shingle).filter(F.size("items") > 0).groupBy("key")
+        part = stored(part.agg(F.first("ranges").alias("more_ranges"), F.first("items").alias("more_items")))
         more = part if more is None else more.unionByName(part)
-    more = more.groupBy("key").agg(F.flatten(F.collect_list("more")).alias("more"))
-    both = F.concat("hits", F.coalesce("more", F.array().cast(HITS)))
-    return first.join(more, "key", "left").select("doc", "n_words", both.alias("hits"))
+    more = more.groupBy("key").agg(F.flatten(F.collect_list("more_ranges")).alias("more_ranges"), F.flatten(F.collect_list("more_items")).alias("more_items"))
+    ranges = F.when(F.col("more_ranges").isNull(), F.col("ranges")).otherwise(joined_ranges(F.concat("ranges", "more_ranges")))
+    items = F.when(F.col("more_items").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "more_items")))
+    return first.join(more, "key", "left").select("doc", "n_words", ranges.alias("ranges"), items.alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
-    return benchmark_hits(docs, benchmark, **options).filter(F.size("hits") == 0).select("doc.*")
+    return benchmark_hits(docs, benchmark, **options).filter(F.size("items") == 0).select("doc.*")

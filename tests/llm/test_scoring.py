@@ -22,19 +22,31 @@ def test_benchmark_hits(spark, block_bytes):
         rows.append((100 + k, f"{prose(k, r.randint(0, 20))} {' '.join(words[a : a + r.randint(1, 30)])}. {prose(k, 3)}".upper() if k % 2 else " ".join(words)))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = table(spark, rows)
-    hits = decontaminate.benchmark_hits(docs, items, block_bytes=block_bytes).select("doc.doc_id", "doc.text", "n_words", "hits").collect()
+    hits = decontaminate.benchmark_hits(docs, items, block_bytes=block_bytes).select("doc.doc_id", "doc.text", "n_words", "ranges", "items").collect()
     assert len(hits) == len(rows)
     for x in hits:
-        covered = {p for h in x.hits for p in range(h.start, h.end)}
+        covered = {p for h in x.ranges for p in range(h.start, h.end)}
+        assert all(a.end < b.start for a, b in zip(x.ranges, x.ranges[1:], strict=False)) and (x.ranges == []) == (x.items == [])
         want = contaminated(x.text, [("" if i is None else i, t) for i, t in ITEMS], 10)
-        assert (x.n_words, len(covered), sorted({h.item_id for h in x.hits})) == want
+        assert (x.n_words, len(covered), x.items) == want
     left = decontaminate.decontaminate(docs, items)
-    assert left.columns == docs.columns and left.count() == sum(not x.hits for x in hits)
+    assert left.columns == docs.columns and left.count() == sum(not x.items for x in hits)
     none = items.limit(0)
     assert decontaminate.decontaminate(docs, none).count() == len(rows)
     assert decontaminate.benchmark_hits(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 20_000])
+def test_items_that_share_windows_cost_a_document_once(spark, block_bytes):
+    """Three thousand items open alike, and a document holds that opening two hundred times."""
+    opening = prose(60, 12)
+    items = spark.createDataFrame([(k, f"{opening} {prose(k, 3)}") for k in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{opening}. unseen words " * 200), (2, opening), (3, prose(62, 40))], "doc_id long, text string")
+    got = {x.doc.doc_id: x for x in decontaminate.benchmark_hits(docs, items, block_bytes=block_bytes).collect()}
+    assert len(got[1].ranges) == 200 and sum(r.end - r.start for r in got[1].ranges) == 2400
+    assert got[1].items == got[2].items == sorted(map(str, range(3000))) and got[3].items == got[3].ranges == []
+
+
 def test_languages_are_told_apart(spark):
     rows = awkward()[:10] + [(200 + k, prose(k, 40, letters), lang) for k in range(60) for lang, letters in (("aa", "abcde"), ("bb", "defgh"), ("cc", "éèxyz"))]
     rows += [(900, "1234 !?", "aa"), (901, None, "aa"), (902, prose(7, 2_00_000, "defgh"), None)]
