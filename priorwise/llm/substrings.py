@@ -23,7 +23,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorwise.llm.bwt import least_by_window
@@ -32,7 +32,8 @@ from priorwise.llm.words import MIX, mixed
 
 LENGTH = 50
 GRAM = 20  # long enough that documents seldom share one by chance, short enough for few anchors
-GROUP_ROWS = 1024  # consecutive rows that are worked on together
+#: Rows that are worked on together, by the bytes of their texts: no group holds more than 16 MB, but a single longer text.
+GROUPS = ((1 << 14, 1024), (1 << 20, 16))
 FLAT_BYTES = 1 << 19  # bytes whose grams are hashed at once; places in them have 20 bits
 PART_BYTES = 24 << 20  # of document text for each part of anchors
 BUCKET_BYTES = 16 << 20  # of document text in a bucket
@@ -293,7 +294,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     total = docs.select(F.octet_length(text).alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = min(max(8, -(-total // part_bytes)), 60_000)
     base = docs.select(doc, F.col(f"`{id_col}`").cast("long").alias("id"), text).withColumn("row", F.monotonically_increasing_id())
-    base = bucketed(base.withColumn("grp", F.floor(F.col("row") / GROUP_ROWS)), "grp", max(8, -(-total // BUCKET_BYTES)))
+    base = bucketed(base.withColumn("grp", group_of("text", "row")), "grp", max(8, -(-total // BUCKET_BYTES)))
     texts = base.select("grp", "row", "id", "text")
 
     asked = base.select("grp", "text").mapInArrow(partial(_ask, parts=parts, length=length, gram=GRAM), "part int, grp long, ids binary")
@@ -314,9 +315,20 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     return out.select("doc", "n_bytes", "n_removed", "spans", F.col("sha").alias("kept_sha256"), *(["kept"] if keep_text else []))
 
 
+def group_of(text: str, row: str) -> Column:
+    """The group of a row: consecutive rows of short texts, fewer of longer ones, one of a very long one."""
+    kinds = len(GROUPS) + 1
+    out = F.col(row) * kinds + len(GROUPS)
+    for kind, (size, rows) in reversed(list(enumerate(GROUPS))):
+        out = F.when(F.octet_length(text) <= size, F.floor(F.col(row) / rows) * kinds + kind).otherwise(out)
+    return out
+
+
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by ``column``: grouping by it needs no further shuffle."""
     path = shared_folder(df.sparkSession)
     name = "groups_" + path.rsplit("-", 1)[1]
     df.repartition(buckets, column).write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
-    return df.sparkSession.table(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the catalogue forgets it; the files stay, and the frame knows them
+    return table
