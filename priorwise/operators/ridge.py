@@ -7,14 +7,16 @@ per week. Rows are never re-read per fold.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from ..sources.releases import publish_together, read_published, releases
 
 FOLD = ("season", "week")
 
@@ -244,15 +246,56 @@ def walk_forward_fits(df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int
     return out
 
 
+def _solved(grams: DataFrame, lot: Mapping[str, Spec], min_rows: int) -> DataFrame:
+    """Fits of a lot of models from one Gram matrix for each pattern."""
+    features, targets = _union(lot)
+    one = grams.agg(F.collect_list(F.struct(F.col(PATTERN).alias("pattern"), F.lit(0).alias("piece"), F.col("gram").alias("value"))).alias("grams"))
+    return one.mapInPandas(_solve_task(lot, [*features, *targets], [], min_rows), _SOLUTION)
+
+
 def full_fits(df: DataFrame, specs: Mapping[str, Spec], *, min_rows: int = 1) -> DataFrame:
     """One set of coefficients per model, fitted on all rows that have the model's columns."""
     check_features(df, [c for part in _union(specs) for c in part])
     out = None
     for lot in _batches_of(specs):
-        features, targets = _union(lot)
-        grams = fold_grams(patterned_rows(df, lot), features, targets, keys=(PATTERN,))
-        one = grams.agg(F.collect_list(F.struct(F.col(PATTERN).alias("pattern"), F.lit(0).alias("piece"), F.col("gram").alias("value"))).alias("grams"))
-        part = one.mapInPandas(_solve_task(lot, [*features, *targets], [], min_rows), _SOLUTION)
+        part = _solved(fold_grams(patterned_rows(df, lot), *_union(lot), keys=(PATTERN,)), lot, min_rows)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _state_of(specs: Mapping[str, Spec], root: str) -> str:
+    """The folder of the state of these very models."""
+    text = repr([(name, list(features), target) for name, (features, target, _) in specs.items()])
+    return f"{root.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+
+def learn_new_rows(df: DataFrame, specs: Mapping[str, Spec], root: str, release: str, *, id_col: str) -> DataFrame:
+    """Add the rows that no release before has learned to the state of the models; returns their ids.
+
+    The state is append-only: each release adds the Gram matrices of its weeks and the ids of its rows, published
+    together. A row that comes late is learned late; one that was learned isn't read again for its columns. A
+    release that was published before is left as it is, so a run can be repeated.
+    """
+    check_features(df, [id_col, *[c for part in _union(specs) for c in part]])
+    spark, state = df.sparkSession, _state_of(specs, root)
+    if not releases(spark, state, release).get(release):
+        rows = df.where(" OR ".join(f"({known(own)})" for own in column_sets(specs)))
+        if releases(spark, state):
+            rows = rows.join(read_published(spark, state, "ids").select(id_col), id_col, "left_anti")
+        rows = cut_lineage(rows.select(*dict.fromkeys([id_col, *FOLD, *[c for part in _union(specs) for c in part]])))
+        tables = {"ids": rows.select(id_col, *[c for c in FOLD if c != id_col])}
+        for k, lot in enumerate(_batches_of(specs)):
+            tables[f"grams{k}"] = fold_grams(patterned_rows(rows, lot), *_union(lot))
+        publish_together(spark, tables, state, release)
+    return read_published(spark, state, "ids", release)
+
+
+def learned_fits(spark: SparkSession, specs: Mapping[str, Spec], root: str, *, min_rows: int = 1) -> DataFrame:
+    """Fits on all rows that the state has learned so far, from its Gram matrices alone."""
+    out, state = None, _state_of(specs, root)
+    for k, lot in enumerate(_batches_of(specs)):
+        grams = read_published(spark, state, f"grams{k}").select(PATTERN, "gram").repartition(PATTERN)
+        part = _solved(grams.mapInPandas(_sum_task([PATTERN]), f"{PATTERN} bigint, gram array<double>"), lot, min_rows)
         out = part if out is None else out.unionByName(part)
     return out
 

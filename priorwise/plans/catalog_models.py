@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
 from ..operators import college, ensemble, evaluate, ratings, ridge, teamform
-from ..session import cut_lineage
+from ..session import cut_lineage, local_folder
 from . import catalog_college as cc
 from .bindings import SQL_BINDINGS
 from .catalog_form import _features_sql, game_features_completed
@@ -229,6 +230,12 @@ def _(t):
     return ratings.calibrate_preseason(rows, latest, "2000-01-01T00:00:00Z")
 
 
+def shared_root(t) -> str:
+    """A fresh folder that all executors see."""
+    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(t.spark)
+    return f"{root.rstrip('/')}/priorwise-{uuid.uuid4().hex}"
+
+
 # --- walk-forward ridge --------------------------------------------------------------------------
 
 def ridge_bindings(name: str, source: str, features: Sequence[str], target: str, alpha: float, min_rows: int, keep: str) -> None:
@@ -502,9 +509,36 @@ SQL_BINDINGS["pe"] = (
 )
 
 
+_PENALTIES = (10.0, 30.0, 50.0, 100.0)
+_TARGETS = {"margin": "home_margin", "total": "total_points"}
+for _target, _column in _TARGETS.items():
+    for _alpha in _PENALTIES:
+        ridge_bindings(f"tune_{_target}_{_alpha:g}", "features", _CORE, _column, _alpha, 350, "game_id")
+
+
+
+def full_fit_bindings(name: str, source: str, where: str, features: Sequence[str], targets: dict[str, str], alpha: float, min_rows: int) -> None:
+    """Bind ``<name>_<model>`` to the fit of each target on all rows: the walk-forward fit of a week after the last."""
+    columns = [*features, *targets.values()]
+    own = [c for c in dict.fromkeys(columns) if c not in ("season", "week")]
+    SQL_BINDINGS[f"{name}_rows"] = (
+        (source,),
+        f"""SELECT game_id, season, "week", {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in own)} FROM {source} WHERE {where}
+        UNION ALL SELECT -1, 9999, 1, {', '.join('0.0' for _ in own)}""",
+    )
+    for model, target in targets.items():
+        ridge_bindings(f"{name}_{model}", f"{name}_rows", features, target, alpha, min_rows, "game_id")
+        SQL_BINDINGS[f"{name}_{model}_last"] = ((f"{name}_{model}_fit",), f"SELECT n, c, w FROM {name}_{model}_fit WHERE season = 9999")
+
+
+full_fit_bindings("game", "features", "home_margin IS NOT NULL", _CORE, _TARGETS, 50.0, 350)
+
+
 @query(
     "g02_standardized_ridge_fit",
     "feature:s coefficient:d train_rows:i",
+    f"SELECT unnest([{', '.join(repr(f) for f in ['intercept', *_CORE])}]) AS feature, unnest(list_concat([c], w)) AS coefficient, n AS train_rows FROM game_margin_last",
+    "game_margin_last",
 )
 def _(t):
     fit = ridge.full_fits(game_features_completed(t), {"m": (_CORE, "home_margin", 50.0)})
@@ -536,13 +570,6 @@ def _ablation(games, sets, alpha):
     return ensemble.change_versus(mae, "model", "core", ["target"])
 
 
-_PENALTIES = (10.0, 30.0, 50.0, 100.0)
-_TARGETS = {"margin": "home_margin", "total": "total_points"}
-for _target, _column in _TARGETS.items():
-    for _alpha in _PENALTIES:
-        ridge_bindings(f"tune_{_target}_{_alpha:g}", "features", _CORE, _column, _alpha, 350, "game_id")
-
-
 @query(
     "h14_penalty_tuning",
     "model:s season:i rows:i mae:d",
@@ -571,3 +598,27 @@ def _(t):
 def _(t):
     oof = game_oof(t, {"margin": (_CORE, "home_margin", 10.0), "total": (_CORE, "total_points", 50.0)})
     return ensemble.score_forecasts(one_to_one(oof), "independent_home_margin", "independent_total")
+
+
+full_fit_bindings("asof", "cdone", "start_date <= TIMESTAMP '2000-06-30'", _ELO, _COLLEGE_TARGETS, CFB_RIDGE, CFB_MIN)
+
+
+@query(
+    "g13_learned_in_two_runs",
+    "model:s train_rows:i intercept:d elo_weight:d new_rows:i",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS model, n AS train_rows, c AS intercept, w[3] AS elo_weight,
+        (SELECT count(*) FROM cdone WHERE start_date > TIMESTAMP '1999-12-31' AND start_date <= TIMESTAMP '2000-06-30') AS new_rows FROM asof_{m}_last"""
+        for m in _COLLEGE_TARGETS
+    ),
+    " ".join(f"asof_{m}_last" for m in _COLLEGE_TARGETS) + " cdone",
+)
+def _(t):
+    """A second weekly run reads only the games that the first hasn't learned, and fits as one over all of them would."""
+    rows = cut_lineage(cc.features(t).where("completed"))
+    specs = {m: (_ELO, c, CFB_RIDGE) for m, c in _COLLEGE_TARGETS.items()}
+    root = shared_root(t)
+    for day in ("1999-12-31", "2000-06-30", "2000-06-30"):  # the last run is repeated
+        new = ridge.learn_new_rows(rows.where(F.col("start_date") <= F.to_timestamp(F.lit(day))), specs, root, f"upto-{day}", id_col="game_id")
+    fits = ridge.learned_fits(t.spark, specs, root, min_rows=CFB_MIN).withColumn("elo_weight", F.element_at("coefficients", 3))
+    return fits.crossJoin(F.broadcast(new.agg(F.count(F.lit(1)).alias("new_rows"))))  # a single row

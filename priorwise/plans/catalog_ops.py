@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import odds, text, timeparse
-from ..session import local_folder
+from ..session import cut_lineage, local_folder
 from ..operators import boosting, ensemble, players, ridge, roster, scenario, teamform
 from ..sources import feeds, ledger, releases
 from ..streaming import quotes as stream
@@ -64,15 +64,34 @@ def _(t):
     return joined.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.count("l").alias("lines"))
 
 
-@query("a16_fingerprint", "feed:s columns:s rows:i digest:s")
+@query(
+    "a16_fingerprint",
+    "feed:s columns:s rows:i same_in_any_order:i changed_by_a_row:i changed_by_a_value:i",
+    """SELECT 'plays' AS feed, 'game_id,posteam,play_type,epa' AS columns, count(*) AS "rows", 1 AS same_in_any_order, 1 AS changed_by_a_row, 1 AS changed_by_a_value FROM plays
+    UNION ALL SELECT 'rosters', 'season,team,gsis_id,status', count(*), 1, 1, 1 FROM rosters""",
+    "plays rosters",
+)
 def _(t):
-    return feeds.fingerprint(
-        {
-            "plays": (t.plays, ["game_id", "posteam", "play_type", "epa", "not_there"]),
-            "games": (t.games, t.games.columns),
-            "rosters": (t.rosters, t.rosters.columns),
-        }
-    )
+    """Digests of two feeds, of the same rows in another order, of all but one row, and of one changed value."""
+    feeds_ = {"plays": (t.plays, ["game_id", "posteam", "play_type", "epa", "not_there"]), "rosters": (t.rosters, ["season", "team", "gsis_id", "status"])}
+
+    def first(df, column):
+        return df.where(F.col(column).isNotNull()).agg(F.min(column)).first()[0]
+
+    out = feeds.fingerprint(feeds_).select("feed", "columns", "rows", "digest")
+    others = {"same_in_any_order": {}, "changed_by_a_row": {}, "changed_by_a_value": {}}
+    for name, (df, wanted) in feeds_.items():
+        key = "game_id" if name == "plays" else "gsis_id"
+        value = first(df, key)
+        others["same_in_any_order"][name] = (df.repartition(7, key).sortWithinPartitions(F.desc(key)), wanted)
+        others["changed_by_a_row"][name] = (df.unionByName(df.where(F.col(key) == value).limit(1)), wanted)
+        last = wanted[3]
+        others["changed_by_a_value"][name] = (df.withColumn(last, F.when(F.col(key) == value, F.lit(None)).otherwise(F.col(last))), wanted)
+    for what, changed in others.items():
+        again = feeds.fingerprint(changed).select("feed", F.col("digest").alias(what))
+        same = F.col("digest") == F.col(what)
+        out = out.join(again, "feed").withColumn(what, (same if what == "same_in_any_order" else ~same).cast("int"))
+    return out
 
 
 @query(
@@ -351,10 +370,31 @@ def _(t):
     return ledger.release_consistency(_batches(t), _batches(t).where("season = 2000"))
 
 
-@query("g14_model_registry", "model:s target:s sha256:s")
+@query(
+    "g14_model_registry",
+    "model:s target:s features:i intercept:d first_weight:d residual_std:d digest_length:i altered_fails:i",
+    """SELECT 'game_margin' AS model, 'home_margin' AS target, len(w) AS features, c AS intercept, w[1] AS first_weight,
+    (SELECT stddev_samp(actual - predicted) FROM tune_margin_50) AS residual_std, 64 AS digest_length, 1 AS altered_fails FROM game_margin_last
+    UNION ALL SELECT 'game_total', 'total_points', len(w), c, w[1], (SELECT stddev_samp(actual - predicted) FROM tune_total_50), 64, 1 FROM game_total_last""",
+    "game_margin_last game_total_last tune_margin_50 tune_total_50",
+)
 def _(t):
-    """Coefficients of the game models as registry rows with their digests."""
-    return ledger.model_hash(jobs.game_models(game_features_completed(t)))
+    """The game models written once, read back with their digests verified; an altered copy fails on read."""
+    root = _shared(t)
+    models = jobs.game_models(game_features_completed(t))
+    ledger.save_models(models, root, "v1")
+    loaded = ledger.load_models(t.spark, root, "v1")
+    kept = t.spark.read.parquet(f"{root}/models/version=v1")
+    kept.withColumn("intercept", F.col("intercept") + 1).write.parquet(f"{root}/models/version=v2")
+    try:
+        ledger.load_models(t.spark, root, "v2").collect()  # two rows
+        fails = 0
+    except Exception as mismatch:  # noqa: BLE001
+        fails = int("checksum mismatch" in str(mismatch))
+    return loaded.select(
+        "model", "target", F.size("features").alias("features"), "intercept", F.element_at("coefficients", 1).alias("first_weight"),
+        "residual_std", F.length("sha256").alias("digest_length"), F.lit(fails).alias("altered_fails"),
+    )
 
 
 # --- scenarios -----------------------------------------------------------------------------------
@@ -464,6 +504,32 @@ def _(t):
     return scenario.matchup_features(asked, snapshot, teamform.CORE_GAME_FEATURES)
 
 
+_SIDES = ", ".join(f"{f[0]}.{f[5:]}" for f in teamform.CORE_GAME_FEATURES if f[:5] in ("home_", "away_") and f[5:] in teamform.STATE_FEATURES)
+_ASKED = "SELECT * FROM (VALUES (7, 7, false, 1, 0), (10, 7, false, 2, 0), (7, 14, true, 5, 1)) v(home_rest_days, away_rest_days, neutral_site, \"week\", division_game)"
+
+
+@query(
+    "e18_scored_pairings",
+    "home_team:s away_team:s week:i neutral_site:i home_score:d away_score:d predicted_home_margin:d total:d total_p10:d total_p90:d home_win_probability:d",
+    f"""SELECT home_team, away_team, "week", CAST(neutral_site AS INTEGER) AS neutral_site, round_even(greatest((t + m) / 2, 0), 1) AS home_score,
+    round_even(greatest((t - m) / 2, 0), 1) AS away_score, round_even(m, 2) AS predicted_home_margin, round_even(t, 1) AS total,
+    round_even(greatest(t - 1.2816 * ts, 0), 1) AS total_p10, round_even(greatest(t + 1.2816 * ts, 0), 1) AS total_p90, {sql_cdf('(m / ms)')} AS home_win_probability FROM
+    (SELECT x.*, mf.c + list_inner_product(mf.w, v) AS m, tf.c + list_inner_product(tf.w, v) AS t,
+      (SELECT stddev_samp(actual - predicted) FROM tune_margin_50) AS ms, (SELECT stddev_samp(actual - predicted) FROM tune_total_50) AS ts
+      FROM (SELECT h.team AS home_team, a.team AS away_team, s.*, list_transform([{_SIDES}, home_rest_days, away_rest_days, home_rest_days - away_rest_days, division_game, "week",
+        CASE WHEN neutral_site THEN 0 ELSE 1 END], lambda q: CAST(q AS DOUBLE)) AS v FROM snapshot h JOIN snapshot a ON h.team <> a.team, ({_ASKED}) s) x, game_margin_last mf, game_total_last tf)""",
+    "snapshot game_margin_last game_total_last tune_margin_50 tune_total_50",
+)
+def _(t):
+    """Every pairing of two clubs in three scenarios, scored by the game models."""
+    snapshot = teamform.team_snapshot(teamform.team_states(t.games, t.plays, plays_by="side"))
+    models = jobs.game_models(game_features_completed(t)).withColumn("model", F.replace("model", F.lit("game_"), F.lit("")))
+    snapshot, models = cut_lineage(snapshot), cut_lineage(models)
+    clubs = snapshot.select("team")
+    pairs = clubs.select(F.col("team").alias("home_team")).join(clubs.select(F.col("team").alias("away_team")), F.col("home_team") != F.col("away_team"))
+    return scenario.score_pairings(pairs, t.spark.sql(_ASKED.replace('"week"', "week")), snapshot, models, teamform.CORE_GAME_FEATURES)
+
+
 def _lead(gap: str, limit: float, text_: str) -> str:
     return f"CASE WHEN abs({gap}) > {limit} THEN replace('{text_}', '%s', CASE WHEN {gap} > 0 THEN home_team ELSE away_team END) END"
 
@@ -502,9 +568,20 @@ def _(t):
     return scenario.freshness_notices(t.rosters, coverage, 2025)
 
 
-@query("e15_player_snapshots", "player_id:s team:s opponent:s opponent_def_epa:d roster_season:i " + " ".join(
-    f"{n}:d" for n in players.PLAYER_FEATURES["rushing"] if n != "opponent_def_epa"
-))
+_RUSHING = [n for n in players.PLAYER_FEATURES["rushing"] if n != "opponent_def_epa"]
+
+
+@query(
+    "e15_player_snapshots",
+    "player_id:s team:s opponent:s opponent_def_epa:d roster_season:i " + " ".join(f"{n}:d" for n in _RUSHING),
+    f"""SELECT player_id, posteam AS team, opponent, COALESCE(def_epa_l4, 0) AS opponent_def_epa, 2001 AS roster_season, {', '.join(f'COALESCE({n}, 0) AS {n}' for n in _RUSHING)}
+    FROM rushing_next JOIN (SELECT side, other AS opponent FROM
+      (SELECT home_team AS side, away_team AS other, gameday, game_id FROM games WHERE season = 2001 AND home_score IS NULL
+       UNION ALL SELECT away_team, home_team, gameday, game_id FROM games WHERE season = 2001 AND home_score IS NULL)
+      QUALIFY row_number() OVER (PARTITION BY side ORDER BY gameday DESC, game_id DESC) = 1) ON side = posteam
+    LEFT JOIN snapshot ON snapshot.team = opponent""",
+    "rushing_next games snapshot",
+)
 def _(t):
     """Runners on a current roster with their next opponent."""
     log = club_log(t, "rushing").withColumn("player_name", F.col("player_id"))
