@@ -82,9 +82,38 @@ def test_refinement_counts_distinct_documents_of_prefixes(spark):
     rows = [(" ".join(f"qq{chr(97 + k)}{chr(97 + j)}" for j in range(26)), "en", "s") for k in range(9)] + [("qa qb", "en", "s")] * 10
     words = divergence.vocabulary(frame(spark, rows))
     assert sorted(tuple(r) for r in divergence.frequent_terms(words, 10).collect()) == [("en", b"qa"), ("en", b"qb")]
-    noted = words.groupBy("lang").agg({"docs": "sum"}).collect()[0][1]
-    assert noted == 9 * 26 + 20
-    assert divergence.new_levels([b"a", b"ab", b"abc", b"abcd", b"b"]) == [0, 1, 2, 2, 0]
+    assert sum(sum(r.docs) for r in words.collect()) == 9 * 26 + 20
+    terms = [b"a", b"abcd", b"abcde", b"abcdefgh", b"abcdefghi", b"b"]
+    doc, rank = divergence.np.array([0, 0, 0, 0, 0, 0, 1, 1, 2]), divergence.np.array([0, 1, 2, 3, 4, 5, 2, 4, 4])
+    assert divergence.new_levels(terms, doc, rank).tolist() == [0, 0, 1, 1, 2, 0, 0, 1, 0]
+
+
+def test_small_pieces_give_the_same(spark, monkeypatch):
+    """Tasks that give their counts early and merge few rows at once (workers are forked anew for each value)."""
+    rows = list(texts(5, 150))
+    want = plain(rows, 3, 6)
+    batch = [divergence.pa.RecordBatch.from_arrays([divergence.pa.array([f(r[k]) for r in rows]) for k, f in ((1, lambda x: x or ""), (2, lambda x: x or ""), (0, lambda x: x or ""))], names=["lang", "source", "text"])]
+    whole = [b.to_pylist() for b in divergence._vocabulary(iter(batch))]
+    monkeypatch.setattr(divergence, "HELD", 900)
+    monkeypatch.setattr(divergence, "GIVEN", 7)
+    parts = list(divergence._vocabulary(iter(batch)))
+
+    def counted(batches):
+        docs, uses = Counter(), Counter()
+        for b in batches:
+            for r in b:
+                docs.update({(r["lang"], r["term"], k): n for k, n in zip(r["levels"], r["docs"], strict=True)})
+                uses.update({(r["lang"], r["term"], k): n for k, n in zip(r["sources"], r["uses"], strict=True)})
+        return docs, uses
+
+    assert len(parts) > len(whole) and counted(b.to_pylist() for b in parts) == counted(whole)
+    nos = {s: k for k, s in enumerate(sorted({r[2] or "" for r in rows}))}
+    flat = sorted(({"lang": r["lang"], "term": r["term"], "nos": [nos[s] for s in r["sources"]], "uses": r["uses"]} for b in parts for r in b.to_pylist()), key=lambda r: (r["lang"], r["term"]))
+    schema = divergence.pa.schema([("lang", "string"), ("term", divergence.pa.binary()), ("nos", divergence.pa.list_(divergence.pa.int32())), ("uses", divergence.pa.list_(divergence.pa.int64()))])
+    dealt = [divergence.pa.RecordBatch.from_pylist(flat[a : a + 5], schema) for a in range(0, len(flat), 5)]
+    grid = {(r["lang"], r["term"], h["no"]): h["c"] for b in divergence._grid(iter(dealt), len(nos)) for r in b.to_pylist() for h in r["held"]}
+    assert grid == {(lang, t, nos[s]): n for (lang, t, s), n in counted(whole)[1].items()}
+    assert Counter(tuple(r) for r in divergence.source_divergence(frame(spark, rows), 3, 6).collect()) == want
 
 
 def test_empty_table(spark):
