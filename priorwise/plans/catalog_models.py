@@ -547,9 +547,19 @@ def _(t):
     return fit.select("train_rows", F.inline(named))
 
 
+_SETS = ensemble.group_combinations(_CORE, teamform.CANDIDATE_GROUPS)
+_ABLATION = [(m, k, n) for m in _TARGETS for k, n in enumerate(_SETS)]
+for _target, _k, _name in _ABLATION:
+    ridge_bindings(f"ablation_{_target}_{_k}", "features", _SETS[_name], _TARGETS[_target], 10.0, 350, "game_id")
+
+
 @query(
     "h12_feature_group_ablation",
     "target:s model:s rows:i mae:d mae_change:d",
+    """SELECT target, model, n AS "rows", mae, mae - max(CASE WHEN model = 'core' THEN mae END) OVER (PARTITION BY target) AS mae_change FROM ("""
+    + " UNION ALL ".join(f"SELECT '{m}' AS target, '{n}' AS model, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM ablation_{m}_{k}" for m, k, n in _ABLATION)
+    + ")",
+    " ".join(f"ablation_{m}_{k}" for m, k, _ in _ABLATION),
 )
 def _(t):
     """Sixteen feature sets times two targets from one Gram matrix over all their features."""
