@@ -696,11 +696,36 @@ def _(t):
     )
 
 
-@query("h13_roster_group_ablation", "model:s split:s rows:i mae:d mae_change:d")
+SQL_BINDINGS["roster_features"] = (
+    ("features", "transitions"),
+    "SELECT g.*, "
+    + ", ".join(
+        f"COALESCE({s[0]}.{f} * least(greatest(1.25 - 0.25 * greatest(\"week\", 1), 0), 1), 0) AS {s}_{f}"
+        for s in ("home", "away")
+        for f in roster.DELTA_FEATURES
+    )
+    + """ FROM (SELECT *, CAST(game_id % 8 AS VARCHAR) AS ht, CAST((game_id + 3) % 8 AS VARCHAR) AS at_ FROM features WHERE home_margin IS NOT NULL) g
+    LEFT JOIN transitions h ON h.season = 2024 AND h.team = g.ht
+    LEFT JOIN transitions a ON a.season = 2024 AND a.team = g.at_""",
+)
+_ROSTER_SETS = ensemble.group_combinations(teamform.CORE_GAME_FEATURES, roster.ROSTER_GROUPS)
+for _k, _features in enumerate(_ROSTER_SETS.values()):
+    ridge_bindings(f"roster_{_k}", "roster_features", _features, "home_margin", ensemble.GAME_RIDGE, 350, "game_id")
+
+
+@query(
+    "h13_roster_group_ablation",
+    "model:s split:s rows:i mae:d mae_change:d",
+    """SELECT model, split, n AS "rows", mae, mae - max(CASE WHEN model = 'core' THEN mae END) OVER (PARTITION BY split) AS mae_change FROM
+    (SELECT model, split, count(*) AS n, avg(e) AS mae FROM (SELECT *, unnest(['all_oof', CASE WHEN "week" <= 4 THEN 'weeks_1_4' END,
+      CASE WHEN "week" <= 4 AND season < 2000 THEN 'development_weeks_1_4' END, CASE WHEN "week" <= 4 AND season = 2000 THEN 'holdout_weeks_1_4' END]) AS split FROM ("""
+    + " UNION ALL ".join(f"SELECT '{n}' AS model, season, \"week\", abs(predicted - actual) AS e FROM roster_{k}" for k, n in enumerate(_ROSTER_SETS))
+    + ")) WHERE split IS NOT NULL GROUP BY 1, 2)",
+    " ".join(f"roster_{k}" for k in range(len(_ROSTER_SETS))),
+)
 def _(t):
     """Every combination of roster feature groups on games of clubs with roster history."""
-    sets = ensemble.group_combinations(teamform.CORE_GAME_FEATURES, roster.ROSTER_GROUPS)
-    return jobs.roster_ablation(roster_games(t), sets, holdout_season=2000)
+    return jobs.roster_ablation(roster_games(t), _ROSTER_SETS, holdout_season=2000)
 
 
 # --- labels and scalars --------------------------------------------------------------------------
