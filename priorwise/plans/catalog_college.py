@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import college
 from ..sources import college as feeds
+from . import jobs
 from .bindings import SQL_BINDINGS, Tables
 from .registry import query
 
@@ -650,3 +651,43 @@ def _(t):
         },
         {"portal_records": portal(t), "listed_line_games": listed},
     )
+
+
+# --- landed history ------------------------------------------------------------------------------
+
+_LANDED_GAMES = "(SELECT * FROM orders WHERE year(o_orderdate) <> 1997 AND o_orderkey % 89 <> 0)"
+
+
+def _land(raw: DataFrame, root: str, feed: str) -> None:
+    """Lines as a feed delivers them, by season; some are cut off, one season is never published."""
+    line = F.concat(F.lit('{"ordinal":'), F.col("ordinal"), F.lit(',"record":'), F.col("raw"), F.lit("}"))
+    cut = F.when(F.col("ordinal") % 89 == 0, F.substring(line, 1, 25)).otherwise(line)
+    raw.where("season <> 1997").select("season", cut.alias("value")).write.partitionBy("season").text(f"{root}/{feed}")
+
+
+@query(
+    "a12_landed_history",
+    "feed:s season:i lines:i broken:i kept:i total:d",
+    f"""WITH l AS (SELECT year(o_orderdate) AS season, count(*) AS lines, sum(CASE WHEN o_orderkey % 89 = 0 THEN 1 ELSE 0 END) AS broken FROM orders WHERE year(o_orderdate) <> 1997 GROUP BY 1),
+    g AS (SELECT season, count(*) AS kept, sum(home_points) AS total FROM (SELECT year(o_orderdate) AS season, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS home_points
+      FROM {_LANDED_GAMES} WHERE o_orderkey % 101 <> 0 QUALIFY row_number() OVER (PARTITION BY o_orderkey - CASE WHEN o_orderkey % 10 = 9 THEN 1 ELSE 0 END ORDER BY year(o_orderdate), o_orderkey) = 1) GROUP BY 1),
+    r AS (SELECT season, count(*) AS kept, sum(p) AS total FROM (SELECT year(o_orderdate) AS season, o_totalprice AS p FROM {_LANDED_GAMES}
+      QUALIFY row_number() OVER (PARTITION BY year(o_orderdate), o_custkey % 100 ORDER BY o_orderkey DESC) = 1) GROUP BY 1)
+    SELECT 'games' AS feed, l.*, kept, total FROM l JOIN g USING (season) UNION ALL SELECT 'returning', l.*, kept, total FROM l JOIN r USING (season)""",
+)
+def _(t):
+    """Two feeds landed by season, with a season nobody published, feeds that never came, and broken lines."""
+    root = jobs.shared_root(t.spark)
+    season = F.year("o_orderdate").alias("season")
+    days = t.read("orders").select(F.col("o_orderkey").alias("ordinal"), season)
+    _land(raw_games(t).join(days, "ordinal"), root, "games")
+    returning_raw = _raw(t.read("orders"), "o_orderkey", season="year(o_orderdate)", team="concat('T', o_custkey % 100)", percentPPA="o_totalprice")
+    _land(returning_raw.join(days, "ordinal"), root, "returning")
+    frames, counts = feeds.read_history(t.spark, root, range(1990, 2005), required=("games",))
+    if not (frames["portal"].isEmpty() and frames["lines"].isEmpty()):
+        raise RuntimeError("feeds that never came have rows")
+    kept = None
+    for feed, value in (("games", "home_points"), ("returning", "returning_ppa")):
+        part = frames[feed].groupBy("season").agg(F.count(F.lit(1)).alias("kept"), F.sum(value).alias("total")).withColumn("feed", F.lit(feed))
+        kept = part if kept is None else kept.unionByName(part)
+    return counts.join(kept, ["feed", "season"])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
 from ..operators import college, ensemble, evaluate, ratings, ridge, teamform
-from ..session import cut_lineage, local_folder
+from ..session import cut_lineage
 from . import catalog_college as cc
+from . import jobs
 from .bindings import SQL_BINDINGS
 from .catalog_form import _features_sql, game_features_completed
 from .registry import query
@@ -230,12 +230,6 @@ def _(t):
     return ratings.calibrate_preseason(rows, latest, "2000-01-01T00:00:00Z")
 
 
-def shared_root(t) -> str:
-    """A fresh folder that all executors see."""
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(t.spark)
-    return f"{root.rstrip('/')}/priorwise-{uuid.uuid4().hex}"
-
-
 # --- walk-forward ridge --------------------------------------------------------------------------
 
 def ridge_bindings(name: str, source: str, features: Sequence[str], target: str, alpha: float, min_rows: int, keep: str) -> None:
@@ -627,7 +621,7 @@ def _(t):
     """A second weekly run reads only the games that the first hasn't learned, and fits as one over all of them would."""
     rows = cut_lineage(cc.features(t).where("completed"))
     specs = {m: (_ELO, c, CFB_RIDGE) for m, c in _COLLEGE_TARGETS.items()}
-    root = shared_root(t)
+    root = jobs.shared_root(t.spark)
     for day in ("1999-12-31", "2000-06-30", "2000-06-30"):  # the last run is repeated
         new = ridge.learn_new_rows(rows.where(F.col("start_date") <= F.to_timestamp(F.lit(day))), specs, root, f"upto-{day}", id_col="game_id")
     fits = ridge.learned_fits(t.spark, specs, root, min_rows=CFB_MIN).withColumn("elo_weight", F.element_at("coefficients", 3))

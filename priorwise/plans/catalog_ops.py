@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import odds, text, timeparse
-from ..session import cut_lineage, local_folder
-from ..operators import boosting, ensemble, players, ridge, roster, scenario, teamform
+from ..session import cut_lineage
+from ..operators import boosting, college, ensemble, players, ridge, roster, scenario, teamform
 from ..sources import feeds, ledger, releases
 from ..streaming import quotes as stream
 from . import catalog_college as cc
@@ -250,8 +250,7 @@ def _batches(t):
 
 def _shared(t) -> str:
     """A fresh folder that all executors see."""
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return jobs.fresh_folder(root or local_folder(t.spark))
+    return jobs.shared_root(t.spark)
 
 
 @query(
@@ -397,6 +396,28 @@ def _(t):
     )
 
 
+@query(
+    "g15_h16_published_under_contract",
+    "what:s count:i",
+    """SELECT unnest(['rows', 'missing_result', 'missing_feature', 'drifted', 'read']) AS what,
+    unnest([count(*), count(CASE WHEN home_margin IS NULL THEN 1 END), 0, 0, count(*)]) AS count FROM features""",
+    "features",
+)
+def _(t):
+    """All game features published while their contract is counted; a table with a missing feature is refused."""
+    root, games = _shared(t), game_features_all(t)
+    configurations = t.spark.createDataFrame([(n, list(f)) for n, f in college.CONFIGURATIONS.items()], "name string, features array<string>")
+    counts = jobs.publish_features(games, teamform.CORE_GAME_FEATURES, root, "features-1", configurations=configurations)
+    holed = games.withColumn("home_rest_days", F.when(F.col("week") != 3, F.col("home_rest_days")))
+    try:
+        jobs.publish_features(holed, teamform.CORE_GAME_FEATURES, root, "features-2")
+    except releases.ContractError:
+        pass
+    read = releases.read_published(t.spark, root, "features", start="features-").agg(F.count(F.lit(1)).alias("count")).select(F.lit("read").alias("what"), "count")
+    drifted = jobs.configuration_drift(configurations).agg(F.count_if("drifted").alias("count")).select(F.lit("drifted").alias("what"), "count")
+    return t.spark.createDataFrame(list(counts.items()), "what string, count bigint").unionByName(drifted).unionByName(read)
+
+
 # --- scenarios -----------------------------------------------------------------------------------
 
 def _injury_scenario(t):
@@ -859,8 +880,7 @@ def _(t):
 def _(t):
     """The same consensus over the table replayed as a stream: windows the watermark has closed."""
     source = t.read("events").schema
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = jobs.fresh_folder(shared) if shared else local_folder(t.spark)
+    folder = _shared(t)
     quotes = t.spark.readStream.schema(source).parquet(f"{t.folder}/events*.parquet")
     closed = stream.windowed_consensus(_quote_events(quotes), window="1 day", unique="event_id")
     running = (

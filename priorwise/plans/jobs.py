@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z80, normal_cdf
 from ..operators import college, ensemble, evaluate, players, ridge, roster, teamform
 from ..operators.ridge import linear_prediction
-from ..session import cut_lineage
+from ..sources.releases import ContractError, publish_checked
+from ..session import cut_lineage, local_folder
 
 PLAYER_TARGETS = {
     "passing_yards": ("passing", "passing"),
@@ -25,6 +26,11 @@ def fresh_folder(root: str) -> str:
     return f"{root.rstrip('/')}/priorwise-{uuid.uuid4().hex}"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """A fresh folder that all executors see."""
+    return fresh_folder(spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(spark))
+
+
 def game_models(games: DataFrame) -> DataFrame:
     """Margin and total models fitted on all completed games, as registry rows.
 
@@ -235,3 +241,26 @@ def check_configuration(published: Mapping[str, Sequence[str]], selected: Sequen
         if list(published.get(name, [])) != list(college.CONFIGURATIONS[name]):
             raise ValueError(f"feature schema drift for {name}")
 
+
+def configuration_drift(published: DataFrame) -> DataFrame:
+    """(name, drifted) of every configuration of the code against a published table (name, features); order counts."""
+    rows = [(n, list(f)) for n, f in college.CONFIGURATIONS.items()]
+    ours = published.sparkSession.createDataFrame(rows, "name string, ours array<string>")  # a handful
+    joined = ours.join(published.select("name", F.col("features").alias("theirs")), "name", "left")
+    return joined.select("name", F.coalesce(F.col("ours") != F.col("theirs"), F.lit(True)).alias("drifted"))
+
+
+def publish_features(games: DataFrame, features: Sequence[str], root: str, release: str, *, configurations: DataFrame | None = None) -> dict[str, int]:
+    """Publish a feature table if it keeps its contract; returns what was counted while it was written.
+
+    Every row must have every feature, and every published configuration must be the code's. What is counted
+    without being enforced are the rows and those without a result. A broken contract publishes nothing.
+    """
+    ridge.check_features(games, features)
+    enforced = {"missing_feature": ~F.expr(ridge.known(features))}
+    counted = {"rows": F.lit(True), "missing_result": F.expr("home_margin IS NULL OR total_points IS NULL")}
+    if configurations is not None:
+        drifted = [r["name"] for r in configuration_drift(configurations).where("drifted").collect()]  # a handful
+        if drifted:
+            raise ContractError(f"feature schema drift for {', '.join(sorted(drifted))}")
+    return publish_checked(games.sparkSession, "features", games, root, release, enforced, counted)

@@ -7,13 +7,14 @@ does not parse becomes null (or the stated default) instead of failing the job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeparse import parse_as_of
 from ..operators.history import keep_one
+from .feeds import _exists
 
 
 def _parse(feed: DataFrame, schema: str) -> DataFrame:
@@ -231,6 +232,39 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def normalize_bundle(feeds: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Normalize every feed that has a registered normalizer."""
-    return {name: NORMALIZERS[name](feed) for name, feed in feeds.items()}
+#: Feeds of a season's history, and those without which there is none.
+HISTORY = ("games", "advanced", "returning", "portal", "talent", "recruiting", "lines")
+REQUIRED = ("games", "advanced")
+_LANDED = "ordinal BIGINT, record STRING, _broken STRING"
+
+
+def read_history(
+    spark: SparkSession, root: str, seasons: Sequence[int], *, feeds: Sequence[str] = HISTORY, required: Sequence[str] = REQUIRED,
+    normalizers: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every feed over its published season folders, normalized, and the counts of (feed, season, lines, broken).
+
+    Records lie under ``root/<feed>/season=<year>`` as lines of JSON with an ordinal and the record. A season that
+    a feed hasn't published is skipped, a feed without any is empty; a required feed without a readable record
+    fails. Lines that are no JSON or have no ordinal are left out and counted. Order of ingest is season, then
+    ordinal. Folders are found by their metadata; nothing is read before the frames are used, but to see that
+    required feeds aren't empty.
+    """
+    registry = {**NORMALIZERS, **(normalizers or {})}
+    frames: dict[str, DataFrame] = {}
+    counts = None
+    for feed in feeds:
+        paths = [p for p in (f"{root}/{feed}/season={s}" for s in seasons) if _exists(spark, p)]
+        if paths:
+            reader = spark.read.schema(_LANDED).option("columnNameOfCorruptRecord", "_broken").option("basePath", f"{root}/{feed}")
+            landed = reader.json(paths).withColumn("season", F.col("season").cast("int"))
+        else:
+            landed = spark.createDataFrame([], _LANDED + ", season INT")
+        good = F.col("ordinal").isNotNull() & F.col("record").isNotNull() & F.col("_broken").isNull()
+        readable = landed.where(good).select(F.struct("season", "ordinal").alias("ordinal"), F.col("record").alias("raw"))
+        if feed in required and readable.isEmpty():
+            raise ValueError(f"feed {feed} has no readable record for the requested seasons")
+        frames[feed] = registry[feed](readable)
+        part = landed.groupBy(F.lit(feed).alias("feed"), "season").agg(F.count(F.lit(1)).alias("lines"), F.count_if(~good).alias("broken"))
+        counts = part if counts is None else counts.unionByName(part)
+    return frames, counts

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -24,13 +25,43 @@ def _manifests(root: str) -> str:
     return f"{root.rstrip('/')}/_manifests"
 
 
-def publish_together(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, release: str) -> str:
-    """Write all tables, then publish them under a release name that nobody has used; returns their folder."""
+class ContractError(ValueError):
+    """A table doesn't keep its contract."""
+
+
+def publish_checked(
+    spark: SparkSession, name: str, table: DataFrame, root: str, release: str, enforced: Mapping[str, Column], counted: Mapping[str, Column] | None = None
+) -> dict[str, int]:
+    """Publish a table unless a row meets one of the ``enforced`` conditions; returns the counts of all conditions.
+
+    Conditions are counted by the job that writes the table, so its rows are made once. After a failure the
+    table lies unpublished and the release name is free.
+    """
+    seen = Observation()
+    conditions = {**enforced, **(counted or {})}
+    watched = table.observe(seen, *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()])
+
+    def check() -> None:
+        broken = {n: seen.get[n] for n in enforced if seen.get[n]}
+        if broken:
+            raise ContractError(f"table {name} breaks its contract: {broken}")
+
+    publish_together(spark, {name: watched}, root, release, check)
+    return {n: int(seen.get[n]) for n in conditions}
+
+
+def publish_together(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, release: str, check: Callable[[], None] | None = None) -> str:
+    """Write all tables, then publish them under a release name that nobody has used; returns their folder.
+
+    ``check`` runs between the two and keeps the release unpublished by raising.
+    """
     folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     if is_published(spark, root, release):  # spares the writing; the manifest decides
         raise FileExistsError(f"release {release} is published")
     for name, table in tables.items():
         table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    if check:
+        check()
     path, files = _file_system(spark, f"{_manifests(root)}/{release}.json")
     files.mkdirs(path.getParent())
     try:

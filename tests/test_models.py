@@ -166,3 +166,31 @@ def test_missing_values_cost_a_model_only_its_own_rows(spark):
     only = run([r for r in holes if r[4] is not None])
     assert {k: v for k, v in some.items() if k[0] == "ab"} == pytest.approx({k: v for k, v in only.items() if k[0] == "ab"})
     assert len(full) == 360 and {i for m, i in some if m == "ab"} == {r[0] for r in holes if r[4] is not None and r[2] > 1}
+
+
+def test_learning_in_parts_equals_one_fit(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, 2000 + k // 60, 1 + k // 10 % 6, r.gauss(0, 1), r.gauss(0, 1) if k % 9 else None, r.gauss(0, 1), r.gauss(40, 5)) for k in range(180)]
+    df = spark.createDataFrame(rows, "game_id int, season int, week int, a double, b double, y double, z double")
+    specs = {"m": (["a", "b"], "y", 3.0), "t": (["a"], "z", 1.0)}
+    root = str(tmp_path)
+    late = df.where("game_id = 7")  # comes in the last run, though it is old
+    for name, part in (("1", df.where("game_id < 100 AND game_id <> 7")), ("2", df.where("game_id < 150 AND game_id <> 7")), ("2", df), ("3", df)):
+        new = ridge.learn_new_rows(part, specs, root, name, id_col="game_id")
+    assert sorted(x.game_id for x in new.collect()) == sorted([7, *range(150, 180)]) and late.count() == 1
+    one = {x.model: (x.train_rows, x.intercept, *x.coefficients) for x in ridge.full_fits(df, specs).collect()}
+    two = {x.model: (x.train_rows, x.intercept, *x.coefficients) for x in ridge.learned_fits(spark, specs, root).collect()}
+    assert one.keys() == two.keys() and all(abs(p - q) < 1e-9 for m in one for p, q in zip(one[m], two[m], strict=True))
+
+
+def test_many_models_are_fitted_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(ridge, "MOST_SETS", 2)
+    rows = [(k, 1 + k // 10, float(k % 7), float(k % 5), float(k % 3), float(k % 11)) for k in range(60)]
+    df = spark.createDataFrame(rows, "game_id int, week int, a double, b double, c double, y double").selectExpr("*", "2000 AS season")
+    specs = {n: (list(n), "y", 1.0) for n in ("a", "b", "c", "ab", "bc")}
+    got = {(x.model, x.game_id): x.predicted for x in ridge.walk_forward_predictions(df, specs, min_rows=20, keep=["game_id"]).collect()}
+    for n in specs:
+        alone = ridge.walk_forward_predictions(df, {n: specs[n]}, min_rows=20, keep=["game_id"]).collect()
+        assert alone and all(abs(got[n, x.game_id] - x.predicted) < 1e-9 for x in alone)

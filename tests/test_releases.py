@@ -79,3 +79,40 @@ def test_judged_stream_resumes_and_repeats_nothing(spark, tmp_path):
     assert again == sorted([*first, (5, "valid")])
     before = spark.read.text(f"{root}/_manifests").count()
     assert deliver([(7, 1, "2026-01-10 19:00:00")])[-1] == (7, "late") and spark.read.text(f"{root}/_manifests").count() > before
+
+
+def test_a_broken_contract_publishes_nothing(spark, tmp_path):
+    from priorwise.operators import college
+    from priorwise.plans import jobs
+
+    root = str(tmp_path)
+    games = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, None, 2.0, None), (3, float("nan"), 2.0, 1.0)], "game_id int, a double, home_margin double, total_points double")
+    with pytest.raises(releases.ContractError, match="missing_feature': 2"):
+        jobs.publish_features(games, ["a"], root, "r")
+    assert releases.releases(spark, root) == {}
+    whole = games.where("game_id = 1")
+    assert jobs.publish_features(whole, ["a"], root, "r") == {"missing_feature": 0, "rows": 1, "missing_result": 0}
+    assert releases.read_published(spark, root, "features", "r").count() == 1
+    names = {n: list(f) for n, f in college.CONFIGURATIONS.items()}
+    first = next(iter(names))
+    names[first] = names[first][::-1]
+    table = spark.createDataFrame(list(names.items()), "name string, features array<string>")
+    with pytest.raises(releases.ContractError, match=first):
+        jobs.publish_features(whole, ["a"], root, "s", configurations=table)
+    with pytest.raises(ValueError, match="missing features"):
+        jobs.publish_features(whole, ["b"], root, "s")
+
+
+def test_landed_history_counts_broken_lines(spark, tmp_path):
+    from priorwise.sources import college as feeds
+
+    for season, lines in ((2001, ['{"ordinal": 1, "record": {"id": 5, "season": 2001, "homePoints": 3}}', '{"ordinal": 2, "rec', '{"record": {"id": 6}}', "", "[1]"]), (2003, ['{"ordinal": 1, "record": {"id": 5, "season": 2003}}'])):
+        folder = tmp_path / "games" / f"season={season}"
+        folder.mkdir(parents=True)
+        (folder / "part.txt").write_text("\n".join(lines))
+    frames, counts = feeds.read_history(spark, str(tmp_path), [2001, 2002, 2003], required=("games",))
+    assert [(r.game_id, r.season) for r in frames["games"].collect()] == [(5, 2001)]  # the first record of an id stays
+    assert frames["lines"].isEmpty() and "market_total" in frames["lines"].columns
+    assert sorted((r.feed, r.season, r.lines, r.broken) for r in counts.collect()) == [("games", 2001, 4, 3), ("games", 2003, 1, 0)]
+    with pytest.raises(ValueError, match="advanced"):
+        feeds.read_history(spark, str(tmp_path), [2001])
