@@ -169,13 +169,55 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op8_minhash_near_dedup")
+#: Words between white space.
+WHITE = r"[^\x20\x09-\x0D]+"
+
+
+@query(
+    "op8_minhash_near_dedup",
+    f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WHITE}') AS w FROM documents),
+    s AS MATERIALIZED (
+      SELECT DISTINCT doc_id, array_to_string(w[k : least(k + 2, len(w))], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+    ),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS MATERIALIZED (
+      SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+      UNION ALL SELECT y, x FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+    ),
+    reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r),
+    least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+    """,
+)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     groups = minhash.near_groups(table(spark, folder, "documents", "doc_id", "text"), shingle=3, percent=85, carry=["doc_id"])
     return groups.select("doc.doc_id", "n_shingles", "component_id", "kept")
 
 
-@query("op9_repeated_passages")
+@query(
+    "op9_repeated_passages",
+    f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    win AS MATERIALIZED (
+      SELECT doc_id, k, hash(substr(h, 2 * k + 1, {2 * substrings.LENGTH})) AS one, hash(substr(h, 2 * k + 1, {2 * substrings.LENGTH}) || '-') AS two
+      FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {substrings.LENGTH} + 1)) AS k FROM d)
+    ),
+    first AS (SELECT one, two, min(doc_id) AS least FROM win GROUP BY one, two),
+    gone AS (SELECT doc_id, k FROM win JOIN first USING (one, two) WHERE least < doc_id),
+    steps AS (SELECT doc_id, k, k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {substrings.LENGTH}, -1) AS opens FROM gone),
+    runs AS (SELECT doc_id, k, count_if(opens) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM steps),
+    spans AS (SELECT doc_id, run, min(k) AS a, max(k) + {substrings.LENGTH} AS b FROM runs GROUP BY doc_id, run),
+    pieces AS (
+      SELECT doc_id, coalesce(lag(b) OVER w, 0) AS start, a AS stop FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+      UNION ALL SELECT doc_id, max(b), 1000000000 FROM spans GROUP BY doc_id
+    ),
+    left_ AS (SELECT doc_id, string_agg(substr(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (stop - start) AS BIGINT)), '' ORDER BY start) AS rest FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+    FROM d LEFT JOIN left_ USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS n FROM spans GROUP BY doc_id) USING (doc_id)
+    """,
+)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.repeated_passages(table(spark, folder, "documents", "doc_id", "text"), carry=["doc_id"])
     return found.select("doc.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
