@@ -36,6 +36,7 @@ FORM_PRIORS = {
     "def_explosiveness": 1.2,
     "plays": 70.0,
 }
+# The preseason measures, and the efficiency measures by their columns in the feed.
 PRESEASON_SOURCES = [
     "returning_ppa",
     "returning_passing_ppa",
@@ -57,10 +58,7 @@ _ADVANCED = {
 }
 
 
-def _sides(*names: str) -> list[str]:
-    return [f"{side}_{n}" for side in ("home", "away") for n in names]
-
-
+# The columns of the four nested configurations, by name and in order.
 ELO_FEATURES = [
     "home_elo",
     "away_elo",
@@ -73,13 +71,53 @@ ELO_FEATURES = [
     "away_rest_days",
     "rest_advantage",
 ]
-_FORM = _sides(*[f"{k}_l6" for k in ("points_for", "points_against", "margin_vs_elo", "opponent_elo", "plays")])
-_EFFICIENCY = _sides(*[f"{k}_l6" for k in list(_ADVANCED)[:-1]])
+FORM_FEATURES = [
+    "home_points_for_l6",
+    "home_points_against_l6",
+    "home_margin_vs_elo_l6",
+    "home_opponent_elo_l6",
+    "home_plays_l6",
+    "away_points_for_l6",
+    "away_points_against_l6",
+    "away_margin_vs_elo_l6",
+    "away_opponent_elo_l6",
+    "away_plays_l6",
+]
+EFFICIENCY_FEATURES = [
+    "home_off_ppa_l6",
+    "home_def_ppa_l6",
+    "home_off_success_rate_l6",
+    "home_def_success_rate_l6",
+    "home_off_explosiveness_l6",
+    "home_def_explosiveness_l6",
+    "away_off_ppa_l6",
+    "away_def_ppa_l6",
+    "away_off_success_rate_l6",
+    "away_def_success_rate_l6",
+    "away_off_explosiveness_l6",
+    "away_def_explosiveness_l6",
+]
+PRESEASON_SIDES = [
+    "home_returning_ppa_z",
+    "home_returning_passing_ppa_z",
+    "home_returning_rushing_ppa_z",
+    "home_returning_receiving_ppa_z",
+    "home_talent_z",
+    "home_recruiting_points_z",
+    "home_portal_net_rating_z",
+    "away_returning_ppa_z",
+    "away_returning_passing_ppa_z",
+    "away_returning_rushing_ppa_z",
+    "away_returning_receiving_ppa_z",
+    "away_talent_z",
+    "away_recruiting_points_z",
+    "away_portal_net_rating_z",
+]
 CONFIGURATIONS = {
     "elo_context": ELO_FEATURES,
-    "elo_form": ELO_FEATURES + _FORM,
-    "elo_form_advanced": ELO_FEATURES + _FORM + _EFFICIENCY,
-    "elo_form_advanced_preseason": ELO_FEATURES + _FORM + _EFFICIENCY + _sides(*PRESEASON_FEATURES),
+    "elo_form": ELO_FEATURES + FORM_FEATURES,
+    "elo_form_advanced": ELO_FEATURES + FORM_FEATURES + EFFICIENCY_FEATURES,
+    "elo_form_advanced_preseason": ELO_FEATURES + FORM_FEATURES + EFFICIENCY_FEATURES + PRESEASON_SIDES,
 }
 
 _COMPLETED = "COALESCE(completed, false) AND home_points IS NOT NULL AND away_points IS NOT NULL"

@@ -16,6 +16,7 @@ SKILL = ("WR", "TE", "RB", "FB")
 FRONT = ("DL", "DE", "DT", "NT", "LB", "ILB", "OLB", "EDGE")
 SECONDARY = ("CB", "S", "DB", "FS", "SS")
 
+# Measures of roster change.
 RAW_FEATURES = [
     "roster_offense_continuity",
     "roster_defense_continuity",
@@ -28,17 +29,34 @@ RAW_FEATURES = [
     "roster_incoming_defense_share",
 ]
 DELTA_FEATURES = [f"{f}_delta" for f in RAW_FEATURES]
-
-
-def _pair(*names: str) -> list[str]:
-    return [f"{side}_roster_{name}_delta" for side in ("home", "away") for name in names]
-
-
+# The groups of roster columns that ablations add, by name and in order.
 ROSTER_GROUPS = {
-    "roster_overall": _pair("offense_continuity", "defense_continuity"),
-    "roster_offense_positions": _pair("qb_returning", "ol_continuity", "skill_continuity"),
-    "roster_defense_positions": _pair("front_continuity", "secondary_continuity"),
-    "roster_veteran_additions": _pair("incoming_offense_share", "incoming_defense_share"),
+    "roster_overall": [
+        "home_roster_offense_continuity_delta",
+        "home_roster_defense_continuity_delta",
+        "away_roster_offense_continuity_delta",
+        "away_roster_defense_continuity_delta",
+    ],
+    "roster_offense_positions": [
+        "home_roster_qb_returning_delta",
+        "home_roster_ol_continuity_delta",
+        "home_roster_skill_continuity_delta",
+        "away_roster_qb_returning_delta",
+        "away_roster_ol_continuity_delta",
+        "away_roster_skill_continuity_delta",
+    ],
+    "roster_defense_positions": [
+        "home_roster_front_continuity_delta",
+        "home_roster_secondary_continuity_delta",
+        "away_roster_front_continuity_delta",
+        "away_roster_secondary_continuity_delta",
+    ],
+    "roster_veteran_additions": [
+        "home_roster_incoming_offense_share_delta",
+        "home_roster_incoming_defense_share_delta",
+        "away_roster_incoming_offense_share_delta",
+        "away_roster_incoming_defense_share_delta",
+    ],
 }
 
 

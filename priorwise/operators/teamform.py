@@ -47,42 +47,66 @@ STATE_FEATURES = [name for _, name in ROLLING.values()] + [
     "qb_continuity_l4",
 ]
 
+# The columns of the game models and of the groups that ablations add, by name and in order.
 CORE_GAME_FEATURES = [
-    f"{side}_{name}"
-    for side in ("home", "away")
-    for name in (
-        "points_for_l4",
-        "points_against_l4",
-        "yards_l4",
-        "off_epa_l4",
-        "def_epa_l4",
-        "turnovers_l4",
-        "win_pct_l8",
-        "pressure_allowed_l4",
-        "pressure_generated_l4",
-    )
-] + ["home_rest_days", "away_rest_days", "rest_advantage", "division_game", "week", "home_field"]
-
-
-def _both_sides(*names: str) -> list[str]:
-    return [f"{side}_{name}" for side in ("home", "away") for name in names]
-
-
+    "home_points_for_l4",
+    "home_points_against_l4",
+    "home_yards_l4",
+    "home_off_epa_l4",
+    "home_def_epa_l4",
+    "home_turnovers_l4",
+    "home_win_pct_l8",
+    "home_pressure_allowed_l4",
+    "home_pressure_generated_l4",
+    "away_points_for_l4",
+    "away_points_against_l4",
+    "away_yards_l4",
+    "away_off_epa_l4",
+    "away_def_epa_l4",
+    "away_turnovers_l4",
+    "away_win_pct_l8",
+    "away_pressure_allowed_l4",
+    "away_pressure_generated_l4",
+    "home_rest_days",
+    "away_rest_days",
+    "rest_advantage",
+    "division_game",
+    "week",
+    "home_field",
+]
 CANDIDATE_GROUPS = {
-    "efficiency": _both_sides(
-        "success_rate_for_l4",
-        "success_rate_allowed_l4",
-        "early_down_epa_for_l4",
-        "early_down_epa_allowed_l4",
-    ),
-    "explosiveness": _both_sides("explosive_rate_for_l4", "explosive_rate_allowed_l4"),
-    "sacks": _both_sides("sack_rate_allowed_l4", "sack_rate_generated_l4"),
-    "stability": _both_sides(
-        "neutral_pass_rate_l4",
-        "margin_volatility_l8",
-        "off_epa_volatility_l8",
-        "qb_continuity_l4",
-    ),
+    "efficiency": [
+        "home_success_rate_for_l4",
+        "home_success_rate_allowed_l4",
+        "home_early_down_epa_for_l4",
+        "home_early_down_epa_allowed_l4",
+        "away_success_rate_for_l4",
+        "away_success_rate_allowed_l4",
+        "away_early_down_epa_for_l4",
+        "away_early_down_epa_allowed_l4",
+    ],
+    "explosiveness": [
+        "home_explosive_rate_for_l4",
+        "home_explosive_rate_allowed_l4",
+        "away_explosive_rate_for_l4",
+        "away_explosive_rate_allowed_l4",
+    ],
+    "sacks": [
+        "home_sack_rate_allowed_l4",
+        "home_sack_rate_generated_l4",
+        "away_sack_rate_allowed_l4",
+        "away_sack_rate_generated_l4",
+    ],
+    "stability": [
+        "home_neutral_pass_rate_l4",
+        "home_margin_volatility_l8",
+        "home_off_epa_volatility_l8",
+        "home_qb_continuity_l4",
+        "away_neutral_pass_rate_l4",
+        "away_margin_volatility_l8",
+        "away_off_epa_volatility_l8",
+        "away_qb_continuity_l4",
+    ],
 }
 
 
