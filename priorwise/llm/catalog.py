@@ -193,7 +193,8 @@ WHITE = r"[^\x20\x09-\x0D]+"
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     groups = minhash.near_groups(table(spark, folder, "documents", "doc_id", "text"), shingle=3, percent=85, carry=["doc_id"])
-    return groups.select("doc.doc_id", "n_shingles", "component_id", "kept")
+    # rows of one id stay or go together here, whatever their texts
+    return groups.select("doc.doc_id", "n_shingles", "component_id", F.col("doc.doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query(

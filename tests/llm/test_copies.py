@@ -57,6 +57,16 @@ def test_near_groups_of_families(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_of_one_id_are_kept_as_the_id_is(spark, tmp_path):
+    from priorwise.llm import catalog
+
+    base = prose(4, 200)
+    rows = [(5, base), (5, edited(base, 1, 1)), (6, edited(base, 2, 1)), (7, prose(5, 50))]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in catalog.QUERIES["op8_minhash_near_dedup"](spark, str(tmp_path)).collect())
+    assert got == {(5, 5, True): 2, (6, 5, False): 1, (7, 7, True): 1}
+
+
 def test_near_dedup_keeps_one_of_a_group(spark):
     rows = awkward()
     docs = table(spark, rows)
