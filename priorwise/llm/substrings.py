@@ -32,8 +32,8 @@ from priorwise.llm.words import MIX, mixed
 
 LENGTH = 50
 GRAM = 20  # long enough that documents seldom share one by chance, short enough for few anchors
-#: Rows that are worked on together, by the bytes of their texts: no group holds more than 16 MB, but a single longer text.
-GROUPS = ((1 << 14, 1024), (1 << 20, 16))
+#: Rows that are worked on together, by the bytes of their texts: no group holds more than 64 MB, and texts beyond 1 MB are alone.
+GROUPS = ((1 << 16, 1024), (1 << 20, 64))
 FLAT_BYTES = 1 << 19  # bytes whose grams are hashed at once; places in them have 20 bits
 PART_BYTES = 24 << 20  # of document text for each part of anchors
 BUCKET_BYTES = 16 << 20  # of document text in a bucket
