@@ -166,3 +166,28 @@ def test_leaf_values(loss):
     exact = {"squared": residual.mean(), "absolute": np.median(residual), "huber": np.median(residual) + np.clip(residual - np.median(residual), -1, 1).mean()}
     assert abs(boosting.leaf_value(rows, sums, loss, 8.0, 1.0) - exact[loss]) < 8 / CELLS
     assert boosting.leaf_value(rows * 0, sums * 0, loss, 8.0, 1.0) == 0.0
+
+
+def test_a_round_leaves_its_residuals_with_the_rows(spark):
+    """So a pass never adds up the trees of earlier rounds again."""
+    one = {"huber": PROFILES["huber"]}
+    made = boosting.prepare(games(spark), MODELS, one, ["game"], 60, None)
+    growth = boosting.Growth(made.blocks, len(made.edges), made.own, made.fits, one)
+    start = [boosting.Block.of(r, growth.pairs) for r in growth.blocks.collect()]
+    for turn in range(-1, 4):
+        growth.round(turn, list(range(len(made.fits))))
+    after = [boosting.Block.of(r, growth.pairs) for r in growth.blocks.collect()]
+    assert sum(len(x) for b in after for x in b.lefts.values()) > 500
+    for a, b in zip(start, after, strict=True):
+        for k, left in a.lefts.items():
+            assert np.allclose(b.lefts[k], left - growth.trees.added(k, a.codes[:, : len(left)]), atol=1e-9)
+
+
+@pytest.mark.parametrize("features", [1, 4, 5])
+def test_sums_of_pairs_give_those_of_features(features):
+    r = np.random.default_rng(8)
+    bins = r.integers(0, boosting.BINS, (500, features)).astype(np.uint8)
+    weight = r.normal(size=500)
+    joint = np.stack([np.bincount(c, weight, minlength=boosting.BINS**2) for c in boosting.paired(bins)]).reshape(-1, boosting.BINS, boosting.BINS)
+    plain = np.stack([np.bincount(bins[:, f], weight, minlength=boosting.BINS) for f in range(features)])
+    assert np.allclose(boosting.unpaired(joint, features), plain)
