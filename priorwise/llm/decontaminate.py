@@ -5,7 +5,8 @@ window), a window is a set of word shingles. Containment of the whole window is
 shingle of it, its rarest in the documents, is a sufficient prefix. Documents are joined with the
 prefixes; the place of the shingle in its window gives the only place where the window could start
 (positional bound), the words that the document has there must suffice (length bound), and what is
-left is compared word by word over the item-sized window.
+left is compared word by word over the item-sized window. Only words of the benchmark have hashes in a document:
+a shingle with any other word can't be one of the benchmark's, and is never looked up.
 
 The benchmark is read in blocks of bounded size; every block meets all documents.
 """
@@ -13,7 +14,9 @@ The benchmark is read in blocks of bounded size; every block meets all documents
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,28 +42,36 @@ def item_windows(items: list[tuple[str, bytes]], window: int) -> dict[tuple[byte
     return {w: sorted(ids) for w, ids in out.items()}
 
 
-def window_shingles(windows: list[tuple[bytes, ...]], shingle: int) -> list[tuple[int, np.ndarray]]:
-    """Shingle size and hashes of each window; a window shorter than a shingle is one."""
+def window_words(windows: list[tuple[bytes, ...]]) -> dict[bytes, int]:
+    """The hash of each word of the windows, never 0."""
     hashes = WordHashes()
-    return [(min(shingle, len(w)), shingle_hashes(hashes.of(list(w)), min(shingle, len(w)))) for w in windows]
+    return {w: hashes[w] or 1 for w in set(chain.from_iterable(windows))}
 
 
-def _sliced(batches: Batches):
-    """Documents of a slice of a batch: batch, its rows, words of each row, all word hashes, first word of each row."""
-    hashes = WordHashes()
+def window_shingles(windows: list[tuple[bytes, ...]], shingle: int, hashes: dict[bytes, int]) -> list[tuple[int, np.ndarray]]:
+    """Shingle size and hashes of each window; a window shorter than a shingle is one."""
+    return [(min(shingle, len(w)), shingle_hashes(_hashed(w, len(w), hashes), min(shingle, len(w)))) for w in windows]
+
+
+def _hashed(words: Iterable[bytes], n: int, hashes: dict[bytes, int]) -> np.ndarray:
+    """The hashes of ``n`` words, 0 for those without."""
+    return np.fromiter(map(hashes.get, words, repeat(0)), dtype=np.uint64, count=n)
+
+
+def _sliced(batches: Batches, hashes: dict[bytes, int]):
+    """Documents of a slice of a batch: batch, its rows, words of each row, all word hashes (0: no benchmark word), first word of each row."""
     for batch in batches:
         texts = utf8(batch.column("text"))
         for a, b in slices([len(t) for t in texts], SLICE_BYTES):
             words = [t.translate(ALNUM).split() for t in texts[a:b]]
             starts = np.cumsum([0] + [len(w) for w in words])
-            flat = np.concatenate([hashes.of(w) for w in words]) if starts[-1] else np.empty(0, np.uint64)
-            yield batch, a, b, words, flat, starts
+            yield batch, a, b, words, _hashed(chain.from_iterable(words), int(starts[-1]), hashes), starts
 
 
-def _count(batches: Batches, vocabulary: dict[int, np.ndarray]) -> Batches:
+def _count(batches: Batches, hashes: dict[bytes, int], vocabulary: dict[int, np.ndarray]) -> Batches:
     """How often each benchmark shingle stands in the documents of this task."""
     counts = {k: np.zeros(len(v), dtype=np.int64) for k, v in vocabulary.items()}
-    for _, _, _, _, flat, starts in _sliced(batches):
+    for _, _, _, _, flat, starts in _sliced(batches, hashes):
         for size, known in vocabulary.items():
             at, place = _found(flat, starts, size, known)
             counts[size] += np.bincount(place, minlength=len(known))
@@ -74,17 +85,23 @@ def _found(flat: np.ndarray, starts: np.ndarray, size: int, known: np.ndarray) -
     seen = shingle_hashes(flat, size)
     if not len(seen) or not len(known):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    whole = np.ones(len(seen), dtype=bool)
+    for k in range(size):
+        whole &= flat[k : k + len(seen)] != 0
+    at = np.flatnonzero(whole)
+    seen = seen[at]
     place = np.minimum(np.searchsorted(known, seen), len(known) - 1)
-    at = np.flatnonzero(known[place] == seen)
+    same = known[place] == seen
+    at, place = at[same], place[same]
     row = np.searchsorted(starts, at, side="right") - 1
-    at = at[at + size <= starts[row + 1]]
-    return at, place[at]
+    inside = at + size <= starts[row + 1]
+    return at[inside], place[inside]
 
 
-def _scan(batches: Batches, windows: list[tuple[bytes, ...]], ids: list[list[str]], prefixes: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]) -> Batches:
+def _scan(batches: Batches, hashes: dict[bytes, int], windows: list[tuple[bytes, ...]], ids: list[list[str]], prefixes: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]) -> Batches:
     """Of each document the word ranges that windows cover, and the items whose windows occur: never more than its words and the items."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch, a, b, words, flat, starts in _sliced(batches):
+    for batch, a, b, words, flat, starts in _sliced(batches, hashes):
         edges: dict[int, np.ndarray] = {}  # of a document with hits: how many windows start, less those that end, at each word
         found: dict[int, set[int]] = defaultdict(set)
         for size, (known, uses) in prefixes.items():
@@ -128,9 +145,10 @@ def joined_ranges(ranges: Column) -> Column:
 def _of_block(rows: DataFrame, items: list[tuple[str, bytes]], window: int, shingle: int) -> DataFrame:
     found = item_windows(items, window)
     windows, ids = list(found), list(found.values())
-    shingles = window_shingles(windows, shingle)
+    hashes = window_words(windows)
+    shingles = window_shingles(windows, shingle, hashes)
     vocabulary = {size: np.unique(np.concatenate([s for k, s in shingles if k == size])) for size in {k for k, _ in shingles}}
-    counted = rows.select("text").mapInArrow(partial(_count, vocabulary=vocabulary), "size int, place int, n long")
+    counted = rows.select("text").mapInArrow(partial(_count, hashes=hashes, vocabulary=vocabulary), "size int, place int, n long")
     seen = {size: np.zeros(len(v), np.int64) for size, v in vocabulary.items()}
     for size, place, n in counted.groupBy("size", "place").agg(F.sum("n")).collect():  # one row per shingle of the block
         seen[size][place] = n
@@ -142,7 +160,7 @@ def _of_block(rows: DataFrame, items: list[tuple[str, bytes]], window: int, shin
             uses[size][int(own[offset])].append((w, offset))
     prefixes = {size: (np.array(sorted(u), dtype=np.uint64), [u[h] for h in sorted(u)]) for size, u in uses.items() if u}
     kind = T.StructType([rows.schema["doc"], rows.schema["key"], *T._parse_datatype_string(f"n_words long, ranges {RANGES}, items array<string>")])
-    return rows.mapInArrow(partial(_scan, windows=windows, ids=ids, prefixes=prefixes), kind)
+    return rows.mapInArrow(partial(_scan, hashes=hashes, windows=windows, ids=ids, prefixes=prefixes), kind)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from documents import SCHEMA, awkward, contaminated, personal, prose, table
 from pyspark.sql import functions as F
 
@@ -12,6 +14,26 @@ from priorwise.llm import decontaminate, language, pii, quality
 ITEMS = [(1, prose(50, 30)), (2, "Seven words, are an item; of: seven!"), (3, None), (4, ""), (None, prose(51, 12)), (5, "one"), (1, prose(52, 11)), (6, prose(2, 30_000)[3000:3400])]
 
 
+def test_only_words_of_the_benchmark_are_hashed(monkeypatch):
+    windows = [(b"alpha", b"beta", b"gamma", b"delta"), (b"beta", b"alpha")]
+    hashes = decontaminate.window_words(windows)
+    shingles = decontaminate.window_shingles(windows, 3, hashes)
+    assert [(size, len(h)) for size, h in shingles] == [(3, 2), (2, 1)]
+    texts = ["Alpha beta gamma delta x", "new words only", "beta ALPHA", "x gamma, beta alpha beta gamma", None, "", "alpha", "beta gamma delta"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", None)  # no word of a document needs it
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 40)
+    seen, n, found = 0, 0, []
+    for _, a, _, _, flat, starts in decontaminate._sliced(iter([batch]), hashes):
+        seen, n = seen + int((flat != 0).sum()), n + len(flat)
+        for size, known in ((3, np.unique(shingles[0][1])), (2, shingles[1][1])):
+            at, _ = decontaminate._found(flat, starts, size, known)
+            rows = np.searchsorted(starts, at, side="right") - 1
+            found += [(a + int(r), int(p - starts[r]), size) for p, r in zip(at, rows, strict=True)]
+    assert (seen, n) == (15, 20)
+    assert sorted(found) == [(0, 0, 3), (0, 1, 3), (2, 0, 2), (3, 2, 2), (3, 3, 3), (7, 0, 3)]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_benchmark_hits(spark, block_bytes):
     r = random.Random(3)
