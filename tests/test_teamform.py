@@ -37,3 +37,12 @@ def test_features_of_games_need_no_windows_over_teams(spark):
     made = rows(spark)
     plan = teamform.features_as_of(made, teamform.league_priors(made))._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "partitionBy" not in plan and "[team" not in plan.split("Window")[-1].split("\n")[0]
+
+
+def test_team_games_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(teamform, "game_team_summary", lambda plays: plays)
+    monkeypatch.setattr(teamform, "team_games", lambda *_, **__: rows(spark, 60))
+    games = spark.createDataFrame([(k, 2001, 1, 20, k, False) for k in range(60)], "game_id long, season int, week int, home_score int, away_score int, neutral_site boolean")
+    out = teamform.game_features(games, None)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()  # neither priors nor teams make them again
+    assert out.count() == 60
