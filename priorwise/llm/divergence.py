@@ -29,7 +29,8 @@ from priorwise.llm.common import Batches, stored, utf8
 MIN_DOCS = 10
 TOP_TERMS = 10
 SHORTEST = 4  # bytes of a prefix on the first level
-HELD = 32 << 20  # bytes of texts whose words a task holds before it gives their counts
+HELD = 8 << 20  # bytes of texts whose words a task holds before it gives their counts
+READ = 256  # texts of a batch that are taken up at once
 GIVEN = 50_000  # terms of a batch that is given
 PAIRS = 1 << 20  # pairs of sources that a task handles at once
 
@@ -102,23 +103,25 @@ def _vocabulary(batches: Batches) -> Batches:
     size = 0
 
     def given() -> Batches:
-        for lang, (words, ids, sources) in held.items():
+        while held:  # what is given is no longer held
+            lang, (words, ids, sources) = held.popitem()
             if ids:
                 whole = _counted(lang, words, ids, sources)
+                del words, ids, sources
                 for a in range(0, whole.num_rows, GIVEN):
                     yield whole.slice(a, GIVEN)
 
-    for batch in batches:
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for lang, source, text in zip(langs, sources, utf8(batch.column("text")), strict=True):
+    for part in (batch.slice(a, READ) for batch in batches for a in range(0, batch.num_rows, READ)):
+        langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
+        for lang, source, text in zip(langs, sources, utf8(part.column("text")), strict=True):
             own = held.setdefault(lang, ([], Ids(), []))
             terms = text.translate(LETTERS).split()
-            own[0].append(np.fromiter(map(own[1].__getitem__, terms), dtype=np.int64, count=len(terms)))
+            own[0].append(np.fromiter(map(own[1].__getitem__, terms), dtype=np.int32, count=len(terms)))
             own[2].append(source)
             size += len(text)
             if size > HELD:
                 yield from given()
-                held, size = {}, 0
+                size = 0
     yield from given()
 
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from documents import awkward, lower, prose
 
@@ -126,3 +128,18 @@ def test_shares_of_very_many_occurrences(spark):
     rows = [(c, n, v) for c in (0, 10**12, 9 * 10**15) for n in (10**13, 9 * 10**15) for v in (1, 10**7)]
     got = spark.createDataFrame(rows, "c long, n long, v long").select(divergence.share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
     assert [r.p for r in got] == [1 + 10**9 * (c + 2) // (n + 2 * v) for c, n, v in rows]
+
+
+def test_a_task_holds_bounded_texts():
+    """What a task holds doesn't grow with its batch: 24 MB of texts in one batch of rows take far less than their words would."""
+    r = random.Random(5)
+    lines = [" ".join(r.choice("bcdfg") * r.randint(1, 9) + r.choice("aeiou") for _ in range(1000)) for _ in range(20)]
+    rows = [" ".join(r.sample(lines, 4)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(rows), "source": ["s"] * len(rows), "text": rows})
+    del rows
+    tracemalloc.start()
+    uses = sum(sum(map(sum, given.column("uses").to_pylist())) for given in divergence._vocabulary(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert uses == 4_000_000
+    assert peak < 80 << 20
