@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .selection import connected_groups, exact_medians
@@ -23,6 +27,8 @@ ELO_MARGIN = 2.2
 FORM_GAMES = 6
 FORM_OFFSEASON = 0.35
 FORM_PRIOR_WEIGHT = 3.0
+#: Least and most days of rest that count; the least stands before a team's first game too.
+REST_DAYS = (4, 28)
 FORM_PRIORS = {
     "points_for": 27.0,
     "points_against": 27.0,
@@ -147,14 +153,6 @@ def as_of_cut(games: DataFrame, advanced: DataFrame, as_of: Column) -> tuple[Dat
     return cut, advanced.join(visible, "game_id", "left_semi")
 
 
-def rest_days(rows: DataFrame) -> Column:
-    """Whole 24-hour periods since the team's previous game, scheduled ones included, 4 to 28."""
-    order = Window.partitionBy("team").orderBy("season", "week", "start_date", "game_id")
-    seconds = F.col("start_date").cast("long") - F.lag("start_date").over(order).cast("long")
-    days = F.floor(seconds / 86400)
-    return F.coalesce(F.least(F.greatest(days, F.lit(4)), F.lit(28)), F.lit(7)).cast("double")
-
-
 def season_zscores(df: DataFrame, columns: list[str], *, by: str = "season") -> DataFrame:
     """``<c>_z`` within the season; missing values take the median, a constant column becomes 0.
 
@@ -322,42 +320,58 @@ def form_history(rated: DataFrame, advanced: DataFrame) -> DataFrame:
     return joined.withColumns(filled)
 
 
+def _form_of_team(team: pa.Table) -> pa.Table:
+    """Rest and form of a team's rows, from its games completed before each."""
+    order = [(c, "ascending") for c in ("season", "week", "start", "game_id")]
+    team = team.take(pc.sort_indices(team, order, null_placement="at_start"))
+
+    def numbers(name: str, missing: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        column = team.column(name).combine_chunks()
+        return column.fill_null(missing).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+    start, dated = numbers("start")
+    seconds = start // 1_000_000
+    days = np.clip((seconds[1:] - seconds[:-1]) // 86400, *REST_DAYS)
+    rest = np.concatenate(([REST_DAYS[0]], np.where(dated[1:] & dated[:-1], days, REST_DAYS[0]))).astype(float)
+
+    done = numbers("completed", False)[0]
+    before = np.cumsum(done) - done  # completed games before each row
+    season, some = numbers("season")
+    values, known = (np.stack(x)[:, done] for x in zip(*map(numbers, FORM_PRIORS), strict=True))
+    held = np.minimum(before, FORM_GAMES)
+    total = np.full(len(season), FORM_PRIOR_WEIGHT)
+    sums = np.stack([np.full(len(season), FORM_PRIOR_WEIGHT * p) for p in FORM_PRIORS.values()])
+    missing = np.zeros(sums.shape, dtype=bool)
+    for lag in range(FORM_GAMES, 0, -1) if done.any() else ():  # the oldest is added first
+        there, at = before >= lag, np.maximum(before - lag, 0)
+        at = np.minimum(at, done.sum() - 1)
+        same = (season[done][at] == season) & some[done][at] & some
+        weight = np.where(there, (held - lag + 1.0) / np.maximum(held, 1) * np.where(same, 1.0, FORM_OFFSEASON), 0.0)
+        total += weight
+        sums += np.where(there & known[:, at], values[:, at] * weight, 0.0)
+        missing |= there & ~known[:, at]
+    form = {f"{k}_l6": pa.array(sums[i] / total, mask=missing[i]) for i, k in enumerate(FORM_PRIORS)}
+    return pa.table({"game_id": team.column("game_id"), "side": team.column("side"), "rest_days": pa.array(rest), **form})
+
+
 def form_state(rows: DataFrame) -> DataFrame:
-    """Shrunken form of the last six completed games before each row, newest weighing most."""
-    order = Window.partitionBy("team").orderBy("season", "week", "start_date", "game_id")
-    fact = F.struct("season", *FORM_PRIORS)
-    numbered = rows.withColumn("rest_days", rest_days(rows)).withColumn(
-        "o",
-        F.coalesce(
-            F.sum(F.col("completed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    )
-    # ``o`` counts completed games before the row, so a completed game is found by later rows at
-    # distance 1 to 6; unplayed rows hold no fact.
-    recent = Window.partitionBy("team").orderBy("o").rangeBetween(-FORM_GAMES, -1)
-    held = numbered.withColumn("h", F.collect_list(F.when(F.col("completed"), fact)).over(recent))
-    weighted = held.withColumn(
-        "w",
-        F.expr(
-            "transform(h, (x, i) -> (i + 1D) / size(h) * CASE WHEN x.season = season THEN 1D"
-            f" ELSE {FORM_OFFSEASON}D END)"
-        ),
-    ).withColumn("den", F.expr(f"aggregate(w, {FORM_PRIOR_WEIGHT}D, (a, x) -> a + x)"))
-    features = {
-        f"{k}_l6": F.expr(
-            f"aggregate(zip_with(h, w, (x, y) -> x.{k} * y), {FORM_PRIOR_WEIGHT * p}D, (a, x) -> a + x) / den"
-        )
-        for k, p in FORM_PRIORS.items()
-    }
-    return weighted.select("game_id", "side", "rest_days", *[c.alias(n) for n, c in features.items()])
+    """Shrunken form of the last six completed games before each row, newest weighing most, and the days of rest.
+
+    Rest is in whole 24-hour periods since the team's previous game, scheduled ones included. One pass over each
+    team's schedule; a team plays at most a handful of games a day, so a group is bounded by the calendar.
+    """
+    measures = [F.col(k).cast("double").alias(k) for k in FORM_PRIORS]
+    sent = rows.select("game_id", "side", "team", "season", "week", F.unix_micros("start_date").alias("start"), "completed", *measures)
+    made = [T.StructField(n, T.DoubleType()) for n in ("rest_days", *[f"{k}_l6" for k in FORM_PRIORS])]
+    return sent.groupBy("team").applyInArrow(_form_of_team, T.StructType([sent.schema["game_id"], sent.schema["side"], *made]))
 
 
 def college_features(
     games: DataFrame, advanced: DataFrame, preseason: DataFrame, lines: DataFrame, *, include_scheduled: bool = False
 ) -> DataFrame:
     """Elo, form, efficiency, preseason and listed lines going into every game."""
-    rated = elo_ratings(eligible_games(games, include_scheduled=include_scheduled))
+    # Read twice, by the teams' histories and by the games: stored, so that ratings are walked once.
+    rated = cut_lineage(elo_ratings(eligible_games(games, include_scheduled=include_scheduled)))
     state = form_state(form_history(rated, advanced))
     names = ["rest_days", *[f"{k}_l6" for k in FORM_PRIORS]]
     paired = state.groupBy("game_id").agg(
