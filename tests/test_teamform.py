@@ -46,3 +46,31 @@ def test_team_games_are_made_once(spark, monkeypatch):
     out = teamform.game_features(games, None)
     assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()  # neither priors nor teams make them again
     assert out.count() == 60
+
+
+def test_priors_are_not_dealt_with_the_rows(spark):
+    made = rows(spark).where("team = 'T1'")
+    names = ["game_id", "team", "side", "gameday", "completed", *teamform.ROLLING, "margin"]
+    sent = made.select(*names, F.datediff("gameday", F.lit("1970-01-01")).alias("day"), F.lit("P").alias("passer")).toArrow()
+    out = teamform._as_of_days(sent)
+    assert {"t_win_pct_l8", "n_win_pct_l8"} < set(out.column_names) and out.num_rows == made.count()
+
+
+def test_rows_at_hand_are_not_made_again(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("plays are summed again")
+
+    monkeypatch.setattr(teamform, "game_team_summary", never)
+    games = spark.createDataFrame([(k, 2001, 1, 20, k, False) for k in range(60)], "game_id long, season int, week int, home_score int, away_score int, neutral_site boolean")
+    assert teamform.game_features(games, None, rows=rows(spark, 60)).count() == 60
+
+
+def test_game_models_make_only_their_columns(spark):
+    from priorwise.plans import jobs
+
+    k = F.col("game_id")
+    games = spark.range(800).withColumnRenamed("id", "game_id").select(
+        "game_id", F.lit(2001).alias("season"), *[F.sin(k * (j + 1.7)).alias(f) for j, f in enumerate(teamform.CORE_GAME_FEATURES) if f != "week"],
+        F.floor(k / 50).cast("int").alias("week"), F.cos(k * 3.1).alias("home_margin"), F.cos(k * 5.3).alias("total_points"), F.raise_error(F.lit("made")).cast("double").alias("else"),
+    )
+    assert {r.model for r in jobs.game_models(games).collect()} == {"game_margin", "game_total"}
