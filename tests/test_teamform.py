@@ -74,3 +74,22 @@ def test_game_models_make_only_their_columns(spark):
         F.floor(k / 50).cast("int").alias("week"), F.cos(k * 3.1).alias("home_margin"), F.cos(k * 5.3).alias("total_points"), F.raise_error(F.lit("made")).cast("double").alias("else"),
     )
     assert {r.model for r in jobs.game_models(games).collect()} == {"game_margin", "game_total"}
+
+
+def test_features_are_made_once_for_two_publications(spark, monkeypatch):
+    from priorwise.plans import catalog_ops
+    from priorwise.plans.registry import REGISTRY
+
+    plans, publish = [], catalog_ops.jobs.publish_features
+    columns = [F.lit(1.0).alias(f) for f in teamform.CORE_GAME_FEATURES if f != "week"]
+    games = spark.range(40).select(F.col("id").alias("game_id"), (F.col("id") % 5).cast("int").alias("week"), *columns, F.lit(1.0).alias("home_margin"), F.lit(2.0).alias("total_points"))
+
+    def seen(table, *args, **kwargs):
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return publish(table, *args, **kwargs)
+
+    monkeypatch.setattr(catalog_ops, "game_features_all", lambda _: games)
+    monkeypatch.setattr(catalog_ops.jobs, "publish_features", seen)
+    counts = {r.what: r["count"] for r in REGISTRY["g15_h16_published_under_contract"].run(spark, "/nowhere").collect()}
+    assert counts == {"rows": 40, "missing_result": 0, "missing_feature": 0, "drifted": 0, "read": 40}
+    assert len(plans) == 2 and not any("Range (" in p for p in plans)
