@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -321,9 +320,7 @@ def form_history(rated: DataFrame, advanced: DataFrame) -> DataFrame:
 
 
 def _form_of_team(team: pa.Table) -> pa.Table:
-    """Rest and form of a team's rows, from its games completed before each."""
-    order = [(c, "ascending") for c in ("season", "week", "start", "game_id")]
-    team = team.take(pc.sort_indices(team, order, null_placement="at_start"))
+    """Rest and form of a team's rows, which come in order, from its games completed before each."""
 
     def numbers(name: str, missing: int = 0) -> tuple[np.ndarray, np.ndarray]:
         column = team.column(name).combine_chunks()
@@ -363,15 +360,15 @@ def form_state(rows: DataFrame) -> DataFrame:
     measures = [F.col(k).cast("double").alias(k) for k in FORM_PRIORS]
     sent = rows.select("game_id", "side", "team", "season", "week", F.unix_micros("start_date").alias("start"), "completed", *measures)
     made = [T.StructField(n, T.DoubleType()) for n in ("rest_days", *[f"{k}_l6" for k in FORM_PRIORS])]
-    return sent.groupBy("team").applyInArrow(_form_of_team, T.StructType([sent.schema["game_id"], sent.schema["side"], *made]))
+    dealt = sent.repartition("team").sortWithinPartitions("team", "season", "week", "start", "game_id")
+    return dealt.groupBy("team").applyInArrow(_form_of_team, T.StructType([sent.schema["game_id"], sent.schema["side"], *made]))
 
 
 def college_features(
     games: DataFrame, advanced: DataFrame, preseason: DataFrame, lines: DataFrame, *, include_scheduled: bool = False
 ) -> DataFrame:
     """Elo, form, efficiency, preseason and listed lines going into every game."""
-    # Read twice, by the teams' histories and by the games: stored, so that ratings are walked once.
-    rated = cut_lineage(elo_ratings(eligible_games(games, include_scheduled=include_scheduled)))
+    rated = elo_ratings(eligible_games(games, include_scheduled=include_scheduled))
     state = form_state(form_history(rated, advanced))
     names = ["rest_days", *[f"{k}_l6" for k in FORM_PRIORS]]
     paired = state.groupBy("game_id").agg(
