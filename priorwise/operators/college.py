@@ -374,7 +374,8 @@ def college_features(
     paired = state.groupBy("game_id").agg(
         *[F.expr(f"max(CASE WHEN side = '{s}' THEN {n} END)").alias(f"{s}_{n}") for s in ("home", "away") for n in names]
     )
-    out = rated.join(paired, "game_id")
+    # The preseason meets the games before they carry the form, so that less is dealt where it is too large to be sent.
+    out = rated
     for side in ("home", "away"):
         mine = preseason.select(
             "season", F.col("team").alias(f"{side}_team"), *[F.col(f).alias(f"{side}_{f}") for f in PRESEASON_FEATURES]
@@ -383,7 +384,7 @@ def college_features(
             0.0, [f"{side}_{f}" for f in PRESEASON_FEATURES]
         )
     listed = lines.select("game_id", "market_home_margin", "market_total", "market_provider_count")
-    return out.join(listed, "game_id", "left").fillna(0, ["market_provider_count"]).withColumns(
+    return out.join(paired, "game_id").join(listed, "game_id", "left").fillna(0, ["market_provider_count"]).withColumns(
         {
             "conference_game": F.coalesce(F.col("conference_game"), F.lit(False)).cast("double"),
             "rest_advantage": F.col("home_rest_days") - F.col("away_rest_days"),
