@@ -1,12 +1,63 @@
 """What jobs leave on disk: stored tables, files of shuffles, blocks of trees, refused releases."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from priorwise.operators import college
+from priorwise import session
+from priorwise.operators import college, teamform
 
 from test_teamform import rows
 
 
+def files_below(folder) -> int:
+    return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+
+
+def checkpoint_folder(spark) -> str:
+    return session._checkpoint_dir(spark).removeprefix("file:")
+
+
+def test_stored_tables_keep_their_rows_in_fewer_bytes(spark):
+    made = spark.range(20_000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 50).cast("double").alias("x"), F.lit("text").alias("t"), *[(F.col("id") % k).cast("double").alias(f"c{k}") for k in range(2, 22)])
+    folder = checkpoint_folder(spark)
+    before = files_below(folder)
+    stored = session.store(made)
+    took = files_below(folder) - before
+    session.cut_lineage(made)
+    assert 4 * took < files_below(folder) - before - took
+    assert stored.schema.names == made.schema.names and stored.exceptAll(made).isEmpty() and made.exceptAll(stored).isEmpty()
+
+
+def test_files_of_shuffles_go_when_a_query_ends(spark):
+    session.configure(spark)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    assert spark.range(1000).repartition(5).groupBy((F.col("id") % 9).alias("k")).count().count() == 9
+    assert tracker.shuffleStatuses().size() <= before
+
+
+def test_only_the_wanted_features_are_dealt(spark):
+    made = rows(spark)
+    wanted = ["win_pct_l8", "off_epa_volatility_l8"]
+    priors = teamform.league_priors(made, teamform.measures_of(wanted))
+    out = teamform.features_as_of(made, priors, wanted)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sack_rate_allowed" not in plan.split("Range")[0].split("FlatMapGroupsInArrow")[1].split("\n")[1]
+    assert out.columns == ["game_id", "team", "side", "rest_days", *wanted]
+    whole = teamform.features_as_of(made, teamform.league_priors(made)).select(*out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_games_have_the_features_that_are_named(spark, monkeypatch):
+    monkeypatch.setattr(teamform, "game_team_summary", lambda plays: plays)
+    monkeypatch.setattr(teamform, "team_games", lambda *_, **__: rows(spark, 60))
+    schedule = spark.createDataFrame([(k, 2001, 1, 20, k, False) for k in range(60)], "game_id long, season int, week int, home_score int, away_score int, neutral_site boolean")
+    all_, some = (teamform.game_features(schedule, None, features=f) for f in (None, ["home_def_epa_l4", "away_def_epa_l4"]))
+    assert "home_yards_l4" in all_.columns and "home_yards_l4" not in some.columns
+    assert sorted(map(str, some.collect())) == sorted(map(str, all_.select(*some.columns).collect()))
+
+
 def test_preseason_meets_games_before_they_carry_their_form(spark):
     day = "TIMESTAMP '2001-09-01 12:00:00'"
     schedule = spark.range(60).selectExpr(
