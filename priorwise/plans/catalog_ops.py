@@ -405,9 +405,10 @@ def _(t):
 )
 def _(t):
     """All game features published while their contract is counted; a table with a missing feature is refused."""
-    root, games = _shared(t), cut_lineage(game_features_all(t))  # published twice, made once
+    root = _shared(t)
     configurations = t.spark.createDataFrame([(n, list(f)) for n, f in college.CONFIGURATIONS.items()], "name string, features array<string>")
-    counts = jobs.publish_features(games, teamform.CORE_GAME_FEATURES, root, "features-1", configurations=configurations)
+    counts = jobs.publish_features(game_features_all(t), teamform.CORE_GAME_FEATURES, root, "features-1", configurations=configurations)
+    games = releases.read_published(t.spark, root, "features", "features-1")  # published twice, made once
     holed = games.withColumn("home_rest_days", F.when(F.col("week") != 3, F.col("home_rest_days")))
     try:
         jobs.publish_features(holed, teamform.CORE_GAME_FEATURES, root, "features-2")

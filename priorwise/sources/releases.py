@@ -21,6 +21,11 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop, files = _file_system(spark, path)
+    files.delete(hadoop, True)
+
+
 def _manifests(root: str) -> str:
     return f"{root.rstrip('/')}/_manifests"
 
@@ -35,7 +40,7 @@ def publish_checked(
     """Publish a table unless a row meets one of the ``enforced`` conditions; returns the counts of all conditions.
 
     Conditions are counted by the job that writes the table, so its rows are made once. After a failure the
-    table lies unpublished and the release name is free.
+    table is gone and the release name is free.
     """
     seen = Observation()
     conditions = {**enforced, **(counted or {})}
@@ -53,15 +58,19 @@ def publish_checked(
 def publish_together(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, release: str, check: Callable[[], None] | None = None) -> str:
     """Write all tables, then publish them under a release name that nobody has used; returns their folder.
 
-    ``check`` runs between the two and keeps the release unpublished by raising.
+    ``check`` runs between the two and keeps the release unpublished by raising; tables that break a contract are deleted.
     """
     folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     if is_published(spark, root, release):  # spares the writing; the manifest decides
         raise FileExistsError(f"release {release} is published")
     for name, table in tables.items():
-        table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        table.write.mode("errorifexists").option("compression", "zstd").parquet(f"{folder}/{name}")
     if check:
-        check()
+        try:
+            check()
+        except ContractError:
+            delete_folder(spark, folder)  # nobody will read it
+            raise
     path, files = _file_system(spark, f"{_manifests(root)}/{release}.json")
     files.mkdirs(path.getParent())
     try:

@@ -2,10 +2,12 @@
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from priorwise import session
 from priorwise.operators import college, teamform
+from priorwise.sources import releases
 
 from test_teamform import rows
 
@@ -58,6 +60,13 @@ def test_games_have_the_features_that_are_named(spark, monkeypatch):
     assert sorted(map(str, some.collect())) == sorted(map(str, all_.select(*some.columns).collect()))
 
 
+def test_refused_releases_leave_no_files(spark, tmp_path):
+    table = spark.range(100).withColumn("x", F.when(F.col("id") != 5, 1.0))
+    with pytest.raises(releases.ContractError):
+        releases.publish_checked(spark, "t", table, str(tmp_path), "r", {"missing": F.col("x").isNull()})
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_preseason_meets_games_before_they_carry_their_form(spark):
     day = "TIMESTAMP '2001-09-01 12:00:00'"
     schedule = spark.range(60).selectExpr(
