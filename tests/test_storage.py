@@ -1,14 +1,17 @@
 """What jobs leave on disk: stored tables, files of shuffles, blocks of trees, refused releases."""
 
+import os
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from priorwise import session
-from priorwise.operators import college, teamform
+from priorwise.operators import boosting, college, teamform
+from priorwise.operators.boosting import Profile
 from priorwise.sources import releases
 
+from test_boosting import games
 from test_teamform import rows
 
 
@@ -60,6 +63,45 @@ def test_games_have_the_features_that_are_named(spark, monkeypatch):
     assert sorted(map(str, some.collect())) == sorted(map(str, all_.select(*some.columns).collect()))
 
 
+def test_blocks_written_before_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "STORED", 2)
+    profile = {"p": Profile(9, 1, 0.1, 5)}
+    made = boosting.prepare(games(spark), {"m": (["f1", "f2"], "a")}, profile, ["game"], 40, None)
+    growth = boosting.Growth(made.blocks, 2, made.own, made.fits, profile)
+    written, forget = [], growth.forget
+
+    def watched(last):
+        written.extend(r for r in growth.written if r not in written)
+        forget(last)
+        assert sum(os.path.exists(r.getCheckpointFile().removeprefix("file:")) for r in written if r.getCheckpointFile()) <= max(last, 0)
+
+    growth.forget = watched
+    growth.grow()
+    assert len(written) >= 4
+
+
+def test_below_the_root_the_side_of_fewer_rows_is_counted(spark, monkeypatch):
+    profile = {"p": Profile(4, 3, 0.1, 5)}
+    made = boosting.prepare(games(spark), {"m": (["f1", "f2", "f3"], "a")}, profile, ["game"], 40, None)
+    growth = boosting.Growth(made.blocks, 3, made.own, made.fits, profile)
+    shares, sums = [], growth.split_sums
+
+    def counted(growing, turn, places):
+        out = sums(growing, turn, places)
+        for place, (k, node) in enumerate(places):
+            rows = out[1, place, 0].sum()
+            if node:
+                shares.append((rows, whole[k]))
+            else:
+                whole[k] = rows
+        return out
+
+    whole = {}
+    growth.split_sums = counted
+    growth.grow()
+    assert shares and all(2 * rows <= all_ for rows, all_ in shares)
+
+
 def test_refused_releases_leave_no_files(spark, tmp_path):
     table = spark.range(100).withColumn("x", F.when(F.col("id") != 5, 1.0))
     with pytest.raises(releases.ContractError):
