@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorwise import session
-from priorwise.operators import boosting, college, teamform
+from priorwise.operators import boosting, college, ensemble, teamform
 from priorwise.operators.boosting import Profile
 from priorwise.sources import releases
 
@@ -63,6 +63,16 @@ def test_games_have_the_features_that_are_named(spark, monkeypatch):
     assert sorted(map(str, some.collect())) == sorted(map(str, all_.select(*some.columns).collect()))
 
 
+def test_members_of_an_ensemble_read_one_stored_table(spark, monkeypatch):
+    stored = []
+    for module in (boosting, ensemble, __import__("priorwise.operators.ridge", fromlist=["x"])):
+        monkeypatch.setattr(module, "store", lambda df: stored.append(df.columns) or session.store(df))
+    df = games(spark).withColumn("unread", F.lit(1.0))
+    monkeypatch.setitem(ensemble.TREE_PROFILES, "current", Profile(2, 1, 0.1, 5))
+    out = ensemble.component_oof(df, {"m": (["f1", "f2"], "a")}, 1.0, keep=["game"], min_rows=40)
+    assert out.count() > 50 and stored == [["game", "season", "week", "f1", "f2", "a"]]
+
+
 def test_blocks_written_before_are_deleted(spark, monkeypatch):
     monkeypatch.setattr(boosting, "STORED", 2)
     profile = {"p": Profile(9, 1, 0.1, 5)}
