@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from ..operators import college, ensemble, evaluate, ratings, ridge, teamform
-from ..session import cut_lineage
+from ..session import cut_lineage, store
 from . import catalog_college as cc
 from . import jobs
 from .bindings import SQL_BINDINGS
@@ -619,7 +619,8 @@ full_fit_bindings("asof", "cdone", "start_date <= TIMESTAMP '2000-06-30'", _ELO,
 )
 def _(t):
     """A second weekly run reads only the games that the first hasn't learned, and fits as one over all of them would."""
-    rows = cut_lineage(cc.features(t).where("completed"))
+    needed = dict.fromkeys(["game_id", *ridge.FOLD, "start_date", *_ELO, *_COLLEGE_TARGETS.values()])
+    rows = store(cc.features(t).where("completed").select(*needed))
     specs = {m: (_ELO, c, CFB_RIDGE) for m, c in _COLLEGE_TARGETS.items()}
     root = jobs.shared_root(t.spark)
     for day in ("1999-12-31", "2000-06-30", "2000-06-30"):  # the last run is repeated
