@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import odds, text, timeparse
-from ..session import cut_lineage
+from ..session import cut_lineage, store
 from ..operators import boosting, college, ensemble, players, ridge, roster, scenario, teamform
 from ..sources import feeds, ledger, releases
 from ..streaming import quotes as stream
@@ -405,10 +405,9 @@ def _(t):
 )
 def _(t):
     """All game features published while their contract is counted; a table with a missing feature is refused."""
-    root = _shared(t)
+    root, games = _shared(t), store(game_features_all(t))  # published twice, made once
     configurations = t.spark.createDataFrame([(n, list(f)) for n, f in college.CONFIGURATIONS.items()], "name string, features array<string>")
-    counts = jobs.publish_features(game_features_all(t), teamform.CORE_GAME_FEATURES, root, "features-1", configurations=configurations)
-    games = releases.read_published(t.spark, root, "features", "features-1")  # published twice, made once
+    counts = jobs.publish_features(games, teamform.CORE_GAME_FEATURES, root, "features-1", configurations=configurations)
     holed = games.withColumn("home_rest_days", F.when(F.col("week") != 3, F.col("home_rest_days")))
     try:
         jobs.publish_features(holed, teamform.CORE_GAME_FEATURES, root, "features-2")
